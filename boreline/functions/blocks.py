@@ -1,35 +1,62 @@
-"""Window functions over one well, computed in bounded blocks.
+"""Window functions along one well that still hold when one well has a large share of all rows.
 
-A plain ``Window.partitionBy(well)`` puts every row of a well in one task.  One well may hold a large share of all
-rows, so each helper here works in two levels instead: rows are windowed inside ``(well, block)``, one summary row
-per block is windowed per well, and the block's carry is joined back.  The block is a function of the row alone
-(``seq >> BLOCK_BITS``), hence an ordinary well is exactly one block and a huge one splits evenly; the result does
-not depend on the block size.
+A plain ``Window.partitionBy(well)`` puts every row of a well in one task.  That is the best plan while wells are
+small (one shuffle, shared by every window), so it is used unless a source found a well of more than
+``ROWS_PER_BLOCK`` rows.  In that case ``split_large_wells`` adds the column ``_block``, a coarse bucket of the row's
+position, and every helper here works in two levels: rows are windowed inside ``(well, _block)``, one summary row
+per block is windowed per well, and the carry is joined back.  Results do not depend on the split.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
+ROWS_PER_BLOCK = 1 << 20
 BLOCK = "_block"
 
 
-def block_of(position: str | Column, bits: int | None = None) -> Column:
-    """Block number of a non-negative integer position."""
-    column = F.col(position) if isinstance(position, str) else position
-    return F.shiftright(column.cast("bigint"), BLOCK_BITS if bits is None else bits)
+def is_split(df: DataFrame) -> bool:
+    return BLOCK in df.columns
 
 
-def with_block(df: DataFrame, position: str | Column = "seq", bits: int | None = None) -> DataFrame:
-    return df.withColumn(BLOCK, block_of(position, bits))
-
-
-def _local(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, BLOCK).orderBy(*order)
+def split_large_wells(
+    df: DataFrame, keys: Sequence[str], position: str, rows_per_block: int | None = None
+) -> DataFrame:
+    """Add ``_block`` when the largest well exceeds a block; otherwise return ``df`` as it is.
+
+    ``position`` is an integer column that orders each well.  The check is one aggregation over the key and position
+    columns; call it on a stored table, not on a long computation.
+    """
+    limit = rows_per_block or ROWS_PER_BLOCK
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"))
+    top = sizes.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if top["n"] is None or top["n"] <= limit:
+        return df
+    blocks = -(-top["n"] // limit)
+    width = max(1, -(-(top["hi"] - top["lo"] + 1) // blocks))
+    return df.withColumn(BLOCK, F.floor((F.col(position) - F.lit(top["lo"])) / width).cast("bigint"))
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the cluster's checkpoint folder, which survives the loss of executors."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="boreline-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def _along(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*keys, *([BLOCK] if is_split(df) else [])).orderBy(*order)
 
 
 def _across(keys: Sequence[str]):
@@ -37,17 +64,20 @@ def _across(keys: Sequence[str]):
 
 
 def _neighbour(df, keys, order, columns, prefix, forward):
-    value = F.struct(*[F.col(c) for c in columns], F.lit(True).alias("_there"))
+    step = F.lead if forward else F.lag
+    if not is_split(df):
+        window = _along(df, keys, order)
+        return df.select(*df.columns, *[step(c).over(window).alias(prefix + c) for c in columns])
+    value = F.struct(*[F.col(c) for c in columns])
     rank = F.struct(*[F.col(c) for c in order])
     edge = F.min_by(value, rank) if forward else F.max_by(value, rank)
-    step = F.lead if forward else F.lag
     carry = (
         df.groupBy(*keys, BLOCK)
         .agg(edge.alias("_edge"))
         .select(*keys, BLOCK, step("_edge").over(_across(keys)).alias("_carry"))
         .filter("_carry IS NOT NULL")
     )
-    near = df.withColumn("_near", step(value).over(_local(keys, order)))
+    near = df.withColumn("_near", step(value).over(_along(df, keys, order)))
     joined = near.join(carry, [*keys, BLOCK], "left")
     pick = F.coalesce("_near", "_carry")
     return joined.select(*df.columns, *[pick.getField(c).alias(prefix + c) for c in columns])
@@ -72,13 +102,15 @@ def with_running_sum(
 ) -> DataFrame:
     """Add inclusive running sums ``{new column: summed expression}``."""
     exprs = {name: F.col(e) if isinstance(e, str) else e for name, e in sums.items()}
+    local = _along(df, keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    kept = [c for c in df.columns if c not in exprs]
+    if not is_split(df):
+        return df.select(*kept, *[F.sum(e).over(local).alias(n) for n, e in exprs.items()])
     across = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, BLOCK).agg(*[F.sum(e).alias(n) for n, e in exprs.items()])
     carry = totals.select(*keys, BLOCK, *[F.sum(n).over(across).alias("_carry_" + n) for n in exprs])
-    local = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    kept = [c for c in df.columns if c not in exprs]
     out = df.select(*kept, *[F.sum(e).over(local).alias("_here_" + n) for n, e in exprs.items()])
-    joined = out.join(carry, [*keys, BLOCK], "left")
+    joined = out.join(carry, [*keys, BLOCK])
     return joined.select(
         *kept,
         *[
@@ -96,29 +128,34 @@ def with_running_max_before(
     """Add the maximum of ``column`` over all earlier rows of the well (null on the first)."""
     expr = F.col(column) if isinstance(column, str) else column
     before = Window.unboundedPreceding, -1
+    local = df.withColumn(name, F.max(expr).over(_along(df, keys, order).rowsBetween(*before)))
+    if not is_split(df):
+        return local
     carry = (
         df.groupBy(*keys, BLOCK)
         .agg(F.max(expr).alias("_top"))
         .select(*keys, BLOCK, F.max("_top").over(_across(keys).rowsBetween(*before)).alias("_carry"))
     )
-    local = df.withColumn("_here", F.max(expr).over(_local(keys, order).rowsBetween(*before)))
-    joined = local.join(carry, [*keys, BLOCK], "left")
-    return joined.select(*df.columns, F.greatest("_here", "_carry").alias(name))
+    joined = local.join(carry, [*keys, BLOCK])
+    return joined.select(*df.columns, F.greatest(name, "_carry").alias(name))
 
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "seq", total: str | None = None
 ) -> DataFrame:
     """Add a zero-based dense position per well, and optionally the number of rows of the well."""
+    kept = [c for c in df.columns if c != name]
+    here = (F.row_number().over(_along(df, keys, order)) - 1).cast("bigint")
+    if not is_split(df):
+        extra = [F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(total)] if total else []
+        return df.select(*kept, here.alias(name), *extra)
     counts = df.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.partitionBy(*keys)
     carry = counts.select(
         *keys,
         BLOCK,
         F.coalesce(F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"),
-        F.sum("_n").over(every).alias("_all"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
     )
-    local = df.withColumn("_here", F.row_number().over(_local(keys, order)) - 1)
-    joined = local.join(carry, [*keys, BLOCK])
+    joined = df.withColumn("_here", here).join(carry, [*keys, BLOCK])
     extra = [F.col("_all").alias(total)] if total else []
-    return joined.select(*df.columns, (F.col("_here") + F.col("_skip")).cast("bigint").alias(name), *extra)
+    return joined.select(*kept, (F.col("_here") + F.col("_skip")).cast("bigint").alias(name), *extra)

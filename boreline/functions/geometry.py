@@ -130,6 +130,26 @@ def parallel_radius(lat) -> Column:
     return F.lit(WGS84_A) * F.cos(col(lat)) / F.sqrt(1.0 - WGS84_E2 * s * s)
 
 
+def meridian_arc(lat) -> Column:
+    """Distance along the meridian from the equator (series of the ellipsoid to the sixth power of eccentricity)."""
+    f, e2 = col(lat), WGS84_E2
+    e4, e6 = e2 * e2, e2 * e2 * e2
+    return F.lit(WGS84_A) * (
+        F.lit(1.0 - e2 / 4.0 - 3.0 * e4 / 64.0 - 5.0 * e6 / 256.0) * f
+        - F.lit(3.0 * e2 / 8.0 + 3.0 * e4 / 32.0 + 45.0 * e6 / 1024.0) * F.sin(2.0 * f)
+        + F.lit(15.0 * e4 / 256.0 + 45.0 * e6 / 1024.0) * F.sin(4.0 * f)
+        - F.lit(35.0 * e6 / 3072.0) * F.sin(6.0 * f)
+    )
+
+
+def north_of(lat) -> Column:
+    return meridian_arc(lat)
+
+
+def east_of(lat, lon) -> Column:
+    return parallel_radius(lat) * col(lon)
+
+
 def boxes_overlap(left: str, right: str, axes: Sequence[str] = ("n", "e", "t")) -> Column:
     """Overlap of boxes stored as ``<prefix><axis>_lo`` and ``<prefix><axis>_hi``."""
     test = F.lit(True)
