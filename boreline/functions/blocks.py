@@ -9,7 +9,9 @@ per block is windowed per well, and the carry is joined back.  Results do not de
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,17 +44,25 @@ def split_large_wells(
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's checkpoint folder, which survives the loss of executors."""
+    """Write ``df`` to the cluster's checkpoint folder and read it back.
+
+    The written table survives the loss of executors, cuts the lineage of loops, and gives readers column pruning and
+    true sizes.  The folder is the session's ``spark.checkpoint.dir``; only a local session may go without it.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="boreline-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = _local_folder()
+    path = f"{folder.rstrip('/')}/boreline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="boreline-checkpoint-")
 
 
 def _along(df: DataFrame, keys: Sequence[str], order: Sequence[str]):

@@ -84,7 +84,7 @@ def similar_name_key(name: str = "name"):
     """Name without the tokens that mark variants of one well: separators dropped, upper case."""
     tokens = F.split(F.col(name), "[ _-]+")
     kept = F.filter(tokens, lambda t: ~F.upper(t).isin("MIA", "EXTRAPOLATED") & (F.trim(t) != ""))
-    return F.upper(F.array_join(F.transform(kept, F.trim), ""))
+    return F.upper(F.array_join(F.transform(kept, lambda t: F.trim(t)), ""))
 
 
 def radius_by_similar_name(paths: DataFrame, architectures: DataFrame) -> DataFrame:

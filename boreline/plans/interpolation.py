@@ -22,12 +22,12 @@ def _probe_depths(spark, sf):
     spans = D.measurements(spark, sf).groupBy("bore_id").agg(F.max("md").alias("deep"))
     return spans.select(
         "bore_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("deep") / 37).cast("int") + 2)).alias("k")
-    ).select("bore_id", "k", (F.col("k") * 37.0 + F.col("bore_id") % 5).alias("md"))
+    ).select("bore_id", "k", (F.col("k") * 37.0137 + (F.col("bore_id") % 5) * 0.917).alias("md"))
 
 
 PROBES = """
 deeps AS (SELECT bore_id, max(md) deep FROM meas GROUP BY 1),
-probes AS (SELECT bore_id, k, k*37.0::DOUBLE+bore_id%5 AS md FROM (
+probes AS (SELECT bore_id, k, k*37.0137::DOUBLE+(bore_id%5)*0.917::DOUBLE AS md FROM (
   SELECT bore_id, unnest(range(0, CAST(floor(deep/37) AS INTEGER)+3)) AS k FROM deeps))"""
 
 
@@ -88,7 +88,7 @@ merged AS (SELECT bore_id, arg_min(md, source*10+pos) AS md,
 
 def interpolate_grid(spark, sf):
     got = interp.interpolate_grid(_cases(spark, sf), D.stations(spark, sf), merged_depths(spark, sf))
-    return _round(got).select("case_id", "bore_id", "md", "annotation", *PLACE)
+    return _round(got, 6, ("md", *PLACE)).select("case_id", "bore_id", "md", "annotation", *PLACE)
 
 
 def merged_depths(spark, sf):
@@ -209,15 +209,15 @@ def _sf_points(spark, sf):
     )
     gone = (F.col("seq") + F.col("cmp_id")) % 5 == 0
     return pts.select(
-        "ref_id", "cmp_id", "seq", (F.col("seq") * 111.0).alias("ref_md"),
-        F.when(gone, -1.0).otherwise(F.col("seq") * 107.5).alias("cmp_md"),
+        "ref_id", "cmp_id", "seq", (F.col("seq") * 111.0137).alias("ref_md"),
+        F.when(gone, -1.0).otherwise(F.col("seq") * 107.5173).alias("cmp_md"),
         F.when(gone, 5.0).otherwise(1.0 + F.col("seq") % 7 * 0.25).alias("sf"),
     )
 
 
 PROFILE = """
 deeps AS (SELECT bore_id, max(md) deep FROM meas GROUP BY 1),
-sfp AS (SELECT ref_id, cmp_id, seq, seq*111.0::DOUBLE AS ref_md, CASE WHEN (seq+cmp_id)%5=0 THEN -1.0 ELSE seq*107.5 END::DOUBLE AS cmp_md,
+sfp AS (SELECT ref_id, cmp_id, seq, seq*111.0137::DOUBLE AS ref_md, CASE WHEN (seq+cmp_id)%5=0 THEN -1.0 ELSE seq*107.5173::DOUBLE END::DOUBLE AS cmp_md,
   CASE WHEN (seq+cmp_id)%5=0 THEN 5.0 ELSE 1.0+seq%7*0.25 END::DOUBLE AS sf FROM (SELECT ref_id, cmp_id,
   unnest(range(1, CAST(floor(deep/111) AS INTEGER)+1)) AS seq FROM pairs JOIN deeps ON deeps.bore_id=ref_id WHERE ref_id<>cmp_id))"""
 
@@ -251,7 +251,7 @@ ORACLES = {
                               select="SELECT bore_id AS case_id, bore_id, md, annotation FROM merged"),
     "interpolate_grid": sql.query(
         sql.STN, *_ARCH, INTERNAL, LISTS, sql.seg(), GRID, sql.arc("held", "md", "bore_id, md, annotation"),
-        select=f"SELECT bore_id AS case_id, bore_id, md, annotation, {ROUNDED} FROM arc"),
+        select=f"SELECT bore_id AS case_id, bore_id, round(md,6) AS md, annotation, {ROUNDED} FROM arc"),
     "md_at_tvd": sql.query(sql.STN, sql.seg(), ROUND_TRIP, select="""
 SELECT bore_id, target_tvd, round(a_md+ds/dl*(CASE WHEN x1>=-1e-7 AND x1<=dl+1e-7 AND NOT (x2>=-1e-7 AND x2<=dl+1e-7 AND x2<x1)
   THEN x1 ELSE x2 END),4) AS md FROM cand"""),

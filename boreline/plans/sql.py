@@ -166,3 +166,65 @@ def east_of(lat: str, lon: str) -> str:
 
 def query(*parts: str, select: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
+
+TOOLS = """
+tools AS (SELECT s_suppkey AS tool_id, ['MWD_WolffDeWardt','Gyro_WolffDeWardt','MWD_ISCWSA','Gyro_WolffDeWardt','Other'][s_suppkey%5+1] AS model,
+  0.0005::DOUBLE AS rel_depth, 0.0004::DOUBLE+(s_suppkey%3)*0.0001::DOUBLE AS misalignment,
+  CASE WHEN s_suppkey%5<>1 THEN 0.001::DOUBLE ELSE 0.0 END AS true_inc, 0.0012::DOUBLE+(s_suppkey%4)*0.0002::DOUBLE AS reference,
+  CASE WHEN s_suppkey%5<>1 THEN 0.0005::DOUBLE ELSE 0.0 END AS magnetisation,
+  CASE WHEN s_suppkey%5=1 THEN 0.0006::DOUBLE ELSE 0.0 END AS gyro FROM supplier)"""
+
+
+def _wolff() -> str:
+    shapes = {
+        "mi_n": "cos(inc)*cos(az)", "mi_e": "cos(inc)*sin(az)", "mi_t": "-sin(inc)", "ma_n": "-sin(az)", "ma_e": "cos(az)",
+        "ti_n": "sin(inc)*cos(inc)*cos(az)", "ti_e": "sin(inc)*cos(inc)*sin(az)", "ti_t": "-sin(inc)*sin(inc)",
+        "re_n": "-sin(inc)*sin(az)", "re_e": "sin(inc)*cos(az)",
+        "mg_n": "-sin(inc)*sin(inc)*sin(az)*sin(az)", "mg_e": "sin(inc)*sin(inc)*sin(az)*cos(az)",
+        "gy_n": "-tan(inc)*sin(az)", "gy_e": "tan(inc)*cos(az)",
+    }
+    size = {"mi": "misalignment", "ma": "misalignment", "ti": "true_inc", "re": "reference", "mg": "magnetisation", "gy": "gyro"}
+    f = ", ".join(f"{v} AS f_{k}" for k, v in shapes.items())
+    legs = ", ".join(
+        f"coalesce(0.5*(md-lag(md) OVER w)*{size[k[:2]]}*(f_{k}+lag(f_{k}) OVER w),0.0) AS l_{k}" for k in shapes
+    )
+    for axis, x in (("north", "n"), ("east", "e"), ("tvd", "t")):
+        legs += f", coalesce(rel_depth*({axis}-lag({axis}) OVER w),0.0) AS l_dr_{x}"
+    names = [*shapes, "dr_n", "dr_e", "dr_t"]
+    sums = ", ".join(f"SUM(l_{k}) {RUN} AS e_{k}" for k in names)
+
+    def entry(i: str, j: str) -> str:
+        terms = [f"e_{p}_{i}*e_{p}_{j}" for p in ("dr", "mi", "ma", "ti", "re", "mg", "gy")
+                 if f"{p}_{i}" in names and f"{p}_{j}" in names]
+        return "+".join(terms)
+
+    cov = ", ".join(f"{entry(i, j)} AS c{a}{b}" for a, b, i, j in (
+        (0, 0, "n", "n"), (0, 1, "n", "e"), (0, 2, "n", "t"), (1, 1, "e", "e"), (1, 2, "e", "t"), (2, 2, "t", "t")))
+    return f"""
+shaped AS (SELECT stn.*, tools.*, {f} FROM stn JOIN tools ON tools.tool_id=stn.bore_id%10),
+legged AS (SELECT *, {legs} FROM shaped {WIN}),
+summed AS (SELECT *, {sums} FROM legged),
+cov AS (SELECT bore_id, seq, md, inc, az, north, east, tvd, {cov} FROM summed)"""
+
+
+WOLFF = _wolff()
+
+
+def ellipse(a: str, b: str, c: str, k: str) -> tuple[str, str, str]:
+    mean, spread = f"(({a})+({c}))/2", f"sqrt(pow((({a})-({c}))/2,2)+({b})*({b}))"
+    return (f"{k}*sqrt(greatest({mean}+{spread},0.0))", f"{k}*sqrt(greatest({mean}-{spread},0.0))",
+            f"0.5*atan2(2*({b}),({a})-({c}))")
+
+
+def quad(x: str, y: str, z: str) -> str:
+    return f"({x}*{x}*c00+{y}*{y}*c11+{z}*{z}*c22+2*({x}*{y}*c01+{x}*{z}*c02+{y}*{z}*c12))"
+
+
+def bilinear(u: tuple[str, str, str], v: tuple[str, str, str]) -> str:
+    rows = (("c00", "c01", "c02"), ("c01", "c11", "c12"), ("c02", "c12", "c22"))
+    return "(" + "+".join(f"{u[i]}*({'+'.join(f'{rows[i][j]}*{v[j]}' for j in range(3))})" for i in range(3)) + ")"
+
+
+HIGH = ("(cos(inc)*cos(az))", "(cos(inc)*sin(az))", "(-sin(inc))")
+RIGHT = ("(-sin(az))", "cos(az)", "0.0")
+TANGENT = ("(sin(inc)*cos(az))", "(sin(inc)*sin(az))", "cos(inc)")

@@ -211,3 +211,47 @@ def comparison_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mates = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col("well_id") + i)
     wanted = b.select(F.col("bore_id").alias("ref_id"), F.explode(mates).alias("cmp_id"))
     return wanted.join(b.select(F.col("bore_id").alias("cmp_id")), "cmp_id", "left_semi").select("ref_id", "cmp_id")
+
+
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One survey instrument per supplier; magnitudes and the local field vary with its key and nation."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    models = F.array(*[F.lit(m) for m in ("MWD_WolffDeWardt", "Gyro_WolffDeWardt", "MWD_ISCWSA", "Gyro_WolffDeWardt", "Other")])
+    gyro = k % 5 == 1
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("tool_id"),
+        F.element_at(models, (k % 5 + 1).cast("int")).alias("model"),
+        F.lit(0.0005).alias("rel_depth"),
+        (0.0004 + (k % 3) * 0.0001).alias("misalignment"),
+        F.when(~gyro, 0.001).alias("true_inc"),
+        (0.0012 + (k % 4) * 0.0002).alias("reference"),
+        F.when(~gyro, 0.0005).alias("magnetisation"),
+        F.when(gyro, 0.0006).alias("gyro"),
+        (1.2 + n * 0.002).alias("dip"),
+        (n * 0.004 - 0.05).alias("declination"),
+        F.lit(9.80665).alias("gravity"),
+        (48000.0 + n * 100.0).alias("bfield"),
+        (0.9 + n * 0.001).alias("latitude"),
+    )
+
+
+def error_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error sources of every ISCWSA instrument, with one code that has no weighting function."""
+    rows = [
+        ("DRFR", 0.35, False, True), ("DSFS", 0.00056, True, False), ("DSTG", 2.5e-7, True, False),
+        ("SAG", 0.0035, True, False), ("XYM1", 0.001, True, False), ("XYM2", 0.001, True, False),
+        ("XYM3", 0.001, True, False), ("XYM4", 0.001, True, False), ("DEC_U", 0.0063, True, False),
+        ("DBH_U", 3000.0 * 0.0174533, True, False), ("AMID", 0.0061, True, False), ("ABZ", 0.004, True, False),
+        ("MBZ", 70.0, True, False), ("GXY_MIS", 0.001, True, False),
+    ]
+    items = F.array(*[
+        F.struct(F.lit(c).alias("code"), F.lit(m).alias("magnitude"), F.lit(s).alias("systematic"),
+                 F.lit(r).alias("random"), F.lit(False).alias("global")) for c, m, s, r in rows
+    ])
+    tools = instruments(spark, sf_dir).filter(F.col("model") == "MWD_ISCWSA")
+    return tools.select("tool_id", F.inline(items))
+
+
+def with_tools(df: DataFrame) -> DataFrame:
+    """The instrument of every station: one per wellbore."""
+    return df.withColumn("tool_id", F.col("bore_id") % 10)
