@@ -206,59 +206,67 @@ def segment_parameters(p1: Sequence, q1: Sequence, p2: Sequence, q2: Sequence) -
     }
 
 
-def segment_solution() -> list[tuple[str, Column]]:
-    """Clamped parameters ``_s`` (first segment) and ``_t`` (second), as successive columns."""
+def segment_solution() -> list[dict[str, Column]]:
+    """Stages giving the clamped parameters ``_s`` (first segment) and ``_t`` (second)."""
     a, b, c, e, f = (F.col(n) for n in ("_a", "_b", "_c", "_e", "_f"))
     den = a * e - b * b
     parallel = den <= 1e-12 * a * e
     s0 = F.when(parallel, F.lit(0.0)).otherwise(clamp((b * f - c * e) / den, 0.0, 1.0))
-    t0 = (b * F.col("_s0") + f) / e
     s = (
         F.when(F.col("_t0") < 0.0, clamp(-c / a, 0.0, 1.0))
         .when(F.col("_t0") > 1.0, clamp((b - c) / a, 0.0, 1.0))
         .otherwise(F.col("_s0"))
     )
-    return [("_s0", s0), ("_t0", t0), ("_s", s), ("_t", clamp("_t0", 0.0, 1.0))]
+    return [{"_s0": s0}, {"_t0": (b * F.col("_s0") + f) / e}, {"_s": s, "_t": clamp("_t0", 0.0, 1.0)}]
 
 
-def apply_steps(df, steps):
-    """Apply successive ``(name, expression)`` columns."""
-    for name, expr in steps:
-        df = df.withColumn(name, expr)
+def apply_steps(df, stages):
+    """Apply successive stages of ``{name: expression}``; a stage may use the columns of earlier ones."""
+    for stage in stages:
+        df = df.withColumns(stage)
     return df
 
 
-def arc_steps(md, a: str = "a_", b: str = "b_", out: str = "") -> list[tuple[str, Column]]:
-    """Columns of the station at ``md`` on the circular arc between rows ``a`` and ``b``.
+def arc_steps(md, a: str = "a_", b: str = "b_") -> list[dict[str, Column]]:
+    """Stages giving the station at ``md`` on the circular arc between rows ``a`` and ``b``.
 
-    Needs ``md, inc, az, north, east, tvd`` under both prefixes; adds ``<out>north/east/tvd/inc/az`` and the helper
-    columns ``_u, _dl, _w1, _w2, _tn, _te, _tt, _half`` (drop them afterwards).
+    Needs ``md, inc, az, north, east, tvd`` under both prefixes; adds north, east, tvd, inc, az and the columns of
+    ``ARC_HELPERS`` (drop them afterwards).  Values used more than once are columns of an earlier stage.
     """
     t1 = tangent(a + "inc", a + "az")
     t2 = tangent(b + "inc", b + "az")
     ds = F.col(b + "md") - F.col(a + "md")
     u, dl = F.col("_u"), F.col("_dl")
     straight = dl < 1e-9
-    steps: list[tuple[str, Column]] = [
-        ("_u", F.when(ds > 0, (col(md) - F.col(a + "md")) / ds).otherwise(F.lit(0.0))),
-        ("_dl", dogleg(a + "inc", a + "az", b + "inc", b + "az")),
-        ("_w1", F.when(straight, 1.0 - u).otherwise(F.sin((1.0 - u) * dl) / F.sin(dl))),
-        ("_w2", F.when(straight, u).otherwise(F.sin(u * dl) / F.sin(dl))),
+    along = ("_tn", "_te", "_tt")
+    unit = [F.col(t) / F.col("_len") for t in along]
+    return [
+        {
+            "_u": F.when(ds > 0, (col(md) - F.col(a + "md")) / ds).otherwise(F.lit(0.0)),
+            "_dl": dogleg(a + "inc", a + "az", b + "inc", b + "az"),
+        },
+        {
+            "_w1": F.when(straight, 1.0 - u).otherwise(F.sin((1.0 - u) * dl) / F.sin(dl)),
+            "_w2": F.when(straight, u).otherwise(F.sin(u * dl) / F.sin(dl)),
+            "_udl": u * dl,
+        },
+        {
+            **{t: F.col("_w1") * x + F.col("_w2") * y for t, x, y in zip(along, t1, t2)},
+            "_half": 0.5 * u * ds * ratio_factor("_udl"),
+        },
+        {"_len": norm(*along)},
+        {
+            **{
+                axis: F.col(a + axis) + F.col("_half") * (x + t)
+                for axis, x, t in zip(("north", "east", "tvd"), t1, unit)
+            },
+            "inc": F.acos(clamp(unit[2], -1.0, 1.0)),
+            "az": wrap_positive(F.atan2(unit[1], unit[0])),
+        },
     ]
-    for name, x, y in zip(("_tn", "_te", "_tt"), t1, t2):
-        steps.append((name, F.col("_w1") * x + F.col("_w2") * y))
-    steps.append(("_len", norm("_tn", "_te", "_tt")))
-    for name in ("_tn", "_te", "_tt"):
-        steps.append((name, F.col(name) / F.col("_len")))
-    steps.append(("_half", 0.5 * u * ds * ratio_factor(u * dl)))
-    for name, axis, x in zip(("_tn", "_te", "_tt"), ("north", "east", "tvd"), t1):
-        steps.append((out + axis, F.col(a + axis) + F.col("_half") * (x + F.col(name))))
-    steps.append((out + "inc", F.acos(clamp("_tt", -1.0, 1.0))))
-    steps.append((out + "az", wrap_positive(F.atan2(F.col("_te"), F.col("_tn")))))
-    return steps
-
-
-ARC_HELPERS = ("_u", "_dl", "_w1", "_w2", "_tn", "_te", "_tt", "_len", "_half")
+
+
+ARC_HELPERS = ("_u", "_dl", "_udl", "_w1", "_w2", "_tn", "_te", "_tt", "_len", "_half")
 
 
 def ellipse_2x2(a, b, c, k) -> tuple[Column, Column, Column]:

@@ -17,10 +17,9 @@ PLACE = ("north", "east", "tvd", "inc", "az")
 
 def on_arc(df: DataFrame, md="md", linear: tuple[str, ...] = ()) -> DataFrame:
     """Fill north, east, tvd, inc, az (and linear columns) at ``md`` on the segment a_*, b_* of each row."""
-    df = G.apply_steps(df, G.arc_steps(md))
-    for c in linear:
-        df = df.withColumn(c, G.lerp_or_either("a_" + c, "b_" + c, "_u"))
-    return df.drop(*G.ARC_HELPERS)
+    *stages, last = G.arc_steps(md)
+    last |= {c: G.lerp_or_either("a_" + c, "b_" + c, "_u") for c in linear}
+    return G.apply_steps(df, [*stages, last]).drop(*G.ARC_HELPERS)
 
 
 def interpolate_station(

@@ -72,7 +72,7 @@ def _angle_steps(df: DataFrame, method: str) -> DataFrame:
     Intermediate values are columns of their own, so each is evaluated once.
     """
     i1, a1, i2, a2, ds = map(F.col, ("prev_inc", "prev_az", "inc", "az", "_ds"))
-    df = df.withColumn("_ds", F.col("md") - F.col("prev_md")).withColumn("_dl", G.dogleg(i1, a1, i2, a2))
+    df = df.withColumns({"_ds": F.col("md") - F.col("prev_md"), "_dl": G.dogleg(i1, a1, i2, a2)})
     if method == MINIMUM_CURVATURE:
         df = df.withColumn("_half", 0.5 * ds * G.ratio_factor("_dl"))
         move = [F.col("_half") * (x + y) for x, y in zip(G.tangent(i1, a1), G.tangent(i2, a2))]
@@ -104,16 +104,11 @@ def complete_survey(measured: DataFrame, method: str = MINIMUM_CURVATURE, key: s
     known = {c: F.coalesce(F.col(c), F.lit(0.0)) if c in measured.columns else F.lit(0.0) for c in POSITION}
     first = F.col("prev_md").isNull()
     across = G.norm("_dn", "_de")
-    df = (
-        df.withColumn("_north", exact(F.when(first, known["north"]).otherwise(F.col("_dn"))))
-        .withColumn("_east", exact(F.when(first, known["east"]).otherwise(F.col("_de"))))
-        .withColumn("_tvd", exact(F.when(first, known["tvd"]).otherwise(F.col("_dt"))))
-        .withColumn("_vsect", exact(F.when(first, known["vsect"]).otherwise(across)))
-    )
+    step = dict(zip(POSITION, (F.col("_dn"), F.col("_de"), F.col("_dt"), across)))
+    df = df.withColumns({"_" + c: exact(F.when(first, known[c]).otherwise(step[c])) for c in POSITION})
     df = df.drop("_dn", "_de", "_dt", *[c for c in POSITION if c in measured.columns])
     df = B.with_running_sum(df, [key], ["seq"], {c: "_" + c for c in POSITION})
-    for c in POSITION:
-        df = df.withColumn(c, F.col(c).cast("double"))
+    df = df.withColumns({c: F.col(c).cast("double") for c in POSITION})
     return with_rates(df).drop("_north", "_east", "_tvd", "_vsect", "_ds", "_dl", "prev_md", "prev_inc", "prev_az")
 
 
@@ -128,11 +123,8 @@ def with_rates(df: DataFrame, wrap: bool = True) -> DataFrame:
     turn = F.col("az") - F.col("prev_az")
     turn = G.wrap_signed(turn) if wrap else turn
     ds = F.when(F.col("_ds") > 0, F.col("_ds"))
-    return (
-        df.withColumn("dls", F.round(F.col("_dl") / ds, 8))
-        .withColumn("bur", F.round((F.col("inc") - F.col("prev_inc")) / ds, 8))
-        .withColumn("tur", F.round(turn / ds, 8))
-    )
+    build = F.col("inc") - F.col("prev_inc")
+    return df.withColumns({"dls": F.round(F.col("_dl") / ds, 8), "bur": F.round(build / ds, 8), "tur": F.round(turn / ds, 8)})
 
 
 def osculating_centre(stations: DataFrame, key: str = "bore_id") -> DataFrame:
