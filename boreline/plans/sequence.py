@@ -1,2 +1,86 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Coarsening, section fitting and realizations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from boreline.functions import blocks as B
+from boreline.operators import sequence
+from boreline.plans.uncertainty import covered_stations
+from boreline.sources import derived as D
+
+
+def _out(df, digits=5):
+    return df.withColumns({c: F.round(c, digits) for c in ("north", "east", "tvd") if c in df.columns})
+
+
+def coarsen_minimum_curvature(spark, sf):
+    return sequence.coarsen_minimum_curvature(D.stations(spark, sf), 0.1).select("bore_id", "seq", "md")
+
+
+def coarsen_circular(spark, sf):
+    return sequence.coarsen_circular(D.stations(spark, sf), 0.1).select("bore_id", "seq", "md")
+
+
+def fit_sections(spark, sf):
+    got = sequence.fit_sections(D.stations(spark, sf))
+    return got.select("bore_id", "section_index", "type", "start_md", "end_md", F.round("first", 9).alias("first"),
+                      F.round("second", 6).alias("second"))
+
+
+def section_chain(spark, sf):
+    got = sequence.section_chain(B.durable(sequence.fit_sections(D.stations(spark, sf))))
+    return got.select("bore_id", "section_index", F.round("gap", 6).alias("gap"))
+
+
+def section_points(spark, sf):
+    got = sequence.section_points(sequence.fit_sections(D.stations(spark, sf)))
+    return _out(got).select("bore_id", "section_index", F.round("md", 4).alias("md"), "north", "east", "tvd")
+
+
+def section_distance(spark, sf):
+    s = B.durable(D.stations(spark, sf))
+    got = sequence.section_distance(sequence.coarsen_circular(s, 0.1), sequence.fit_sections(s))
+    return got.select("bore_id", "seq", "section_index", "type", F.round("distance", 4).alias("distance"))
+
+
+def aggregation_case(spark, sf):
+    cases = D.wellbores(spark, sf).select((F.col("bore_id") % 7).alias("case_id"), "bore_id")
+    got = sequence.aggregation_case(cases, B.durable(D.stations(spark, sf)))
+    return got.withColumns({c: F.round(c, 4) for c in ("worst_distance", "mean_distance")})
+
+
+def _cases(spark, sf):
+    return D.wellbores(spark, sf).select(
+        F.col("bore_id").alias("case_id"), "bore_id", F.when(F.col("bore_id") % 50 == 49, 0).otherwise(40).alias("realizations"),
+        F.lit(0.1).alias("coarsening"), (F.col("bore_id") * 17 + 5).alias("seed"),
+    )
+
+
+def validate_realization_inputs(spark, sf):
+    s = covered_stations(spark, sf).withColumn("c00", F.when(F.col("bore_id") % 20 == 7, -1.0).otherwise(F.col("c00")))
+    return sequence.validate_realization_inputs(_cases(spark, sf), s).select("case_id", "bore_id", "reason")
+
+
+def realize(spark, sf):
+    got = sequence.realize(_cases(spark, sf), covered_stations(spark, sf))
+    return _out(got, 4).select("case_id", "realization", "seq", F.round("md", 4).alias("md"), "north", "east", "tvd", "status")
+
+
+QUERIES = {
+    "coarsen_minimum_curvature": coarsen_minimum_curvature,
+    "coarsen_circular": coarsen_circular,
+    "fit_sections": fit_sections,
+    "section_chain": section_chain,
+    "section_points": section_points,
+    "section_distance": section_distance,
+    "aggregation_case": aggregation_case,
+    "validate_realization_inputs": validate_realization_inputs,
+    "realize": realize,
+}
+
+ORACLES = {
+    "validate_realization_inputs": """
+SELECT DISTINCT user_id AS case_id, user_id AS bore_id, CASE WHEN user_id%50=49 THEN 'realization count must be between 1 and 1000'
+  WHEN user_id%20=7 THEN 'covariance with a negative eigenvalue' END AS reason FROM events""",
+}
