@@ -73,6 +73,7 @@ def manifest(spark, sf):
     lines = _lines(spark, sf, keep_block=False).withColumn("part", F.floor(F.col("seq") / FILE_ROWS))
     files = lines.groupBy("bore_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("_l"))
     content = F.array_join(F.col("_l.line"), "\n")
+    content = F.when(F.col("part") == 0, F.concat(F.lit("-100.0;0.0;0.0\n"), content)).otherwise(content)
     row = F.col("bore_id") * 1000 + F.col("part")
     setting = {c: F.lit(text.SETTINGS[c]) for c in documents.SETTING_FIELDS}
     return files.select(
