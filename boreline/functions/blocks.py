@@ -65,6 +65,17 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="boreline-checkpoint-")
 
 
+def stack(keys: Sequence[str], first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Union by name, hashed afresh on the keys, for use by operators on these keys.
+
+    Spark 4.1 takes a union of equally hashed inputs for hashed and plans no exchange above it, while adaptive
+    execution may coalesce the inputs differently; the explicit exchange keeps the rows of a key together.
+    """
+    for other in others:
+        first = first.unionByName(other)
+    return first.repartition(*keys, *([BLOCK] if is_split(first) else []))
+
+
 def _along(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, *([BLOCK] if is_split(df) else [])).orderBy(*order)
 

@@ -34,6 +34,7 @@ def bracket(points: DataFrame, segments: DataFrame, keys: Sequence[str], md: str
     if B.is_split(points) or B.is_split(segments):
         both = B.durable(both.withColumn("_metre", F.floor("_at").cast("bigint")))
         both = B.split_large_wells(both, keys, "_metre").drop("_metre")
+    both = B.stack(keys, both)
     both = with_last(both, keys, order, "_seg", "_found")
     hit = both.filter("_side = 1")
     out = hit.select(*keys, *[F.col("_point")[c].alias(c) for c in rest], *[F.col("_found")[c].alias(c) for c in fields])

@@ -132,7 +132,7 @@ def enforce_single_definitive(paths: DataFrame) -> DataFrame:
 
 def upsert_table(current: DataFrame, changes: DataFrame, key: str, version: str = "version") -> DataFrame:
     """The newest version of every id over stored rows and changes."""
-    rows = current.unionByName(changes)
+    rows = B.stack([key], current, changes)
     columns = [c for c in rows.columns if c != key]
     return (
         rows.groupBy(key)

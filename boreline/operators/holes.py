@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boreline.functions import blocks as B
 from boreline.functions import geometry as G
 from boreline.functions.joins import interval_join
 
@@ -62,7 +63,7 @@ def hole_intervals(parts: DataFrame, wellheads: DataFrame) -> DataFrame:
             F.col("_radius").alias("radius"),
         )
 
-    every = interval(surface).unionByName(interval(sizes)).unionByName(interval(hole))
+    every = B.stack(["bore_id"], interval(surface), interval(sizes), interval(hole))
     return every.filter("radius IS NOT NULL AND end_md > start_md")
 
 
@@ -166,7 +167,7 @@ def internal_depths(parts: DataFrame, wellheads: DataFrame, first_and_last: Data
         ),
         F.lit(4).alias("rank"),
     )
-    every = ends.unionByName(shoes).unionByName(hangers).unionByName(changes).filter(G.is_defined("depth"))
+    every = B.stack(["bore_id"], ends, shoes, hangers, changes).filter(G.is_defined("depth"))
     given = F.when(F.trim("annotation") != "", F.col("rank"))
     return (
         every.groupBy("bore_id", F.round(F.col("depth") / DEPTH_TOLERANCE).alias("_q"))

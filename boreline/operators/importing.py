@@ -161,7 +161,7 @@ def _names(good: DataFrame, existing_runs: DataFrame, existing_paths: DataFrame)
     taken = existing_paths.select("bore_id", "name").join(cleared, "bore_id", "left_anti")
     kept = df.filter("replaced_traj_id IS NOT NULL").withColumn("path_name", F.col("base"))
     fresh = _free_names(df.filter("replaced_traj_id IS NULL"), taken, "path_name")
-    return fresh.unionByName(kept.select(*fresh.columns))
+    return B.stack(["bore_id"], fresh, kept.select(*fresh.columns))
 
 
 def _free_names(rows: DataFrame, taken: DataFrame, name: str) -> DataFrame:

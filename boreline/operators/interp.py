@@ -81,7 +81,7 @@ def interpolate_grid(cases: DataFrame, stations: DataFrame, depths: DataFrame |
         return regular
     listed = interpolate_station(depths.select("case_id", "bore_id", "md", "annotation"), stations)
     quantum = F.round(F.col("md") / DEPTH_TOLERANCE)
-    both = regular.unionByName(listed).groupBy("case_id", "bore_id", quantum.alias("_q")).agg(
+    both = B.stack(["case_id", "bore_id"], regular, listed).groupBy("case_id", "bore_id", quantum.alias("_q")).agg(
         F.min_by(F.struct("md", *PLACE), F.struct(F.col("annotation").isNull(), "md")).alias("_row"),
         F.max("annotation").alias("annotation"),
     )
@@ -202,7 +202,8 @@ def nearest_station(points: DataFrame, stations: DataFrame, key: str = "bore_id"
     spans = span.select(
         key, F.col("seq").alias("a_seq"), F.col("md").alias("a_md"),
         F.col("next_seq").alias("b_seq"), F.col("next_md").alias("b_md"),
-    ).unionByName(opening)
+    )
+    spans = B.stack([key], spans, opening)
     df = bracket(points, spans, [key])
     to_a = F.when(F.col("a_seq").isNotNull(), F.abs(F.col("md") - F.col("a_md")))
     to_b = F.abs(F.col("md") - F.col("b_md"))
@@ -247,7 +248,7 @@ def densify_chord_arc(stations: DataFrame, limit: float | None, key: str = "bore
     cut = segs.withColumn("_n", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     cut = cut.withColumn("md", F.col("a_md") + F.col("_k") * (F.col("b_md") - F.col("a_md")) / F.col("_n"))
     inner = on_arc(cut.filter("_k > 0")).select(*columns)
-    return stations.select(*columns).unionByName(inner)
+    return B.stack([key], stations.select(*columns), inner)
 
 
 def _cut_at_tie_in(measured: DataFrame, bores: DataFrame, rebase: bool) -> DataFrame:

@@ -223,7 +223,7 @@ def apply_tie_in(
     rest = df.filter(keep).withColumn("seq", F.when(F.col("_has"), F.col("seq") + 1).otherwise(F.col("seq")))
     rest = rest.select(*columns)
     start = tie_in.join(reach.filter("_has").select(key), key, "left_semi").withColumn("seq", F.lit(0).cast("bigint"))
-    return rest.unionByName(start.select(*columns))
+    return B.stack([key], rest, start.select(*columns))
 
 
 def tie_in_relabel(bores: DataFrame, measured: DataFrame) -> DataFrame:

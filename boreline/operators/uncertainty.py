@@ -214,7 +214,7 @@ def ensure_covariance(
     todo = df.filter("NOT _given").withColumn("tool_id", F.coalesce("tool_id", "_tool"))
     simple = covariance_wolff_dewardt(todo.filter(F.col("_model").isin(*WOLFF_DEWARDT)).select(*columns), instruments, key)
     rich = covariance_iscwsa(todo.filter(F.col("_model").isin(*ISCWSA)).select(*columns), instruments, sources, key)
-    return kept.unionByName(simple.select(*columns)).unionByName(rich.select(*columns)), rejects
+    return B.stack([key], kept, simple.select(*columns), rich.select(*columns)), rejects
 
 
 def first_station_covariance(stations: DataFrame, wellhead: DataFrame, key: str = "bore_id") -> DataFrame:
@@ -444,7 +444,7 @@ def envelope_slices(
     cut = cut.withColumn("md", F.col("a_md") + F.col("_k") * (F.col("b_md") - F.col("a_md")) / F.col("_parts"))
     inner = on_arc(cut.filter("_k > 0"), linear=extra).select(key, "seq", F.col("_k").alias("part"), *fields)
     own = stations.select(key, "seq", F.lit(0).alias("part"), *fields)
-    df = own.unionByName(inner).filter("c00 IS NOT NULL").withColumn("hole_radius", F.coalesce("hole_radius", F.lit(0.0)))
+    df = B.stack([key], own, inner).filter("c00 IS NOT NULL").withColumn("hole_radius", F.coalesce("hole_radius", F.lit(0.0)))
     k = chi_square_3d(confidence) ** 0.5
     df = df.withColumns(_frame())
     major, minor, angle = _perpendicular(k)
@@ -453,7 +453,7 @@ def envelope_slices(
                          "tangent_axis": k * F.sqrt(F.greatest(tangent, F.lit(0.0)))})
     last = stations.groupBy(key).agg(F.max("seq").alias("_last"))
     ends = df.filter("part = 0").join(last, key).filter("seq = _last").drop("_last")
-    every = df.withColumn("cap", F.lit(0)).unionByName(terminal_cap(ends))
+    every = B.stack([key], df.withColumn("cap", F.lit(0)), terminal_cap(ends))
     order = ["seq", "part", "cap"]
     if B.is_split(stations):
         every = every.withColumn(B.BLOCK, F.shiftright("seq", 16))

@@ -143,7 +143,7 @@ def straight_pair(spark, gap, sigma=1.0, radius=0.1, tilt=0.0):
     rows = []
     for b, x, inc in ((1, 0.0, 0.0), (2, gap, tilt)):
         for i in range(6):
-            rows.append((b, i, 30.0 * i, inc, 0.0, x + 30.0 * i * np.sin(inc), 0.0, 30.0 * i * np.cos(inc), sigma**2, 0.0, 0.0, sigma**2, 0.0, 0.01, radius))
+            rows.append((b, i, 30.0 * i, inc, 0.0, float(x + 30.0 * i * np.sin(inc)), 0.0, float(30.0 * i * np.cos(inc)), sigma**2, 0.0, 0.0, sigma**2, 0.0, 0.01, radius))
     schema = "bore_id long, seq long, md double, inc double, az double, north double, east double, tvd double, " + ", ".join(
         c + " double" for c in COV) + ", hole_radius double"
     return spark.createDataFrame(rows, schema)
@@ -196,7 +196,7 @@ def test_slab_contact_against_sampling():
     ring = np.stack([3 * np.cos(ang), 2 * np.sin(ang), 0 * ang], axis=1)
     n, d = touch.slab_planes(ring[None], (ring * 1.2 + [0.3, 0, 4.0])[None])
     start, end = rng.uniform(-6, 6, (400, 3)), rng.uniform(-6, 6, (400, 3))
-    got = np.array([touch.edges_meet(n, d, a[None, None], b[None, None])[0] for a, b in zip(start, end)])
+    got = np.array([touch.edges_meet(n, d, a[None, None], b[None, None])[1][0] for a, b in zip(start, end)])
     u = np.linspace(0, 1, 2001)[:, None]
     inside = np.array([((a + u * (b - a)) @ n[0].T <= d[0] + 1e-9).all(axis=1).any() for a, b in zip(start, end)])
     assert got.sum() > 30 and (got | ~inside).all() and (got != inside).mean() < 0.01
