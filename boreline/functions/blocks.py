@@ -76,6 +76,18 @@ def stack(keys: Sequence[str], first: DataFrame, *others: DataFrame) -> DataFram
     return first.repartition(*keys, *([BLOCK] if is_split(first) else []))
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash on the keys into all shuffle partitions.
+
+    Adaptive execution merges partitions by their bytes.  Where a small row carries much work (a Python kernel, a
+    search) that would leave most cores idle; a stated number of partitions is kept.  It is one more than the number
+    the planner uses itself: with the same number an exchange of the planner below would count as this one, and be
+    merged all the same.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    return df.repartition(count, *keys)
+
+
 def _along(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, *([BLOCK] if is_split(df) else [])).orderBy(*order)
 

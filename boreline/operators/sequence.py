@@ -44,7 +44,7 @@ def walk(df: DataFrame, keys: list[str], step: Callable, columns: list[str]) ->
         return pdf.iloc[kept][[*keys, "seq", *columns]]
 
     if not B.is_split(df):
-        return rows.groupBy(*keys).applyInPandas(whole, plain)
+        return B.spread(rows, keys).groupBy(*keys).applyInPandas(whole, plain)
 
     last = rows.groupBy(*keys).agg(F.max(B.BLOCK).alias("_end"))
     count = last.agg(F.max("_end")).first()[0]
@@ -73,7 +73,7 @@ def walk(df: DataFrame, keys: list[str], step: Callable, columns: list[str]) ->
         now = rows.filter(F.col(B.BLOCK) == number).select(*names, F.lit(False).alias("_again"))
         if carry is not None:
             now = now.unionByName(carry.select(*names, F.lit(True).alias("_again")))
-        out = B.durable(now.groupBy(*keys).applyInPandas(part(number), schema))
+        out = B.durable(B.spread(now, keys).groupBy(*keys).applyInPandas(part(number), schema))
         carry = out.filter("_open")
         kept = out.filter("NOT _open").select(*keys, "seq", *columns)
         done = kept if done is None else done.unionByName(kept)
@@ -345,7 +345,7 @@ def fit_sections(
         return pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in SECTIONS_SCHEMA.split(", ")]])
 
     usable = survey.usable_source_points(stations).select(key, "seq", *block, *STATION)
-    fitted = usable.groupBy(key, *block).applyInPandas(fit, f"{key} {key_type}, {SECTIONS_SCHEMA}")
+    fitted = B.spread(usable, [key, *block]).groupBy(key, *block).applyInPandas(fit, f"{key} {key_type}, {SECTIONS_SCHEMA}")
     if not block:
         return fitted
     numbered = B.with_position(fitted.drop("section_index"), [key], ["start_md"], "section_index")
@@ -446,7 +446,7 @@ def section_distance(points: DataFrame, sections: DataFrame, key: str = "bore_id
             if out:
                 yield pd.concat(out)
 
-    every = pairs.mapInPandas(nearest, schema)
+    every = B.spread(pairs, [key, "run", "section_index"]).mapInPandas(nearest, schema)
     fields = ["section_index", "type", "md", "north", "east", "tvd", "distance", "section_u"]
     best = F.min_by(F.struct(*fields), F.struct("distance", "section_index"))
     return every.groupBy(key, "seq", "ref_md").agg(best.alias("_b")).select(key, "seq", "ref_md", "_b.*")
@@ -540,9 +540,8 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
         f"case_id {case_type}, realization int, seq bigint, md double, inc double, az double, north double, east double, "
         "tvd double, ok boolean"
     )
-    drawn = rows.select("case_id", "first", "realizations", "seed", "seq", *columns).groupBy("case_id", "first").applyInPandas(
-        _realize_batch, schema
-    )
+    rows = B.spread(rows.select("case_id", "first", "realizations", "seed", "seq", *columns), ["case_id", "first"])
+    drawn = rows.groupBy("case_id", "first").applyInPandas(_realize_batch, schema)
     drawn = B.durable(drawn)
     failed = drawn.filter("NOT ok").select("case_id").distinct()
     path = F.struct("case_id", "realization").alias("path")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from boreline.session import attach
+
 MODULES = ("core", "catalog", "interpolation", "proximity", "uncertainty", "grid", "sequence", "ingest")
 
 
@@ -18,8 +21,16 @@ def _collect(attribute: str) -> dict:
     return merged
 
 
+def _attached(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        return query(attach(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return _collect("QUERIES")
+    return {name: _attached(query) for name, query in _collect("QUERIES").items()}
 
 
 def oracle_sql() -> dict:

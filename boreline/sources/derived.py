@@ -25,6 +25,11 @@ def _block(df: DataFrame) -> list[str]:
     return [B.BLOCK] if B.is_split(df) else []
 
 
+def _by_well(df: DataFrame) -> DataFrame:
+    """The one exchange every window below shares; rows are few bytes but much trigonometry."""
+    return B.spread(df, ["bore_id", *_block(df)])
+
+
 def _angles(df: DataFrame) -> DataFrame:
     md, bore = F.col("md"), F.col("bore_id")
     return df.withColumn("inc", F.round(0.6 + 0.5 * F.sin(md / 400.0 + bore), 6)).withColumn(
@@ -45,7 +50,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bore_id, event_id, seq, md, inc, az, north, east, tvd); the position is set on the first row only."""
     step = F.expr("CAST(5 + least(value, 60) AS DECIMAL(12,2))")
     raw = table(spark, sf_dir, "events").select(F.col("user_id").alias("bore_id"), "event_id", step.alias("step"))
-    raw = B.split_large_wells(raw, ["bore_id"], "event_id")
+    raw = _by_well(B.split_large_wells(raw, ["bore_id"], "event_id"))
     raw = B.with_running_sum(raw, ["bore_id"], ["event_id"], {"md": "step", "seq": F.lit(1)})
     rows = raw.select(
         "bore_id", "event_id", *_block(raw), (F.col("seq") - 1).cast("bigint").alias("seq"), F.col("md").cast("double").alias("md")
@@ -58,7 +63,7 @@ def large_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     step = F.expr("CAST(5 + l_quantity AS DECIMAL(12,2))")
     raw = table(spark, sf_dir, "lineitem").select(*order, step.alias("step")).withColumn("bore_id", F.col("l_suppkey"))
-    raw = B.split_large_wells(raw, ["bore_id"], "l_orderkey")
+    raw = _by_well(B.split_large_wells(raw, ["bore_id"], "l_orderkey"))
     raw = B.with_running_sum(raw, ["bore_id"], order, {"md": "step", "seq": F.lit(1)})
     rows = raw.select(
         "bore_id", *_block(raw), (F.col("seq") - 1).cast("bigint").alias("seq"), F.col("md").cast("double").alias("md")
