@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boreline.operators import catalog, hierarchy, holes
+from boreline.operators import catalog, hierarchy, holes, survey
 from boreline.plans import sql
 from boreline.sources import derived as D
 
@@ -188,6 +188,26 @@ def filter_and_sort_by_name(spark, sf):
     return catalog.filter_and_sort_by_name(D.trajectories(spark, sf), type="Planned").select("traj_id", "name", "type")
 
 
+def _runs(spark, sf):
+    """One survey run per order, some with empty or missing ids."""
+    o = D.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        F.when(k % 53 != 0, k.cast("string")).alias("run_id"), F.col("o_custkey").alias("bore_id"),
+        F.when(k % 47 == 0, catalog.NO_ID).otherwise((k % 10).cast("string")).alias("instrument_id"),
+        F.when(k % 2 == 0, "Actual").otherwise("Planned").alias("run_type"), k.alias("k"),
+    )
+
+
+def filter_survey_runs(spark, sf):
+    got = catalog.filter_survey_runs(_runs(spark, sf), instrument_id="3", run_type="Planned", bore_id=None)
+    return got.select("k", "bore_id", "instrument_id", "run_type")
+
+
+def validate_run_metadata(spark, sf):
+    return survey.validate_run_metadata(_runs(spark, sf)).select("k", "reason")
+
+
 def search_text(spark, sf):
     named = catalog.enrich_names(
         D.trajectories(spark, sf),
@@ -348,6 +368,8 @@ QUERIES = {
     "filter_catalog": filter_catalog,
     "filter_and_sort_by_name": filter_and_sort_by_name,
     "search_text": search_text,
+    "filter_survey_runs": filter_survey_runs,
+    "validate_run_metadata": validate_run_metadata,
     "project_light": project_light,
     "list_ids": list_ids,
     "scan_by_ids": scan_by_ids,
@@ -461,6 +483,12 @@ SELECT traj_id, name, type FROM traj WHERE type='Planned' ORDER BY name"""),
     "search_text": sql.query(sql.TRAJ, select="""
 SELECT traj_id, name, c_name AS bore_name FROM traj LEFT JOIN customer ON c_custkey=bore_id
 WHERE name ILIKE '%urgent%' OR description ILIKE '%urgent%' OR c_name ILIKE '%urgent%' OR type ILIKE '%urgent%'"""),
+    "filter_survey_runs": """
+SELECT o_orderkey AS k, o_custkey AS bore_id, '3' AS instrument_id, 'Planned' AS run_type FROM orders
+WHERE o_orderkey%10=3 AND o_orderkey%47<>0 AND o_orderkey%2<>0""",
+    "validate_run_metadata": """
+SELECT o_orderkey AS k, CASE WHEN o_orderkey%53=0 THEN 'missing run id' WHEN o_orderkey%47=0 THEN 'missing instrument id' END AS reason
+FROM orders""",
     "project_light": sql.query(sql.TRAJ, select="SELECT traj_id, name, type, is_definitive, modified FROM traj"),
     "list_ids": "SELECT o_orderkey AS traj_id FROM orders",
     "scan_by_ids": sql.query(sql.TRAJ, select="""

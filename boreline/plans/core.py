@@ -58,6 +58,16 @@ def usable_source_points(spark, sf):
     return survey.usable_source_points(joined).select("bore_id", "seq", "md", "inc")
 
 
+def usable_stations(spark, sf):
+    """Stations left when some positions are not numbers and some depths infinite."""
+    s = D.stations(spark, sf)
+    s = s.withColumns({
+        "north": F.when(F.col("seq") % 13 == 5, F.lit(float("nan"))).otherwise(F.col("north")),
+        "md": F.when(F.col("seq") % 17 == 5, F.lit(float("inf"))).otherwise(F.col("md")),
+    })
+    return survey.usable_stations(s).select("bore_id", "seq", "md", "north")
+
+
 def survey_md_range(spark, sf):
     return survey.survey_md_range(D.measurements(spark, sf))
 
@@ -257,6 +267,7 @@ QUERIES = {
     "segments": segments,
     "validate_measurements": validate_measurements,
     "usable_source_points": usable_source_points,
+    "usable_stations": usable_stations,
     "survey_md_range": survey_md_range,
     "md_spacing": md_spacing,
     "estimate_md_step": estimate_md_step,
@@ -289,6 +300,7 @@ SELECT bore_id, n, all_defined, increasing, CASE WHEN NOT all_defined THEN 'unde
   FROM (SELECT *, lag(md) OVER w AS pmd FROM faulty {sql.WIN}) GROUP BY bore_id)"""),
     "usable_source_points": sql.query(sql.MEAS, FAULTY,
                                       select="SELECT bore_id, seq, md, inc FROM faulty WHERE inc IS NOT NULL"),
+    "usable_stations": sql.query(sql.STN, select="SELECT bore_id, seq, md, north FROM stn WHERE seq%13<>5 AND seq%17<>5"),
     "survey_md_range": sql.query(sql.MEAS, select="SELECT bore_id, min(md) start_md, max(md) end_md FROM meas GROUP BY 1"),
     "md_spacing": sql.query(sql.MEAS, FAULTY, select=f"""
 SELECT bore_id, count(*) n_stations, round(min(d),4) min_spacing, round(max(d),4) max_spacing

@@ -170,6 +170,15 @@ def export_wide(spark, sf):
     return exports.export_realizations_wide(s, [0, 1, 2, 3, 4], ("md", "tvd"))
 
 
+def export_long(spark, sf):
+    """All bores of each well stacked in files, read back."""
+    path = _folder(spark) + "/long"
+    s = D.stations(spark, sf).select(
+        (F.col("bore_id") - F.col("bore_id") % 5).alias("case_id"), (F.col("bore_id") % 5).alias("realization"), "seq", "md", "tvd")
+    exports.export_realizations_long(s, path)
+    return spark.read.csv(path, sep="\t", header=True, schema="realization bigint, seq bigint, md double, tvd double, case_id bigint")
+
+
 def export_covariance(spark, sf):
     """Covariance files written and read back: their rows and totals per wellbore."""
     path = _folder(spark) + "/covariance"
@@ -249,6 +258,7 @@ QUERIES = {
     "load_sf_profiles": load_sf_profiles,
     "export_station_table": export_station_table,
     "export_wide": export_wide,
+    "export_long": export_long,
     "export_covariance": export_covariance,
     "write_pages": write_pages,
     "expire_sf_results": expire_sf_results,
@@ -280,6 +290,7 @@ SELECT bore_id, seq, round(md/0.3048::DOUBLE,6) AS md, round(degrees(inc),6) AS
   round(degrees(bur)*30,6) AS bur FROM stn"""),
     "export_wide": sql.query(sql.STN, select="SELECT bore_id-bore_id%5 AS case_id, seq, " + ", ".join(
         f'max(CASE WHEN bore_id%5={r} THEN {c} END) AS "{r}_{c}"' for r in range(5) for c in ("md", "tvd")) + " FROM stn GROUP BY 1,2"),
+    "export_long": sql.query(sql.STN, select="SELECT bore_id-bore_id%5 AS case_id, bore_id%5 AS realization, seq, md, tvd FROM stn"),
     "export_covariance": sql.query(sql.STN, sql.TOOLS, sql.WOLFF, select="""
 SELECT bore_id, count(*) AS n, round(sum(md),4) AS md, round(max(c00),6) AS c00 FROM cov GROUP BY 1"""),
     "write_pages": sql.query(sql.MEAS, select="""
