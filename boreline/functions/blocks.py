@@ -14,7 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1 << 20
@@ -43,19 +43,29 @@ def split_large_wells(
     return df.withColumn(BLOCK, F.floor((F.col(position) - F.lit(top["lo"])) / width).cast("bigint"))
 
 
+def block_column(df: DataFrame) -> list[str]:
+    """``["_block"]`` for a split table, else nothing: to be selected beside the other columns."""
+    return [BLOCK] if is_split(df) else []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share: the session's ``spark.checkpoint.dir``.  Only a local session may go without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_folder()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it back.
 
     The written table survives the loss of executors, cuts the lineage of loops, and gives readers column pruning and
-    true sizes.  The folder is the session's ``spark.checkpoint.dir``; only a local session may go without it.
+    true sizes.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = _local_folder()
-    path = f"{folder.rstrip('/')}/boreline-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/boreline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,11 +79,11 @@ def stack(keys: Sequence[str], first: DataFrame, *others: DataFrame) -> DataFram
     """Union by name, hashed afresh on the keys, for use by operators on these keys.
 
     Spark 4.1 takes a union of equally hashed inputs for hashed and plans no exchange above it, while adaptive
-    execution may coalesce the inputs differently; the explicit exchange keeps the rows of a key together.
+    execution may coalesce the inputs differently; the exchange of ``spread`` keeps the rows of a key together.
     """
     for other in others:
         first = first.unionByName(other)
-    return first.repartition(*keys, *([BLOCK] if is_split(first) else []))
+    return spread(first, [*keys, *block_column(first)])
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:

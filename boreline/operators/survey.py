@@ -211,9 +211,12 @@ def apply_tie_in(
     run keeps its rows (``keep_when_nothing_below``).  ``tie_in`` has one row per well: key, md, inc, az, north,
     east, tvd.
     """
-    columns = [key, "seq", "md", "inc", "az", "north", "east", "tvd"]
+    block = B.block_column(measured)
+    columns = [key, "seq", *block, "md", "inc", "az", "north", "east", "tvd"]
     at = tie_in.select(key, F.col("md").alias("_tie_md"))
-    deepest = measured.groupBy(key).agg(F.max("md").alias("_deep"))
+    # the new first row goes to the first block of its well
+    top = [F.min(c).alias(c) for c in block]
+    deepest = measured.groupBy(key).agg(F.max("md").alias("_deep"), *top)
     reach = at.join(deepest, key).withColumn("_has", F.col("_deep") >= F.col("_tie_md") - DEPTH_TOLERANCE)
     df = measured.select(*columns).join(reach.select(key, "_tie_md", "_has"), key, "left")
     below = F.col("md") > F.col("_tie_md") + DEPTH_TOLERANCE
@@ -222,7 +225,7 @@ def apply_tie_in(
         keep = keep | ~F.col("_has")
     rest = df.filter(keep).withColumn("seq", F.when(F.col("_has"), F.col("seq") + 1).otherwise(F.col("seq")))
     rest = rest.select(*columns)
-    start = tie_in.join(reach.filter("_has").select(key), key, "left_semi").withColumn("seq", F.lit(0).cast("bigint"))
+    start = tie_in.join(reach.filter("_has").select(key, *block), key).withColumn("seq", F.lit(0).cast("bigint"))
     return B.stack([key], rest, start.select(*columns))
 
 

@@ -443,7 +443,7 @@ def envelope_slices(
     cut = segs.withColumn("_parts", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     cut = cut.withColumn("md", F.col("a_md") + F.col("_k") * (F.col("b_md") - F.col("a_md")) / F.col("_parts"))
     inner = on_arc(cut.filter("_k > 0"), linear=extra).select(key, "seq", F.col("_k").alias("part"), *fields)
-    own = stations.select(key, "seq", F.lit(0).alias("part"), *fields)
+    own = stations.select(key, "seq", F.lit(0).alias("part"), *fields)  # blocks are set afresh below
     df = B.stack([key], own, inner).filter("c00 IS NOT NULL").withColumn("hole_radius", F.coalesce("hole_radius", F.lit(0.0)))
     k = chi_square_3d(confidence) ** 0.5
     df = df.withColumns(_frame())
@@ -457,9 +457,9 @@ def envelope_slices(
     order = ["seq", "part", "cap"]
     if B.is_split(stations):
         every = every.withColumn(B.BLOCK, F.shiftright("seq", 16))
-    numbered = B.with_position(every, [key], order, "slice").drop(B.BLOCK)
+    numbered = B.with_position(every, [key], order, "slice")
     return numbered.select(
-        key, "slice", "seq", "part", "cap", "md", "north", "east", "tvd", "inc", "az",
+        key, "slice", *B.block_column(numbered), "seq", "part", "cap", "md", "north", "east", "tvd", "inc", "az",
         "_hn", "_he", "_ht", "_rn", "_re", "a", "b", "theta", F.col("hole_radius").alias("r0"), "tangent_axis",
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,9 +16,8 @@ from boreline.streaming import jobs
 
 
 def _folder(spark) -> str:
-    """A fresh folder under the session's checkpoint folder, for tables a stream writes."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/boreline-run-{uuid.uuid4().hex}"
+    """A fresh shared folder for the tables a query writes."""
+    return f"{B.shared_folder(spark)}/boreline-run-{uuid.uuid4().hex}"
 
 
 def _lines(spark, sf, keep_block: bool = True):

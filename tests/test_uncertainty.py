@@ -207,3 +207,17 @@ def test_tie_in_station_is_inserted_once(spark):
     minimum = spark.createDataFrame([(1, 45.0), (2, 60.0)], "bore_id long, md double")
     got = separation.insert_tie_in_slice(s, minimum).toPandas()
     assert sorted(got[got.bore_id == 1].md) == [0, 30, 45, 60, 90, 120, 150] and (got.bore_id == 2).sum() == 6
+
+
+def test_envelopes_of_split_wells(spark, covered):
+    """Slices, ranges and factors are the same when the stations come in blocks."""
+    cut = covered.withColumn(B.BLOCK, F.floor(F.col("seq") / 9).cast("bigint"))
+    order = ["bore_id", "slice"]
+    a = uncertainty.envelope_slices(covered, 0.999).toPandas().sort_values(order).reset_index(drop=True)
+    b = uncertainty.envelope_slices(cut, 0.999).toPandas().sort_values(order).reset_index(drop=True)
+    assert np.allclose(a[["md", "north", "a", "b", "r0"]], b[["md", "north", "a", "b", "r0"]]) and (a.slice == b.slice).all()
+    pairs = spark.createDataFrame([(1, 2, 50.0, 60.0), (3, 4, None, None)], "ref_id long, cmp_id long, ref_min_md double, cmp_min_md double")
+    x, y = (separation.separation_factor(pairs, s, 0.999).toPandas().sort_values(["ref_id", "slice"]) for s in (covered, cut))
+    assert len(x) == len(y) and np.allclose(x[["ref_md", "cmp_md", "sf"]], y[["ref_md", "cmp_md", "sf"]])
+    p, q = (separation.relevant_md_ranges(pairs, s).toPandas().sort_values("ref_id") for s in (covered, cut))
+    assert np.allclose(p, q)
