@@ -11,7 +11,7 @@ from importlib import import_module
 
 from boreline.session import attach
 
-MODULES = ("contamination", "languages", "mixture", "quality", "tokenfiles")
+MODULES = ("contamination", "forest", "languages", "mixture", "quality", "tokenfiles")
 
 
 def _collect(attribute: str) -> dict:

@@ -11,6 +11,8 @@ from boreline.functions.blocks import durable
 from boreline.llm import text
 
 BUCKETS = 1 << 18
+#: The bucket of repeated words, which hashing may give to others too.
+REPEATED = 0
 GRAM = 3
 WIDTH = 8
 EPOCHS = 8
@@ -25,11 +27,17 @@ SEED = 1
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words and n-grams in the texts, and the place in them where each text's begin (one more).
 
-    Words end at white space and keep their case and marks; n-grams are runs of three UTF-8 bytes.
+    Words end at white space and keep their case and marks; n-grams are runs of three UTF-8 bytes.  A word that is the
+    one before it again goes to a bucket of its own, so that repeating is learned whatever the word.
     """
     starts, ends, first = text.spans(data, offsets, text.SPACE_WORDS)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    words = (text.span_hashes(data, starts, ends, seed=1) >> shift).astype(np.int32)
+    hashes = text.span_hashes(data, starts, ends, seed=1)
+    words = (hashes >> shift).astype(np.int32)
+    again = np.zeros(len(words), bool)
+    again[1:] = hashes[1:] == hashes[:-1]
+    again[first[:-1][first[:-1] < len(words)]] = False
+    words[again] = REPEATED
     count = max(0, len(data) - GRAM + 1)
     code = np.zeros(count, np.uint32)
     for k in range(GRAM):
