@@ -11,7 +11,7 @@ from importlib import import_module
 
 from boreline.session import attach
 
-MODULES = ("contamination", "forest", "languages", "mixture", "quality", "sentences", "tokenfiles")
+MODULES = ("contamination", "forest", "languages", "mixture", "quality", "sentences", "setjoin", "tokenfiles")
 
 
 def _collect(attribute: str) -> dict:
