@@ -11,7 +11,9 @@ from importlib import import_module
 
 from boreline.session import attach
 
-MODULES = ("contamination", "forest", "languages", "mixture", "quality", "sentences", "setjoin", "tokenfiles")
+MODULES = (
+    "contamination", "contexts", "forest", "languages", "mixture", "quality", "sentences", "setjoin", "suffixes", "tokenfiles",
+)
 
 
 def _collect(attribute: str) -> dict:

@@ -219,12 +219,13 @@ def _blocks(benchmark: DataFrame, limit: int):
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Adds to ``docs``: ``_n_words``, ``_hit_spans`` (pairs of word places, merged) and ``_hit_items`` (sorted).
+    """Adds to ``docs``, in place of columns of these names: ``_n_words``, ``_hit_spans`` (pairs of word places, merged) and ``_hit_items`` (sorted).
 
     Words are runs of letters, digits and non-ASCII characters of the lower-cased text, told apart by 64-bit hashes.  A
     null or empty text has no words and no hits; an item without words is never met; items repeated under one id count
     once, and items of a null id under the empty name.  Without items nothing is hit.
     """
+    docs = docs.drop(_WORDS, _HITS, _ITEMS)
     kept = docs.schema.fieldNames()
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{_WORDS} long", f"{_HITS} array<array<int>>", f"{_ITEMS} array<string>"])
 
@@ -270,11 +271,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, longest: int | None = None, **options) -> DataFrame:
     """The rows of ``docs`` without those whose hit words are one in ``share`` or more, or that hold a hit span of more
     than ``longest`` words where that is given.  Other rows stay as they are, with all their columns."""
-    found = find_items(docs, benchmark, window, **options)
+    found = find_items(text.packed(docs, F.col("text")), benchmark, window, **options)
     bad = _contaminated(share)
     if longest is not None:
         bad = bad | F.exists(_HITS, lambda s: s[1] - s[0] > longest)
-    return found.filter(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(~bad).select("_doc.*")
 
 
 def op6_decontamination(spark, sf_dir):

@@ -144,13 +144,14 @@ def learn_filters(docs: DataFrame, sample: int = SAMPLE, held_by: float = HELD_B
 
 
 def predict_languages(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` with two more columns, ``lang_pred`` and ``lang_score``, from every whole ``text``.
+    """``docs`` with the columns ``lang_pred`` and ``lang_score``, in place of any of these names, from every whole ``text``.
 
     The language that holds most of the text's n-grams, counted each time they occur and corrected for the filter's
     false positives; ties go to the language with more documents learned from.  The score is its share of the counts of all languages.  A text that is
     null or has no letter, and every text if nothing was learned, is ``und`` with score 0.  A text with letters whose
     n-grams are all unknown, or that is too short to have one, goes to the commonest language with score 0.
     """
+    docs = docs.drop("lang_pred", "lang_score")
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string", "lang_score double"]
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded: see HELD_BY
 

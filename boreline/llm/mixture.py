@@ -39,17 +39,18 @@ def water_fill(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = CYCLE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, row, size, source_size, target, times, taken.
 
     ``size`` counts the words of the whole text (null: 0).  Sources in code point order, null last, take the weights in
     turn.  A source's target is reached by whole repetitions of all its documents and one more of those that come first
     in a seeded order, up to the document whose middle passes the target; so the words taken miss the target by half a
     document at most, and no document is taken more than ``epochs`` times.  Rows with one doc_id are rows of their own;
-    null doc_ids take the place of the text ``null``; empty texts are taken 0 words; an empty table gives no rows.
+    null doc_ids take the place of the text ``null``; texts without words are taken 0 words, any number of times; an empty table gives no rows.
+    ``row`` is the key by which ``repeat_documents`` finds the row again.
     """
     key = F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(text.SPACED)), F.lit(0)).cast("long")
-    sized = durable(docs.select("doc_id", "source", size.alias("size"), key.alias("_key")))
+    sized = durable(docs.select("doc_id", "source", text.row_key().alias("row"), size.alias("size"), key.alias("_key")))
 
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_one", F.lit(1).cast("long"))
     sources = running.before(sources, [F.col("source").asc_nulls_last()], "_one", "_place")
@@ -65,7 +66,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = CYCLE, epochs: int = E
     ordered = running.before(sized, [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
     joined = ordered.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     extra = (F.col("_before") - F.col("_base") + F.col("size") / 2 <= F.col("_quota")).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("_whole") + extra)).alias("taken"))
+    joined = joined.withColumn("times", F.least(F.col("_whole") + extra, F.lit(epochs).cast("long")))
+    return joined.select("doc_id", "source", "row", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Every row of ``docs`` as often as ``mixed``, made of the same rows, says, with all its columns."""
+    turns = mixed.groupBy("row").agg(F.array_sort(F.collect_list("times")).alias("_times"))
+    found = text.numbered(docs).join(turns, F.col("_row") == F.col("row"))
+    times = F.element_at("_times", F.col("_nth")).cast("int")
+    found = found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return found.select("_doc.*")
 
 
 def op9_mix_sources(spark, sf_dir):

@@ -15,8 +15,8 @@ BUCKETS = 1 << 18
 REPEATED = 0
 GRAM = 3
 WIDTH = 8
-EPOCHS = 8
-BATCH = 32
+EPOCHS = 12
+BATCH = 16
 RATE = 0.5
 #: Labelled documents of one class that the model is fitted on, about; more are sampled by a hash of doc_id.
 SAMPLE = 3000
@@ -128,8 +128,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with two more columns from every whole ``text``: ``score``, the softmax output of class 1, and
-    ``predicted``.  A text without features, null or empty, has the score of the bias alone."""
+    """``docs`` with two columns, in place of any of these names, from every whole ``text``: ``score``, the softmax
+    output of class 1, and ``predicted``.  A text without features, null or empty, has the score of the bias alone."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double", "predicted int"]
 

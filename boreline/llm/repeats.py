@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from boreline.llm import text
 
 #: A place in a document: a hash of its text above, the place below.  Rows of one doc_id with different texts so stay apart.
-_PLACE_BITS = 32
+PLACE_BITS = 40
 
 
 def places(column: pa.Array, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     """``place`` in the texts number ``doc`` of ``column``, as one number each."""
-    return (_marks(column)[doc] << _PLACE_BITS) | place
+    return (_marks(column)[doc] << PLACE_BITS) | place
 
 
 def _marks(column: pa.Array) -> np.ndarray:
     data, offsets = text.flat(column)
     body = memoryview(np.ascontiguousarray(data))
-    return np.array([zlib.crc32(body[a:b]) & 0x7FFFFFFF for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+    return np.array([zlib.crc32(body[a:b]) & 0x7FFFFF for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def without(docs: DataFrame, places: DataFrame, cover: Callable) -> DataFrame:
             removed, runs, kept = np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64), []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 found = listed[at[i] : at[i + 1]]
-                found = found[found >> _PLACE_BITS == marks[i]] & ((1 << _PLACE_BITS) - 1)
+                found = found[found >> PLACE_BITS == marks[i]] & ((1 << PLACE_BITS) - 1)
                 if not len(found):
                     kept.append(data[a:b].tobytes())
                     continue

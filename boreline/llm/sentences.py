@@ -51,6 +51,8 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         long = np.repeat(np.diff(edges) > LONGEST, np.diff(edges))
         if long.any() and n >= LONGEST:
             least = _sliding(hashes, LONGEST, np.minimum)
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            least[doc[LONGEST - 1 :] != doc[: len(least)]] = 0
             around = np.concatenate([np.zeros(LONGEST - 1, np.uint64), least, np.zeros(LONGEST - 1, np.uint64)])
             picked = _sliding(around, LONGEST, np.maximum) == hashes
             last[1:] |= picked & long

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds at once; a longer text is held alone.
@@ -104,7 +104,7 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 @functools.cache
-def _letters(seed: int) -> np.ndarray:
+def letters(seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix((np.arange(256, dtype=np.uint64) + np.uint64(1 + 256 * seed)) * np.uint64(_BASE))
 
@@ -129,10 +129,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters(seed)[data] * up[: len(data)], out=run[1:])
+        np.cumsum(letters(seed)[data] * up[: len(data)], out=run[1:])
         return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def row_key() -> Column:
+    """A number that tells rows of documents apart, but for those that agree in doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Each row of ``docs`` as one struct, ``_doc``, beside ``columns``, so that names in it cannot clash with others."""
+    return docs.select(F.struct("*").alias("_doc"), *columns)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` packed, with its row key, ``_row``, and the number from 1 of each row among those of its key, ``_nth``."""
+    keyed = packed(docs, row_key().alias("_row"))
+    return keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+
+
 def texts_only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns of any name cannot clash with those that an operator adds."""
     return df.select(*[F.col(c) for c in columns])
