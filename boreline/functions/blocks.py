@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1 << 20
+#: Block edges that are sent to every task; there is at least half a block of rows for each.
+CUTS_TO_BROADCAST = 1 << 18
 BLOCK = "_block"
 
 
@@ -30,17 +32,24 @@ def split_large_wells(
 ) -> DataFrame:
     """Add ``_block`` when the largest well exceeds a block; otherwise return ``df`` as it is.
 
-    ``position`` is an integer column that orders each well.  The check is one aggregation over the key and position
-    columns; call it on a stored table, not on a long computation.
+    ``position`` is an integer column that orders each well.  Larger wells are cut at their own quantiles, so a block
+    holds at most ``rows_per_block`` rows wherever the positions lie; only rows of one position stay together.  The
+    quantiles are approximate, and twice as many as needed, with an error of a quarter of a block at most.  The check is
+    one aggregation over the key column, the cut one more; call it on a stored table, not on a long computation.
     """
     limit = rows_per_block or ROWS_PER_BLOCK
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"))
-    top = sizes.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    if top["n"] is None or top["n"] <= limit:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > limit).select(*keys)
+    top, wells = sizes.filter(F.col("_n") > limit).agg(F.max("_n"), F.count(F.lit(1))).first()
+    if not wells:
         return df
-    blocks = -(-top["n"] // limit)
-    width = max(1, -(-(top["hi"] - top["lo"] + 1) // blocks))
-    return df.withColumn(BLOCK, F.floor((F.col(position) - F.lit(top["lo"])) / width).cast("bigint"))
+    blocks = 2 * -(-top // limit)
+    at = F.percentile_approx(position, [k / blocks for k in range(1, blocks)], 4 * blocks)
+    cuts = df.join(large, [*keys], "left_semi").groupBy(*keys).agg(at.alias("_cuts"))
+    if wells * blocks <= CUTS_TO_BROADCAST:
+        cuts = F.broadcast(cuts)
+    found = F.size(F.filter("_cuts", lambda cut: cut < F.col(position)))
+    return df.join(cuts, [*keys], "left").withColumn(BLOCK, F.coalesce(found, F.lit(0)).cast("bigint")).select(*df.columns, BLOCK)
 
 
 def block_column(df: DataFrame) -> list[str]:

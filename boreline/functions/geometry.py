@@ -176,19 +176,6 @@ def box_gap(left: str, right: str, axes: Sequence[str] = ("n", "e", "t")) -> Col
     )
 
 
-def box_reach(left: str, right: str, axes: Sequence[str] = ("n", "e", "t")) -> Column:
-    """Largest distance between points of two boxes."""
-    return norm(
-        *[
-            F.greatest(
-                F.col(f"{left}{a}_hi") - F.col(f"{right}{a}_lo"),
-                F.col(f"{right}{a}_hi") - F.col(f"{left}{a}_lo"),
-            )
-            for a in axes
-        ]
-    )
-
-
 def segment_parameters(p1: Sequence, q1: Sequence, p2: Sequence, q2: Sequence) -> dict[str, Column]:
     """Building blocks of the closest points between segments p1-q1 and p2-q2 (both of positive length).
 

@@ -90,11 +90,11 @@ def interval_join(
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *other)
 
 
-def climb(nodes: DataFrame, node: str, parent: str, follow_unknown: bool = False, max_rounds: int = 32) -> DataFrame:
+def climb(nodes: DataFrame, node: str, parent: str, follow_unknown: bool = False) -> DataFrame:
     """Path of ids from every node up its parents, by pointer doubling.
 
-    Each round joins every open path to the path of its end, so a chain of n levels takes log2(n) rounds.  A path that
-    meets itself is cut before the first repeated id.  Returns ``node, path, cyclic, closes`` where ``closes`` says
+    Each round joins every open path to the path of its end, so a chain of n levels takes log2(n) rounds; they go on
+    until every path is closed.  A path that meets itself is cut before the first repeated id.  Returns ``node, path, cyclic, closes`` where ``closes`` says
     that the cycle runs through the node itself.  A parent absent from ``nodes`` ends the path; it is part of it only
     with ``follow_unknown``.
     """
@@ -109,7 +109,7 @@ def climb(nodes: DataFrame, node: str, parent: str, follow_unknown: bool = False
         F.lit(False).alias("_cyclic"),
         F.lit(False).alias("_closes"),
     )
-    for _ in range(max_rounds):
+    while True:
         state = B.durable(state)
         if state.filter("_next IS NOT NULL").isEmpty():
             break

@@ -519,11 +519,16 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
     normal numbers moves a whole path along the principal axes of each station's covariance, in eight sign variants;
     from the selected point before, the variant whose arc arrives closest to the reference direction is taken.  The
     positions are then recomputed by minimum curvature.  Returns case_id, realization, seq, md, inc, az, north, east,
-    tvd, status; a case with a path that fails five attempts has status ``failed`` and no points.
+    tvd, status, reason; a case with a path that fails five attempts has status ``failed`` and no points, a case that
+    cannot be realized has status ``refused`` and the reason.  A first station without covariance has none to draw: it
+    stays in place.
 
     Draws are keyed by (seed, realization, attempt), so they do not depend on the partitioning.
     """
-    checked = validate_realization_inputs(cases, stations)
+    start = stations.groupBy("bore_id").agg(F.min("seq").alias("_start"))
+    fixed = (F.col("seq") == F.col("_start")) & F.coalesce(*COVARIANCE).isNull()
+    stations = stations.join(start, "bore_id").withColumns({c: F.when(fixed, 0.0).otherwise(F.col(c)) for c in COVARIANCE}).drop("_start")
+    checked = B.durable(validate_realization_inputs(cases, stations))
     good = checked.filter("reason IS NULL").drop("reason")
     levels = good.select("bore_id", "coarsening").distinct()
     columns = [*STATION, *COVARIANCE]
@@ -549,12 +554,11 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
     first = F.col("seq") == 0
     start = whole.withColumns({c: F.when(first, F.col(c)) for c in ("north", "east", "tvd")})
     done = survey.complete_survey(start, key="path")
-    out = done.select("path.case_id", "path.realization", "seq", "md", "inc", "az", "north", "east", "tvd", F.lit("ok").alias("status"))
+    out = done.select("path.case_id", "path.realization", "seq", "md", "inc", "az", "north", "east", "tvd", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
     none = F.lit(None).cast("double")
-    bad = failed.select(
-        "case_id", F.lit(None).cast("int").alias("realization"), F.lit(None).cast("bigint").alias("seq"),
-        *[none.alias(c) for c in STATION], F.lit("failed").alias("status"),
-    )
+    refused = checked.filter("reason IS NOT NULL").select("case_id", F.lit("refused").alias("status"), "reason")
+    bad = refused.unionByName(failed.select("case_id", F.lit("failed").alias("status"), F.lit("no path in five attempts").alias("reason")))
+    bad = bad.withColumns({"realization": F.lit(None).cast("int"), "seq": F.lit(None).cast("bigint"), **{c: none for c in STATION}})
     return out.unionByName(bad.select(*out.columns))
 
 

@@ -190,13 +190,20 @@ def infer_error_model(stations: DataFrame, instruments: DataFrame, key: str = "b
     return df.groupBy(key).agg(F.coalesce(first, F.lit("WolffDeWardt")).alias("error_model"))
 
 
+def _modelled_tools(stations: DataFrame, wells: DataFrame, key: str) -> DataFrame:
+    """The tools (``_uses``) of the wells that the ISCWSA model has to compute."""
+    asked = wells.filter(~F.col("_given") & F.col("_model").isin(*ISCWSA)).select(key, "_tool")
+    return stations.select(key, "tool_id").join(asked, key).select(key, F.coalesce("tool_id", "_tool").alias("_uses")).distinct()
+
+
 def ensure_covariance(
     stations: DataFrame, instruments: DataFrame, sources: DataFrame, key: str = "bore_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Stations with covariance, and the wells that cannot have one.
 
     A well with any given matrix keeps its matrices.  Otherwise stations without tool take the first tool of the well
-    and the model of that first tool computes the whole well.  Returns (stations, rejects with reason).
+    and the model of that first tool computes the whole well.  A well is rejected if the ISCWSA model lacks the error
+    sources of one of its tools, or a weighting function for one of them.  Returns (stations, rejects with reason).
     """
     given = F.coalesce("c00", "c11", "c22").isNotNull()
     wells = stations.groupBy(key).agg(
@@ -206,6 +213,15 @@ def ensure_covariance(
         ~F.col("_given") & ~F.coalesce(F.col("_model").isin(*WOLFF_DEWARDT, *ISCWSA), F.lit(False)),
         F.lit("unknown survey instrument model"),
     )
+    # a code that is left out would make the covariance too small, or nothing at all
+    tools = _modelled_tools(stations, wells, key)
+    coded = sources.select(F.col("tool_id").alias("_uses"), (~F.col("code").isin(*ISCWSA_CODES)).alias("_unknown"))
+    coded = coded.groupBy("_uses").agg(F.bool_or("_unknown").alias("_unknown"))
+    lacking = tools.join(coded, "_uses", "left").groupBy(key).agg(
+        F.bool_or(F.col("_unknown").isNull()).alias("_none"), F.bool_or(F.coalesce("_unknown", F.lit(False))).alias("_some"))
+    wells = wells.join(lacking, key, "left")
+    reason = reason.when(F.col("_none"), F.lit("survey instrument without error sources")).when(
+        F.col("_some"), F.lit("survey instrument with an unknown error source"))
     wells = wells.withColumn("reason", reason)
     rejects = wells.filter("reason IS NOT NULL").select(key, "reason")
     df = stations.join(wells.filter("reason IS NULL").select(key, "_given", "_tool", "_model"), key)

@@ -88,7 +88,7 @@ def register_cells(spark, sf):
     """New cells replace those of sidetracks; the others keep what is stored."""
     stored = _registered(spark, sf)
     sides = D.wellbores(spark, sf).filter("is_sidetrack").select("bore_id")
-    fresh = _station_neighbourhood(spark, sf).join(sides, "bore_id", "left_semi").filter("detail < 32")
+    fresh = _station_neighbourhood(spark, sf).join(sides, "bore_id", "left_semi")
     done = octree.register_cells(stored, fresh)
     return done.groupBy("bore_id", "is_measured", "is_definitive").agg(F.count(F.lit(1)).alias("n"))
 
@@ -99,20 +99,20 @@ def pair_mesh_length(spark, sf):
     return got.select("ref_id", "cmp_id", F.round("mesh_length", 6).alias("mesh_length"))
 
 
-def _neighbour_pairs(spark, sf):
-    """Every bore against the next bore of its well."""
-    return D.comparison_pairs(spark, sf).filter("cmp_id = ref_id + 1")
+def _pairs(spark, sf):
+    """Every bore against the other bores of its well."""
+    return D.comparison_pairs(spark, sf).filter("cmp_id <> ref_id")
 
 
 def relevant_md_ranges(spark, sf):
-    got = separation.relevant_md_ranges(_neighbour_pairs(spark, sf), covered_stations(spark, sf), 0.999)
+    got = separation.relevant_md_ranges(_pairs(spark, sf), covered_stations(spark, sf), 0.999)
     return got.select("ref_id", "cmp_id", *[F.round(c, 4).alias(c) for c in ("ref_start", "ref_end", "cmp_start", "cmp_end")])
 
 
 def sf_candidates(spark, sf):
-    """Candidates between the reference meshes of neighbouring bores, counted per reference slice."""
+    """Candidates between the reference meshes of the bores of a well, counted per reference slice."""
     slices = B.durable(_slices(spark, sf))
-    got = separation.sf_candidates(_neighbour_pairs(spark, sf), slices, slices)
+    got = separation.sf_candidates(_pairs(spark, sf), slices, slices)
     return got.groupBy("ref_id", "cmp_id", "ref_slice").agg(
         F.count(F.lit(1)).alias("n"), F.min("cmp_slice").alias("first"), F.max("cmp_slice").alias("last")
     )
@@ -132,14 +132,13 @@ def _constraints(spark, sf, pairs):
 
 
 def separation_factor(spark, sf):
-    pairs = _neighbour_pairs(spark, sf)
+    pairs = _pairs(spark, sf)
     got = separation.separation_factor(_constraints(spark, sf, pairs), covered_stations(spark, sf), 0.999)
     return got.select("ref_id", "cmp_id", "slice", *[F.round(c, 4).alias(c) for c in ("ref_md", "cmp_md", "sf")])
 
 
 def symmetric_profile(spark, sf):
-    pairs = D.comparison_pairs(spark, sf).filter("ref_id + 1 = cmp_id OR cmp_id + 1 = ref_id")
-    jobs = _constraints(spark, sf, pairs)
+    jobs = _constraints(spark, sf, _pairs(spark, sf))
     points = B.durable(separation.separation_factor(jobs, covered_stations(spark, sf), 0.999))
     got = separation.symmetric_profile(points.filter("ref_id < cmp_id"), points.filter("ref_id > cmp_id"))
     return got.select("ref_id", "cmp_id", *[F.round(c, 4).alias(c) for c in ("ref_md", "cmp_md", "sf")])
@@ -148,7 +147,7 @@ def symmetric_profile(spark, sf):
 def anti_collision_report(spark, sf):
     """Candidates by shared cells, cut to the requested pairs, then ranges, constraints and profiles."""
     s = covered_stations(spark, sf)
-    pairs = _neighbour_pairs(spark, sf)
+    pairs = _pairs(spark, sf)
     bores = D.wellbores(spark, sf).select("bore_id")
     near = octree.octree_overlap(bores, B.durable(_near_cells(spark, sf)))
     found = near.withColumnsRenamed({"bore_id": "ref_id", "overlaps": "cmp_id"}).join(pairs, ["ref_id", "cmp_id"], "left_semi")
@@ -245,7 +244,7 @@ SELECT bore_id, key21, count(DISTINCT detail) AS n, min(detail) AS least, max(de
     "register_cells": sql.query(*_NEAR, sql.BORES, _REG, select="""
 SELECT bore_id, is_measured, is_definitive, count(*) AS n FROM (
   SELECT bore_id, is_measured, is_definitive FROM reg WHERE bore_id NOT IN (SELECT bore_id FROM bores WHERE is_sidetrack)
-  UNION ALL SELECT bore_id, true, true FROM coded WHERE bore_id IN (SELECT bore_id FROM bores WHERE is_sidetrack) AND detail<32)
+  UNION ALL SELECT bore_id, true, true FROM coded WHERE bore_id IN (SELECT bore_id FROM bores WHERE is_sidetrack))
 GROUP BY 1,2,3"""),
     "octree_overlap": sql.query(*_NEAR, _REG, select="""
 SELECT DISTINCT a.bore_id, b.bore_id AS overlaps FROM coded a JOIN reg b USING (key21, detail)
@@ -262,10 +261,10 @@ SELECT ref_id, cmp_id, round(greatest(rs.lo,min(r.start_md)),4) AS ref_start, ro
 FROM pairs JOIN segbox r ON r.bore_id=ref_id JOIN segbox c ON c.bore_id=cmp_id AND {OVERLAP}
 JOIN (SELECT bore_id, min(md) lo, max(md) hi FROM meas GROUP BY 1) rs ON rs.bore_id=ref_id
 JOIN (SELECT bore_id, min(md) lo, max(md) hi FROM meas GROUP BY 1) cs ON cs.bore_id=cmp_id
-WHERE cmp_id=ref_id+1 GROUP BY ref_id, cmp_id, rs.lo, rs.hi, cs.lo, cs.hi"""),
+WHERE cmp_id<>ref_id GROUP BY ref_id, cmp_id, rs.lo, rs.hi, cs.lo, cs.hi"""),
     "sf_candidates": sql.query(SLICES, _box_sql("5.0::DOUBLE"), sql.PAIRS, NEIGHBOURS, select=f"""
 SELECT ref_id, cmp_id, r.slice AS ref_slice, count(*) AS n, min(c.slice) AS first, max(c.slice) AS last
-FROM pairs JOIN near r ON r.bore_id=ref_id JOIN boxed c ON c.bore_id=cmp_id AND {OVERLAP} WHERE cmp_id=ref_id+1 GROUP BY 1,2,3"""),
+FROM pairs JOIN near r ON r.bore_id=ref_id JOIN boxed c ON c.bore_id=cmp_id AND {OVERLAP} WHERE cmp_id<>ref_id GROUP BY 1,2,3"""),
     "insert_tie_in_slice": sql.query(sql.STN, sql.BORES, sql.seg(), TIE_ROWS, sql.arc("held", "tie", "bore_id, seq*2+1 AS seq, tie"),
                                      select="""
 SELECT bore_id, seq*2 AS seq, md, round(inc,6) inc, round(az,6) az, round(north,6) north, round(east,6) east, round(tvd,6) tvd FROM stn

@@ -52,7 +52,7 @@ def aggregation_case(spark, sf):
 
 def _cases(spark, sf):
     return D.wellbores(spark, sf).select(
-        F.col("bore_id").alias("case_id"), "bore_id", F.when(F.col("bore_id") % 50 == 49, 0).otherwise(40).alias("realizations"),
+        F.col("bore_id").alias("case_id"), "bore_id", F.when(F.col("bore_id") % 50 == 49, 0).otherwise(100).alias("realizations"),
         F.lit(0.1).alias("coarsening"), (F.col("bore_id") * 17 + 5).alias("seed"),
     )
 
@@ -64,7 +64,7 @@ def validate_realization_inputs(spark, sf):
 
 def realize(spark, sf):
     got = sequence.realize(_cases(spark, sf), covered_stations(spark, sf))
-    return _out(got, 4).select("case_id", "realization", "seq", F.round("md", 4).alias("md"), "north", "east", "tvd", "status")
+    return _out(got, 4).select("case_id", "realization", "seq", F.round("md", 4).alias("md"), "north", "east", "tvd", "status", "reason")
 
 
 QUERIES = {

@@ -47,7 +47,7 @@ meas AS (SELECT *, ROUND(0.6+0.5*sin(md/400.0+bore_id),6) AS inc,
   FROM raw)"""
 
 
-MEAS = _measurements("events", "user_id", "5+least(value,60)", "event_id", ", event_id")
+MEAS = _measurements("events", "user_id", "5+value", "event_id", ", event_id")
 LARGE = _measurements("lineitem", "l_suppkey", "5+l_quantity", "l_orderkey,l_linenumber,l_partkey,l_suppkey")
 
 STEPS = f"""
@@ -201,7 +201,7 @@ def _wolff() -> str:
     cov = ", ".join(f"{entry(i, j)} AS c{a}{b}" for a, b, i, j in (
         (0, 0, "n", "n"), (0, 1, "n", "e"), (0, 2, "n", "t"), (1, 1, "e", "e"), (1, 2, "e", "t"), (2, 2, "t", "t")))
     return f"""
-shaped AS (SELECT stn.*, tools.*, {f} FROM stn JOIN tools ON tools.tool_id=stn.bore_id%10),
+shaped AS (SELECT stn.*, tools.*, {f} FROM stn JOIN tools ON tools.tool_id=stn.bore_id%(SELECT count(*) FROM supplier)),
 legged AS (SELECT *, {legs} FROM shaped {WIN}),
 summed AS (SELECT *, {sums} FROM legged),
 cov AS (SELECT bore_id, seq, md, inc, az, north, east, tvd, {cov} FROM summed)"""

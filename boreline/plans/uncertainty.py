@@ -21,13 +21,13 @@ def _round(df, digits, columns):
 
 def covered_stations(spark, sf):
     """Stations with Wolff-de Wardt covariance and hole radius, written once as a station table is."""
-    s = B.durable(uncertainty.covariance_wolff_dewardt(D.with_tools(D.stations(spark, sf)), D.instruments(spark, sf)))
+    s = B.durable(uncertainty.covariance_wolff_dewardt(D.with_tools(D.stations(spark, sf), spark, sf), D.instruments(spark, sf)))
     intervals = holes.hole_intervals(D.hole_sections(spark, sf), D.wellheads(spark, sf))
     return B.durable(holes.fill_hole_radius(s, intervals))
 
 
 def _covered(spark, sf):
-    return uncertainty.covariance_wolff_dewardt(D.with_tools(D.stations(spark, sf)), D.instruments(spark, sf))
+    return uncertainty.covariance_wolff_dewardt(D.with_tools(D.stations(spark, sf), spark, sf), D.instruments(spark, sf))
 
 
 def wolff_dewardt(spark, sf):
@@ -35,7 +35,7 @@ def wolff_dewardt(spark, sf):
 
 
 def iscwsa(spark, sf):
-    s = D.with_tools(D.stations(spark, sf)).withColumn("tool_id", F.when(F.col("bore_id") % 2 == 0, 2).otherwise(7).cast("bigint"))
+    s = D.with_tools(D.stations(spark, sf), spark, sf).withColumn("tool_id", F.col("tool_id") - F.col("tool_id") % 5 + 2)
     got = uncertainty.covariance_iscwsa(s, D.instruments(spark, sf), D.error_sources(spark, sf))
     return got.select("bore_id", "seq", *[F.round(c, 4).alias(c) for c in COV])
 
@@ -45,7 +45,7 @@ def unknown_error_codes(spark, sf):
 
 
 def infer_error_model(spark, sf):
-    s = D.with_tools(D.stations(spark, sf))
+    s = D.with_tools(D.stations(spark, sf), spark, sf)
     return uncertainty.infer_error_model(
         s.withColumn("tool_id", F.when(F.col("seq") >= F.col("bore_id") % 3, F.col("tool_id"))), D.instruments(spark, sf)
     )
@@ -53,7 +53,7 @@ def infer_error_model(spark, sf):
 
 def ensure_covariance(spark, sf):
     """Some wells come with matrices, some stations and wells without tool."""
-    s = D.with_tools(D.stations(spark, sf))
+    s = D.with_tools(D.stations(spark, sf), spark, sf)
     given = F.col("bore_id") % 6 == 0
     s = s.withColumns({c: F.when(given, F.lit(v)).cast("double") for c, v in zip(COV, (2.0, 0.1, 0.2, 3.0, 0.3, 1.0))})
     s = s.withColumn("tool_id", F.when((F.col("seq") % 3 == 1) & (F.col("bore_id") % 13 != 5), F.col("tool_id")))
@@ -220,16 +220,17 @@ def _ellipse_sql() -> str:
 ORACLES = {
     "wolff_dewardt": sql.query(*_WOLFF, select=f"SELECT bore_id, seq, {', '.join(f'round({c},6) AS {c}' for c in _C6)} FROM cov"),
     "unknown_error_codes": """
-SELECT s_suppkey AS tool_id, 'GXY_MIS' AS code, 1::BIGINT AS n FROM supplier WHERE s_suppkey%5=2""",
+SELECT s_suppkey AS tool_id, 'GXY_MIS' AS code, 1::BIGINT AS n FROM supplier WHERE s_suppkey%10=2""",
     "infer_error_model": sql.query(sql.MEAS, sql.TOOLS, select="""
 SELECT bore_id, coalesce(arg_min(kind, seq), 'WolffDeWardt') AS error_model FROM (SELECT bore_id, seq,
   CASE WHEN model LIKE '%ISCWSA' THEN 'ISCWSA' WHEN model LIKE '%WolffDeWardt' THEN 'WolffDeWardt' END AS kind
-  FROM meas LEFT JOIN tools ON tool_id=bore_id%10 AND seq>=bore_id%3) GROUP BY 1"""),
+  FROM meas LEFT JOIN tools ON tool_id=bore_id%(SELECT count(*) FROM supplier) AND seq>=bore_id%3) GROUP BY 1"""),
     "ensure_covariance": sql.query(sql.MEAS, sql.TOOLS, select="""
 SELECT bore_id, status, CASE WHEN status='ok' THEN n ELSE 0 END AS n, CASE WHEN status='ok' THEN n ELSE 0 END AS filled FROM (
   SELECT bore_id, count(*) AS n, CASE WHEN bore_id%6=0 THEN 'ok' WHEN bore_id%13=5 THEN 'no covariance and no survey instrument'
-    WHEN bool_and(model='Other') THEN 'unknown survey instrument model' ELSE 'ok' END AS status
-  FROM meas LEFT JOIN tools ON tool_id=bore_id%10 GROUP BY 1)"""),
+    WHEN bool_and(model='Other') THEN 'unknown survey instrument model'
+    WHEN bool_and(tool_id%10=2) THEN 'survey instrument with an unknown error source' ELSE 'ok' END AS status
+  FROM meas LEFT JOIN tools ON tool_id=bore_id%(SELECT count(*) FROM supplier) GROUP BY 1)"""),
     "first_station_covariance": sql.query(*_WOLFF, sql.BORES, sql.WELLS, sql.CLUSTERS, HEAD, f"""
 slotcov AS (SELECT bore_id, pow({sql.north_of('lat+lat_std')}-{sql.north_of('lat')},2) AS w00,
   pow({sql.east_of('lat', 'lon+lon_std')}-{sql.east_of('lat', 'lon')},2) AS w11, ref_std*ref_std AS w22 FROM head WHERE reason IS NULL)""",

@@ -48,7 +48,7 @@ def _wellhead(df: DataFrame) -> DataFrame:
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bore_id, event_id, seq, md, inc, az, north, east, tvd); the position is set on the first row only."""
-    step = F.expr("CAST(5 + least(value, 60) AS DECIMAL(12,2))")
+    step = F.expr("CAST(5 + value AS DECIMAL(12,2))")
     raw = table(spark, sf_dir, "events").select(F.col("user_id").alias("bore_id"), "event_id", step.alias("step"))
     raw = _by_well(B.split_large_wells(raw, ["bore_id"], "event_id"))
     raw = B.with_running_sum(raw, ["bore_id"], ["event_id"], {"md": "step", "seq": F.lit(1)})
@@ -197,19 +197,6 @@ def wellheads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def depth_intervals(spark: SparkSession, sf_dir: str, length: float = 250.0) -> DataFrame:
-    """Report intervals of equal length down to the deepest station of any well."""
-    deepest = measurements(spark, sf_dir).agg(F.max("md").alias("deep"))
-    return deepest.select(
-        F.explode(F.sequence(F.lit(0), F.floor(F.col("deep") / length).cast("int"))).alias("interval_id")
-    ).select(
-        "interval_id",
-        F.concat(F.lit("interval "), F.col("interval_id").cast("string")).alias("name"),
-        (F.col("interval_id") * length).alias("start_md"),
-        ((F.col("interval_id") + 1) * length).alias("end_md"),
-    )
-
-
 def comparison_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every wellbore as reference with the other bores of its well (at most four) as comparisons."""
     b = wellbores(spark, sf_dir).select("bore_id", "well_id")
@@ -241,7 +228,7 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error sources of every ISCWSA instrument, with one code that has no weighting function."""
+    """Error sources of every ISCWSA instrument; those of every other have a code without weighting function."""
     rows = [
         ("DRFR", 0.35, False, True), ("DSFS", 0.00056, True, False), ("DSTG", 2.5e-7, True, False),
         ("SAG", 0.0035, True, False), ("XYM1", 0.001, True, False), ("XYM2", 0.001, True, False),
@@ -254,9 +241,11 @@ def error_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(r).alias("random"), F.lit(False).alias("global")) for c, m, s, r in rows
     ])
     tools = instruments(spark, sf_dir).filter(F.col("model") == "MWD_ISCWSA")
-    return tools.select("tool_id", F.inline(items))
+    found = tools.select("tool_id", F.inline(items))
+    return found.filter((F.col("code") != "GXY_MIS") | (F.col("tool_id") % 10 == 2))
 
 
-def with_tools(df: DataFrame) -> DataFrame:
-    """The instrument of every station: one per wellbore."""
-    return df.withColumn("tool_id", F.col("bore_id") % 10)
+def with_tools(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instrument of every station: one per wellbore, all instruments in turn."""
+    count = table(spark, sf_dir, "supplier").count()
+    return df.withColumn("tool_id", F.col("bore_id") % max(1, count))

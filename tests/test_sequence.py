@@ -148,9 +148,13 @@ def test_realizations(spark, sf):
     reasons = {r.case_id: r.reason for r in sequence.validate_realization_inputs(cases, s).collect()}
     assert reasons[1] is None and reasons[3] and reasons[4]
     a = sequence.realize(cases, s).toPandas().sort_values(["case_id", "realization", "seq"]).reset_index(drop=True)
-    assert (a.status == "ok").all() and sorted(a.case_id.unique()) == [1, 2]
+    refused = a[a.status == "refused"].set_index("case_id")
+    assert sorted(a.case_id.unique()) == [1, 2, 3, 4] and refused.reason.to_dict() == {3: reasons[3], 4: reasons[4]}
+    a = a[a.status != "refused"].reset_index(drop=True)
+    assert (a.status == "ok").all() and a.reason.isna().all()
     assert a[a.case_id == 1].realization.nunique() == 60
     b = sequence.realize(cases, s.repartition(7)).toPandas().sort_values(["case_id", "realization", "seq"]).reset_index(drop=True)
+    b = b[b.status != "refused"].reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
     # the spread of the end points follows the covariance of the last station
     well = s.filter("bore_id = 1").toPandas().sort_values("seq")
