@@ -22,14 +22,36 @@ def on_arc(df: DataFrame, md="md", linear: tuple[str, ...] = ()) -> DataFrame:
     return G.apply_steps(df, [*stages, last]).drop(*G.ARC_HELPERS)
 
 
+def on_path(df: DataFrame, md="md", linear: tuple[str, ...] = (), method: str = survey.MINIMUM_CURVATURE) -> DataFrame:
+    """The same on a path completed by ``method``: its angles at the depth, and its own step from a_* to there."""
+    if method == survey.MINIMUM_CURVATURE:
+        return on_arc(df, md, linear)
+    span, turn = F.col("b_md") - F.col("a_md"), G.wrap_signed(F.col("b_az") - F.col("a_az"))
+    df = df.withColumn("_u", F.when(span > 0, (G.col(md) - F.col("a_md")) / span).otherwise(F.lit(0.0)))
+    df = df.withColumn("_inc", G.lerp("a_inc", "b_inc", F.col("_u")))
+    share = F.col("_u")
+    if method == survey.CURVATURE_AND_TOOLFACE:
+        share = survey.toolface_share(F.col("a_inc"), F.col("b_inc"), F.col("_inc"), share)
+    df = df.withColumn("_az", F.col("a_az") + turn * share)
+    step = survey.method_step(method, F.col("a_inc"), F.col("a_az"), F.col("_inc"), F.col("_az"), F.col("_u") * span)
+    place = {axis: F.col("a_" + axis) + move for axis, move in zip(("north", "east", "tvd"), step)}
+    place |= {"inc": F.col("_inc"), "az": G.wrap_positive(F.col("_az"))}
+    place |= {c: G.lerp_or_either("a_" + c, "b_" + c, "_u") for c in linear}
+    return df.withColumns(place).drop("_u", "_inc", "_az")
+
+
 def interpolate_station(
-    points: DataFrame, stations: DataFrame, key: str = "bore_id", linear: tuple[str, ...] = ()
+    points: DataFrame, stations: DataFrame, key: str = "bore_id", linear: tuple[str, ...] = (),
+    method: str = survey.MINIMUM_CURVATURE,
 ) -> DataFrame:
-    """Station at each requested depth (key, md, ...) on its well; depths outside the survey give no row."""
+    """Station at each requested depth (key, md, ...) on its well; depths outside the survey give no row.
+
+    ``method`` is the one the stations were completed by, so the samples lie on the path itself.
+    """
     segs = survey.segments(stations, key, linear).drop("seq")
     found = bracket(points, segs, [key])
     inside = found.filter(F.col("md") <= F.col("b_md") + DEPTH_TOLERANCE)
-    out = on_arc(inside, F.least("md", "b_md"), linear)
+    out = on_path(inside, F.least("md", "b_md"), linear, method)
     return out.select(*points.columns, *PLACE, *linear)
 
 
@@ -52,7 +74,9 @@ def parent_tie_in(bores: DataFrame, stations: DataFrame, max_gap: float = 10.0)
     return placed.select(F.col("child").alias("bore_id"), F.col("label_md").alias("md"), "inc", "az", "north", "east", "tvd")
 
 
-def interpolate_grid(cases: DataFrame, stations: DataFrame, depths: DataFrame | None = None) -> DataFrame:
+def interpolate_grid(
+    cases: DataFrame, stations: DataFrame, depths: DataFrame | None = None, method: str = survey.MINIMUM_CURVATURE
+) -> DataFrame:
     """Stations of each interpolation case on a regular grid and at its listed depths.
 
     ``cases``: case_id, bore_id, step, reference_depth (null = first station).  Grid depths are the reference plus
@@ -74,12 +98,12 @@ def interpolate_grid(cases: DataFrame, stations: DataFrame, depths: DataFrame |
     cut = cut.withColumn("md", F.least(F.greatest(at, "a_md"), "b_md"))
     # a grid depth on a station belongs to the segment below it, except at the end of the well
     owned = (F.col("md") < F.col("b_md") - DEPTH_TOLERANCE) | (F.col("b_md") >= F.col("_last"))
-    regular = on_arc(cut.filter(owned)).select(
+    regular = on_path(cut.filter(owned), method=method).select(
         "case_id", "bore_id", "md", F.lit(None).cast("string").alias("annotation"), *PLACE
     )
     if depths is None:
         return regular
-    listed = interpolate_station(depths.select("case_id", "bore_id", "md", "annotation"), stations)
+    listed = interpolate_station(depths.select("case_id", "bore_id", "md", "annotation"), stations, method=method)
     quantum = F.round(F.col("md") / DEPTH_TOLERANCE)
     both = B.stack(["case_id", "bore_id"], regular, listed).groupBy("case_id", "bore_id", quantum.alias("_q")).agg(
         F.min_by(F.struct("md", *PLACE), F.struct(F.col("annotation").isNull(), "md")).alias("_row"),
@@ -233,22 +257,27 @@ def evenly_spaced_sample(rows: DataFrame, keys: list[str], order: list[str], cou
     return df.filter((F.col("_total") <= n) | chosen | (pos == last)).drop("_pos", "_total")
 
 
-def densify_chord_arc(stations: DataFrame, limit: float | None, key: str = "bore_id") -> DataFrame:
+def densify_chord_arc(
+    stations: DataFrame, limit: float | None, key: str = "bore_id", method: str = survey.MINIMUM_CURVATURE
+) -> DataFrame:
     """Add stations so that no chord is farther than ``limit`` from its arc; unchanged without a positive limit.
 
-    Each bent segment is cut into the least number of equal parts that keep the sagitta within the limit.
+    Each bent segment is cut into the least number of equal parts that keep the sagitta within the limit.  Rows are
+    numbered anew, a hole radius is interpolated, and blocks are kept, so the result can be cut into segments.
     """
-    columns = [key, "md", *PLACE]
+    extra = ("hole_radius",) if "hole_radius" in stations.columns else ()
+    block = B.block_column(stations)
+    columns = [key, *block, "md", *PLACE, *extra]
     if limit is None or not limit > 0:
-        return stations.select(*columns)
-    segs = survey.segments(stations, key).drop("seq").withColumn("_bend", G.dogleg("a_inc", "a_az", "b_inc", "b_az"))
+        return stations.select(key, "seq", *columns[1:])
+    segs = survey.segments(stations, key, extra).drop("seq").withColumn("_bend", G.dogleg("a_inc", "a_az", "b_inc", "b_az"))
     radius = (F.col("b_md") - F.col("a_md")) / F.col("_bend")
     widest = 2.0 * F.acos(G.clamp(1.0 - limit / radius, -1.0, 1.0))
     parts = F.when(F.col("_bend") > 1e-9, F.greatest(F.lit(1), F.ceil(F.col("_bend") / widest).cast("int"))).otherwise(1)
     cut = segs.withColumn("_n", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     cut = cut.withColumn("md", F.col("a_md") + F.col("_k") * (F.col("b_md") - F.col("a_md")) / F.col("_n"))
-    inner = on_arc(cut.filter("_k > 0")).select(*columns)
-    return B.stack([key], stations.select(*columns), inner)
+    inner = on_path(cut.filter("_k > 0"), linear=extra, method=method).select(*columns)
+    return B.with_position(B.stack([key], stations.select(*columns), inner), [key], ["md"], "seq")
 
 
 def _cut_at_tie_in(measured: DataFrame, bores: DataFrame, rebase: bool) -> DataFrame:

@@ -66,6 +66,21 @@ def curvature_and_toolface_step(i1, a1, i2, a2, ds) -> tuple[Column, Column, Col
     return ds * north, ds * east, ds * down
 
 
+def toolface_share(i1, i2, inc, otherwise: Column) -> Column:
+    """Share of the turn reached at ``inc`` on a step of constant toolface; ``otherwise`` where it has no build."""
+    safe = (i1 > 1e-9) & (i2 > 1e-9) & (F.abs(i2 - i1) > 1e-9)
+    log1, log2 = F.log(F.tan(i1 / 2.0)), F.log(F.tan(i2 / 2.0))
+    return F.when(safe, (F.log(F.tan(inc / 2.0)) - log1) / (log2 - log1)).otherwise(otherwise)
+
+
+def method_step(method: str, i1, a1, i2, a2, ds) -> tuple[Column, Column, Column]:
+    """Displacement of a step of one of the two methods whose angles follow a rule of their own."""
+    steps = {BUILD_AND_TURN: build_and_turn_step, CURVATURE_AND_TOOLFACE: curvature_and_toolface_step}
+    if method not in steps:
+        raise ValueError(f"unknown survey method {method}")
+    return steps[method](i1, a1, i2, a2, ds)
+
+
 def _angle_steps(df: DataFrame, method: str) -> DataFrame:
     """Add ``_ds, _dl`` and the displacement ``_dn, _de, _dt`` of each step from prev_md, prev_inc, prev_az.
 
@@ -76,12 +91,8 @@ def _angle_steps(df: DataFrame, method: str) -> DataFrame:
     if method == MINIMUM_CURVATURE:
         df = df.withColumn("_half", 0.5 * ds * G.ratio_factor("_dl"))
         move = [F.col("_half") * (x + y) for x, y in zip(G.tangent(i1, a1), G.tangent(i2, a2))]
-    elif method == BUILD_AND_TURN:
-        move = build_and_turn_step(i1, a1, i2, a2, ds)
-    elif method == CURVATURE_AND_TOOLFACE:
-        move = curvature_and_toolface_step(i1, a1, i2, a2, ds)
     else:
-        raise ValueError(f"unknown survey method {method}")
+        move = method_step(method, i1, a1, i2, a2, ds)
     return df.withColumns(dict(zip(("_dn", "_de", "_dt"), move))).drop("_half")
 
 

@@ -200,7 +200,8 @@ def segments(spark, sf):
     return seg.select("bore_id", "seq", "a_md", "b_md", "n_lo", "n_hi", "e_lo", "e_hi", "t_lo", "t_hi")
 
 
-def _bt_displacement() -> str:
+def bt_displacement() -> str:
+    """Steps of ``lagged`` (pmd, pinc, paz, md, inc, az) with angles linear in depth, in a table ``bt``."""
     turn = sql.wrap_signed("az-paz")
     return f"""
 bt0 AS (SELECT *, md-pmd AS ds, inc-pinc AS build, {turn} AS turn FROM lagged),
@@ -230,10 +231,14 @@ ct0 AS (SELECT *, md-pmd AS ds, inc-pinc AS build, {sql.wrap_signed('az-paz')} A
 ct AS (SELECT *, 0.0 AS dl, ds*({'+'.join(north)}) AS dn, ds*({'+'.join(east)}) AS de, ds*({'+'.join(down)}) AS dt FROM ct0)"""
 
 
-def _method_sql(displacement: str, name: str) -> str:
+def method_stations(displacement: str, name: str) -> tuple[str, ...]:
+    """Stations ``stn`` by the steps of ``name``."""
     lagged = sql.STEPS.split(",\nangled")[0]
-    placed = sql.PLACED.replace("FROM moved", f"FROM {name}")
-    return sql.query(sql.MEAS, lagged, displacement, placed, select="SELECT bore_id, seq, north, east, tvd, vsect FROM stn")
+    return sql.MEAS, lagged, displacement, sql.PLACED.replace("FROM moved", f"FROM {name}")
+
+
+def _method_sql(displacement: str, name: str) -> str:
+    return sql.query(*method_stations(displacement, name), select="SELECT bore_id, seq, north, east, tvd, vsect FROM stn")
 
 
 EWMA_SQL = sql.query(
@@ -281,7 +286,7 @@ QUERIES = {
 ORACLES = {
     "min_curvature": sql.query(sql.STN, select="SELECT bore_id, seq, md, inc, az, north, east, tvd FROM stn"),
     "min_curvature_large": sql.query(sql.LARGE_STN, select="SELECT bore_id, seq, md, north, east, tvd, dls FROM stn"),
-    "complete_survey_bt": _method_sql(_bt_displacement(), "bt"),
+    "complete_survey_bt": _method_sql(bt_displacement(), "bt"),
     "complete_survey_ct": _method_sql(_ct_displacement(), "ct"),
     "rates": sql.query(sql.STN, select="SELECT bore_id, seq, dls, bur, tur FROM stn"),
     "vertical_section": sql.query(sql.STN, select="SELECT bore_id, seq, vsect FROM stn"),

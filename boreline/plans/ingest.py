@@ -185,6 +185,17 @@ def export_covariance(spark, sf):
     return back.groupBy("bore_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("md"), 4).alias("md"), F.round(F.max("c00"), 6).alias("c00"))
 
 
+def write_station_table(spark, sf):
+    """Station listings of all wellbores written and read back: rows, depths and the order of each file."""
+    path = _folder(spark) + "/stations"
+    exports.write_station_table(D.stations(spark, sf).withColumn("vsect", F.lit(0.0)), path, depth_factor=0.3048)
+    names = ["seq", "md", "inc", "az", "tvd", "north", "east", "vsect", "dls", "bur", "tur"]
+    schema = ", ".join(f"{n} {'bigint' if n == 'seq' else 'double'}" for n in names) + ", bore_id bigint"
+    back = spark.read.csv(path, sep="\t", header=True, schema=schema)
+    return back.groupBy("bore_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"), F.round(F.max("md"), 4).alias("md"), F.round(F.sum("inc"), 3).alias("inc"))
+
+
 def write_pages(spark, sf):
     """Pages of all wells written, those of some wells replaced, then read back."""
     path = _folder(spark) + "/pages"
@@ -209,7 +220,7 @@ def usage_daily(spark, sf):
     stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("operation"))
     jobs.usage_daily(stream, folder + "/usage", folder + "/checkpoint").awaitTermination()
-    counts = jobs.read_latest(spark, folder + "/usage", ["day", "operation"])
+    counts = jobs.read_usage(spark, folder + "/usage")
     return counts.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -258,6 +269,7 @@ QUERIES = {
     "export_wide": export_wide,
     "export_long": export_long,
     "export_covariance": export_covariance,
+    "write_station_table": write_station_table,
     "write_pages": write_pages,
     "expire_sf_results": expire_sf_results,
     "usage_daily": usage_daily,
@@ -291,6 +303,8 @@ SELECT bore_id, seq, round(md/0.3048::DOUBLE,6) AS md, round(degrees(inc),6) AS
     "export_long": sql.query(sql.STN, select="SELECT bore_id-bore_id%5 AS case_id, bore_id%5 AS realization, seq, md, tvd FROM stn"),
     "export_covariance": sql.query(sql.STN, sql.TOOLS, sql.WOLFF, select="""
 SELECT bore_id, count(*) AS n, round(sum(md),4) AS md, round(max(c00),6) AS c00 FROM cov GROUP BY 1"""),
+    "write_station_table": sql.query(sql.MEAS, select="""
+SELECT bore_id, count(*) AS n, max(seq) AS last, round(max(md)/0.3048,4) AS md, round(sum(degrees(inc)),3) AS inc FROM meas GROUP BY 1"""),
     "write_pages": sql.query(sql.MEAS, select="""
 SELECT bore_id, CAST(floor(seq/1000) AS BIGINT) AS page, count(*) AS n_rows, min(md)+CASE WHEN bore_id%3=0 THEN 1.0 ELSE 0.0 END AS start_md,
   max(md)+CASE WHEN bore_id%3=0 THEN 1.0 ELSE 0.0 END AS end_md FROM meas GROUP BY bore_id, page"""),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from boreline.operators import holes, interp
+from boreline.operators import holes, interp, survey
 from boreline.plans import sql
+from boreline.plans.core import bt_displacement, method_stations
 from boreline.plans.catalog import FILLED, HOLE, INTERNAL
 from boreline.sources import derived as D
 
@@ -35,6 +38,22 @@ def interpolate_station(spark, sf):
     return _round(interp.interpolate_station(_probe_depths(spark, sf), D.stations(spark, sf)))
 
 
+def interpolate_station_bt(spark, sf):
+    """Samples of paths of constant build and turn rates."""
+    measured = D.measurements(spark, sf).drop("event_id")
+    stations = survey.complete_survey(measured, survey.BUILD_AND_TURN)
+    return _round(interp.interpolate_station(_probe_depths(spark, sf), stations, method=survey.BUILD_AND_TURN), 5)
+
+
+def interpolate_station_ct(spark, sf):
+    """Stations read back at their own depths: paths of constant curvature and toolface go through them."""
+    measured = D.measurements(spark, sf).drop("event_id")
+    stations = survey.complete_survey(measured, survey.CURVATURE_AND_TOOLFACE)
+    asked = stations.select("bore_id", "md", "seq", *[F.col(c).alias("own_" + c) for c in PLACE])
+    found = interp.interpolate_station(asked, stations, method=survey.CURVATURE_AND_TOOLFACE)
+    return found.select("bore_id", "seq", *[F.round(F.abs(F.col(c) - F.col("own_" + c)), 4).alias(c) for c in ("north", "east", "tvd", "inc")])
+
+
 HELD = """
 ends AS (SELECT bore_id, max(md) AS last_md FROM stn GROUP BY 1),
 held AS (SELECT p.*, seg.* EXCLUDE (bore_id, seq) FROM probes p JOIN seg USING (bore_id) JOIN ends USING (bore_id)
@@ -170,7 +189,7 @@ def evenly_spaced(spark, sf):
 
 def densify_chord_arc(spark, sf):
     got = interp.densify_chord_arc(D.stations(spark, sf), 0.05)
-    return _round(got.withColumn("md", F.round("md", 6)))
+    return _round(got.drop("seq").withColumn("md", F.round("md", 6)))
 
 
 DENSE = f"""
@@ -227,8 +246,21 @@ def sf_profile_distance(spark, sf):
                   ("centre_distance", "clearance"))
 
 
+SUB_STEP = f"""
+part AS (SELECT *, CASE WHEN b_md>a_md THEN (least(md,b_md)-a_md)/(b_md-a_md) ELSE 0.0 END AS share FROM held),
+sublag AS (SELECT bore_id, k, md AS at_md, a_north, a_east, a_tvd, a_md AS pmd, a_inc AS pinc, a_az AS paz, least(md,b_md) AS md,
+  a_inc+share*(b_inc-a_inc) AS inc, a_az+share*{sql.wrap_signed('b_az-a_az')} AS az FROM part)"""
+
+
+def _renamed(steps: str) -> str:
+    """The same steps for ``sublag``, in tables of other names."""
+    return re.sub(r"\bbt(\d?)\b", r"sub\1", steps).replace("FROM lagged", "FROM sublag")
+
+
 QUERIES = {
     "interpolate_station": interpolate_station,
+    "interpolate_station_bt": interpolate_station_bt,
+    "interpolate_station_ct": interpolate_station_ct,
     "merge_depths": merge_depths,
     "interpolate_grid": interpolate_grid,
     "md_at_tvd": md_at_tvd,
@@ -247,6 +279,13 @@ ORACLES = {
     "interpolate_station": sql.query(
         sql.STN, PROBES, sql.seg(), HELD, sql.arc("held", "least(md,b_md)", "bore_id, k, md"),
         select=f"SELECT bore_id, k, md, {ROUNDED} FROM arc"),
+    "interpolate_station_bt": sql.query(
+        *method_stations(bt_displacement(), "bt"), PROBES, sql.seg(), HELD, SUB_STEP, _renamed(bt_displacement()),
+        select=f"""
+SELECT bore_id, k, at_md AS md, round(a_north+dn,5) AS north, round(a_east+de,5) AS east, round(a_tvd+dt,5) AS tvd,
+  round(inc,5) AS inc, round({sql.wrap('az')},5) AS az FROM sub"""),
+    "interpolate_station_ct": sql.query(sql.MEAS, select="""
+SELECT bore_id, seq, 0.0::DOUBLE AS north, 0.0::DOUBLE AS east, 0.0::DOUBLE AS tvd, 0.0::DOUBLE AS inc FROM meas"""),
     "merge_depths": sql.query(sql.MEAS, *_ARCH, INTERNAL, LISTS,
                               select="SELECT bore_id AS case_id, bore_id, md, annotation FROM merged"),
     "interpolate_grid": sql.query(

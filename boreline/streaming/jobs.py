@@ -12,6 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from boreline.operators import survey
 
+#: Folders over which the runs of stored chunks are spread.
+CHUNK_BUCKETS = 64
+
 
 def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -19,30 +22,44 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
 
 def read_latest(spark: SparkSession, path: str, keys: list[str], version: str = "batch") -> DataFrame:
     """Newest row per key over all batches."""
-    df = spark.read.parquet(path)
+    return newest(spark.read.parquet(path), keys, version)
+
+
+def newest(df: DataFrame, keys: list[str], version: str = "batch") -> DataFrame:
     columns = [c for c in df.columns if c not in keys and c != "batch"]
     order = F.struct(version, "batch") if version != "batch" else F.col("batch")
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row"))
-    return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
+    rows = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row"))
+    return rows.select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
-def usage_daily(events: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Count of every operation per UTC day.  ``events``: ts, operation.  Days later than ``delay`` are closed."""
-    counts = (
-        events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day").alias("day"), "operation")
-        .count()
-        .select(F.to_date("day.start").alias("day"), "operation", "count")
-    )
+def usage_daily(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Count of every operation per UTC day.  ``events``: ts, operation.
+
+    Each micro-batch adds its own counts, which ``read_usage`` sums up, so an event counts however late it comes, and no
+    state is kept.
+    """
+
+    def count(df: DataFrame, batch: int) -> None:
+        _write_batch(df.groupBy(F.to_date("ts").alias("day"), "operation").count(), path, batch)
+
     return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(lambda df, batch: _write_batch(df, path, batch))
+        events.writeStream.outputMode("append")
+        .foreachBatch(count)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """day, operation and count over all batches."""
+    return spark.read.parquet(path).groupBy("day", "operation").agg(F.sum("count").alias("count"))
+
+
+def _bucket(run: str, buckets: int):
+    return F.pmod(F.xxhash64(run), F.lit(buckets)).cast("int")
+
+
 def chunk_problem(df: DataFrame) -> DataFrame:
     """Add ``reason`` to chunks that cannot be stored: no run, negative index, no rows, undefined or falling depths."""
     items = F.col("items")
@@ -62,11 +79,11 @@ def chunk_problem(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, delay: str = "1 day", buckets: int = CHUNK_BUCKETS) -> StreamingQuery:
     """Store uploaded chunks; of several uploads of one chunk the last counts, retries of one upload are dropped.
 
     ``chunks``: ts, upload_id, run_id, chunk_index, items array<struct<md, inc, az>>.  Bad chunks go to
-    ``<path>_rejects``.
+    ``<path>_rejects``.  Stored chunks lie in folders by a hash of their run, always as many for one table.
     """
     unique = chunks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["upload_id"])
 
@@ -74,10 +91,11 @@ def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, delay: str = "1
         checked = chunk_problem(df).persist()
         try:
             good = checked.filter("reason IS NULL").drop("reason")
-            newest = good.groupBy("run_id", "chunk_index").agg(
+            last = good.groupBy("run_id", "chunk_index").agg(
                 F.max_by(F.struct("ts", "upload_id", "items"), F.struct("ts", "upload_id")).alias("_c")
             )
-            _write_batch(newest.select("run_id", "chunk_index", "_c.*"), path, batch)
+            stored = last.select("run_id", "chunk_index", "_c.*", _bucket("run_id", buckets).alias("bucket"))
+            stored.repartition("bucket", "run_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
             _write_batch(checked.filter("reason IS NOT NULL"), path + "_rejects", batch)
         finally:
             checked.unpersist()
@@ -105,16 +123,22 @@ def run_measurements(chunks: DataFrame) -> DataFrame:
     ).select("run_id", (F.col("_skip") + F.col("_pos")).alias("seq"), "_item.md", "_item.inc", "_item.az")
 
 
-def commit_runs(commits: DataFrame, chunk_path: str, path: str, checkpoint: str) -> StreamingQuery:
+def committed_chunks(commits: DataFrame, chunk_path: str, buckets: int = CHUNK_BUCKETS) -> DataFrame:
+    """The newest chunks of the runs in ``commits``; only the folders of these runs are read, at most ``buckets``."""
+    runs = commits.select("run_id").distinct()
+    folders = [r[0] for r in runs.select(_bucket("run_id", buckets)).distinct().collect()]
+    stored = commits.sparkSession.read.parquet(chunk_path).filter(F.col("bucket").isin(folders)).drop("bucket")
+    return newest(stored.join(runs, "run_id", "left_semi"), ["run_id", "chunk_index"], "ts")
+
+
+def commit_runs(commits: DataFrame, chunk_path: str, path: str, checkpoint: str, buckets: int = CHUNK_BUCKETS) -> StreamingQuery:
     """Calculate every run whose commit marker arrives, from the chunks stored by then.
 
     ``commits``: ts, run_id.  A repeated commit calculates the run again; readers take the newest result.
     """
 
     def calculate(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        stored = read_latest(spark, chunk_path, ["run_id", "chunk_index"], "ts")
-        ready = stored.join(df.select("run_id").distinct(), "run_id", "left_semi")
+        ready = committed_chunks(df, chunk_path, buckets)
         done = survey.complete_survey(run_measurements(ready), key="run_id")
         _write_batch(done, path, batch)
 

@@ -149,3 +149,50 @@ def test_pages_replace_only_their_owner(spark, tmp_path):
 def test_sanitize(spark):
     df = spark.createDataFrame([("a\tb\r\nc ",)], "t string")
     assert df.select(exports.sanitize_field(F.col("t"))).first()[0] == "a b  c"
+
+
+def test_late_events_count(spark, tmp_path):
+    """Events of a day that was counted long before are added to it, and repeated batches are not counted twice."""
+    folder = tmp_path / "in"
+    schema = "ts timestamp, operation string"
+
+    def upload(*stamps):
+        rows = [(s, "open") for s in stamps]
+        spark.createDataFrame(rows, "ts string, operation string").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(str(folder))
+
+    for stamps in (["2024-03-01 10:00:00", "2024-03-01 11:00:00"], ["2024-05-01 10:00:00"], ["2024-03-01 23:59:59"]):
+        upload(*stamps)
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        jobs.usage_daily(stream, str(tmp_path / "usage"), str(tmp_path / "c")).awaitTermination()
+    counts = jobs.read_usage(spark, str(tmp_path / "usage")).collect()
+    assert {str(r["day"]): r["count"] for r in counts} == {"2024-03-01": 3, "2024-05-01": 1}
+
+
+def test_a_commit_reads_its_own_folders(spark, tmp_path):
+    item = [(0.0, 0.0, 0.0), (10.0, 0.1, 0.0)]
+    schema = "ts timestamp, upload_id string, run_id long, chunk_index long, items array<struct<md: double, inc: double, az: double>>"
+    rows = [("2024-01-01 00:00:00", f"u{k}", k, 0, item) for k in range(40)]
+    df = spark.createDataFrame(rows, schema.replace("timestamp", "string", 1)).withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    jobs.ingest_chunks(stream, str(tmp_path / "chunks"), str(tmp_path / "c")).awaitTermination()
+    one = jobs.committed_chunks(spark.createDataFrame([(7,)], "run_id long"), str(tmp_path / "chunks"))
+    assert [r["run_id"] for r in one.collect()] == [7]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_unlisted_realizations_are_an_error(spark):
+    points = spark.createDataFrame([(1, r, 0, 1.0, 2.0, 3.0, 4.0) for r in range(3)], "case_id long, realization int, seq long, md double, north double, east double, tvd double")
+    assert exports.export_realizations_wide(points, [0, 1, 2]).count() == 1
+    with pytest.raises(Exception, match="realization not listed: 2"):
+        exports.export_realizations_wide(points, [0, 1]).collect()
+
+
+def test_exported_files_are_in_order(spark, tmp_path):
+    rows = [(b, k, float(k), 1.0, 1.0, 1.0, 0.0, 0.0, 0.0) for b in (1, 2) for k in range(500)]
+    names = "bore_id long, seq long, md double, c00 double, c11 double, c22 double, c01 double, c02 double, c12 double"
+    exports.export_covariance(spark.createDataFrame(rows, names).repartition(9), str(tmp_path / "cov"))
+    for folder in (tmp_path / "cov").glob("bore_id=*"):
+        depths = [float(line.split(";")[0]) for f in sorted(folder.glob("part-*")) for line in f.read_text().splitlines() if line[0] != "m"]
+        assert depths == [float(k) for k in range(500)]
