@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boreline.functions.blocks import durable
 from boreline.llm import text
+from boreline.llm.bits import bit_filter, passes
 from boreline.llm.components import components
 
 SHINGLE = 5
 #: Two sets link if this many hundredths of their union are common.
 PERCENT = 80
-#: Shingles in a subset of a small set; common shingles that a pair with a large set must show in the lists.
+#: Shingles in a subset of a small set.
 SUBSET = 2
-SHARED = 4
 #: Sets of more shingles are never small: their subsets outnumber any saving.
 SMALL_AT_MOST = 64
-#: Counters that estimate how common a shingle is, and bits of the filter of sets to fetch.  Fixed, so both may be
-#: broadcast; they order shingles and spare work, and no result depends on them.
+#: Counters that estimate how common a shingle is.  Fixed, so they may be broadcast; they order shingles, and no result
+#: depends on them.
 COUNTERS = 1 << 20
-FILTER_BITS = 1 << 26
 _PIECES = 256
+#: Sizes of one band are at most so many times each other.
+BAND = 1.02
+_AT_BITS = 24
 
 
 def shingles(column: pa.Array) -> list[np.ndarray]:
@@ -72,27 +74,28 @@ def _prefix(n: int, common: int) -> int:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, set and n of every row, and at the end of each task its counters, in pieces."""
+    """doc_id, row, set and n of every row, and at the end of each task its counters, in pieces."""
 
     def make(batches):
         counters = np.zeros(COUNTERS, np.int32)
         for batch in text.slices(batches):
-            sets = shingles(batch.column(1))
+            sets = shingles(batch.column(2))
             for found in sets:
                 if len(found):
                     # Shingles of one set that fall on one counter count once, which only lowers an estimate.
                     counters[(found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)] += 1
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(1), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
         if counters.any():
             pieces = counters.reshape(_PIECES, -1)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(_PIECES, pa.int64()), pa.nulls(_PIECES, pa.int64()), pa.nulls(_PIECES, pa.int64()),
+                *(pa.nulls(_PIECES, pa.int64()) for _ in range(4)),
                 pa.array(np.arange(_PIECES, dtype=np.int32)), pa.array([p.astype("<i4").tobytes() for p in pieces], pa.binary())], names)
 
-    names = ["doc_id", "set", "n", "piece", "counters"]
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, set long, n long, piece int, counters binary")
+    names = ["doc_id", "row", "set", "n", "piece", "counters"]
+    layout = "doc_id long, row long, set long, n long, piece int, counters binary"
+    return docs.select("doc_id", text.row_key().alias("row"), "text").mapInArrow(make, layout)
 
 
 def _counters(rows: DataFrame) -> np.ndarray:
@@ -124,10 +127,10 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     """The largest size of a small set: where the rows of all subsets of the small sets, and all list entries of the
     others times the entries each of them meets, are fewest.  Sets near the boundary pay for both."""
     best, cost = 3, None
-    large = {n: _prefix(n, SHARED) * list_length for n in sizes}
+    large = {n: _prefix(n, 1) * list_length for n in sizes}
     everything = sum(sizes[n] * large[n] for n in sizes)
     for at in range(3, SMALL_AT_MOST + 1):
-        subsets = sum(c * comb(_prefix(n, SUBSET), SUBSET) for n, c in sizes.items() if 3 < n <= at)
+        subsets = sum(c * math.comb(_prefix(n, SUBSET), SUBSET) for n, c in sizes.items() if 3 < n <= at)
         lists = everything - sum(c * large[n] for n, c in sizes.items() if 100 * n <= PERCENT * at)
         if cost is None or subsets + lists < cost:
             best, cost = at, subsets + lists
@@ -135,43 +138,37 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 def _signatures(docs: DataFrame, levels, most: int) -> DataFrame:
-    """sig and set: of small sets the subsets of their first shingles, of large ones, and of those small ones that a
-    large one may link with, the first shingles themselves.  The rarest shingles come first."""
+    """sig, set and size: of small sets the subsets of their first shingles, of large ones, and of those small ones that a
+    large one may link with, the first shingles themselves.  The rarest shingles come first.  ``size`` is the set's, and
+    below it, in ``_AT_BITS``, how many of its shingles come before (0 for a subset)."""
     pair_salt = np.uint64(0xD1B54A32D192ED03)
 
     def make(batches):
         shift = np.uint64(64 - COUNTERS.bit_length() + 1)
         level = levels.value
         for batch in text.slices(batches):
-            sigs, names = [], []
+            sigs, names, sizes = [], [], []
             for found in shingles(batch.column(0)):
                 n = len(found)
                 if n <= 3:
                     continue  # these link with equal sets only
                 order = np.argsort(level[(found >> shift).astype(np.int64)], kind="stable")
-                own = []
                 if n <= most:
-                    part = found[order[: _prefix(n, SUBSET)]]
-                    part = np.sort(part)
+                    part = np.sort(found[order[: _prefix(n, SUBSET)]])
                     i, j = np.triu_indices(len(part), 1)
-                    own.append(text.mix(part[i] * pair_salt + text.mix(part[j])))
+                    sigs.append(text.mix(part[i] * pair_salt + text.mix(part[j])))
+                    sizes.append(np.full(len(i), n << _AT_BITS))
+                    names.append(np.full(len(i), _name(found)))
                 if 100 * n > PERCENT * most:
-                    own.append(found[order[: _prefix(n, SHARED)]])
-                sigs.extend(own)
-                names.append(np.full(sum(map(len, own)), _name(found), np.int64))
+                    own = found[order[: _prefix(n, 1)]]
+                    sigs.append(own)
+                    sizes.append(n << _AT_BITS | np.arange(len(own)))
+                    names.append(np.full(len(own), _name(found)))
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], ["sig", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], ["sig", "set", "size"])
 
-    return docs.select("text").mapInArrow(make, "sig long, set long")
-
-
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """A bit for every set in ``wanted``; as many words as the filter has, at most, reach the driver."""
-    places = wanted.select(F.pmod("set", F.lit(FILTER_BITS)).alias("bit"))
-    words = places.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out
+    return docs.select("text").mapInArrow(make, "sig long, set long, size long")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -179,15 +176,14 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     The filter only spares work: a set that passes it by chance goes in the semi join.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.col("set")))
 
     def make(batches):
         bits = shared.value
         for batch in text.slices(batches):
             sets = shingles(batch.column(0))
             names = np.array([_name(s) for s in sets], np.int64)
-            place = names % FILTER_BITS
-            keep = np.flatnonzero(bits[place >> 6] >> (place & 63) & 1)
+            keep = np.flatnonzero(passes(bits, names))
             yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set", "shingles"])
 
     found = docs.select("text").mapInArrow(make, "set long, shingles binary").join(wanted, "set", "left_semi")
@@ -212,36 +208,67 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
 
 
-def _sizes_fit(a: str, b: str):
-    return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
+def _may_link(a: str, a_at: str, b: str, b_at: str):
+    """Whether sets of these sizes whose first common shingle stands at these places can be similar enough.
+
+    All common shingles come from there on, and a link takes 4/9 of the sum of the sizes in common.
+    """
+    fits = F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
+    return fits & F.expr(f"{100 + PERCENT} * least({a} - {a_at}, {b} - {b_at}) >= {PERCENT} * ({a} + {b})")
+
 
+def _largest_partner() -> Column:
+    """A bound to the size of the sets that a list entry (n, at) can link its set with, if it is their first in common."""
+    return F.floor((F.lit(100 + PERCENT) * (F.col("n") - F.col("at")) - F.lit(PERCENT) * F.col("n")) / PERCENT)
 
-def _enough(a: str, b: str, most: int):
-    """Of shingles that two large sets have in their lists, as many must be common as each is guaranteed to show; two
-    small sets need one common subset, and may also meet in lists."""
-    return F.when(F.greatest(F.col(a), F.col(b)) <= most, F.lit(1)).otherwise(F.least(F.lit(SHARED), F.ceil(F.least(F.col(a), F.col(b)) * PERCENT / 100)))
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(BAND))
+
+
+def _first_in_common(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in lists (sig, set, n, at, root) that may link by their first common shingle and have
+    different roots, each once.
+
+    An entry asks for the bands of sizes it can link with, of those that its list holds; entries meet whose bands ask for
+    each other.  Components of such a meeting are paired first, and only those of different ones opened, so members of
+    one component never meet.
+    """
+    spread = lists.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_set(_band(F.col("n"))).alias("bands"))
+    asking = lists.join(spread.filter("low < high").select("sig", "bands"), "sig").withColumn("own", _band(F.col("n")))
+    least, most = _band(F.col("n") * (PERCENT / 100)) - 1, _band(F.col("n") * (100 / PERCENT)) + 1
+    wanted = F.filter("bands", lambda b: (b >= least) & (b <= most) & (F.floor(F.pow(F.lit(BAND), b)) <= _largest_partner()))
+    asking = durable(asking.select("sig", "set", "n", "at", "root", "own", F.explode(wanted).alias("other")))
+    groups = asking.select("sig", "own", "other", "root").distinct()
+    x, y = groups.alias("x"), groups.alias("y")
+    apart = x.join(y, F.expr("x.sig = y.sig AND x.own = y.other AND x.other = y.own AND x.root < y.root"))
+    apart = apart.select(F.col("x.sig").alias("sig"), F.col("x.own").alias("own"), F.col("x.other").alias("other"), F.col("x.root").alias("low"), F.col("y.root").alias("high"))
+    left = asking.select("sig", "own", "other", F.col("root").alias("low"), F.col("set").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    right = asking.select("sig", F.col("own").alias("other"), F.col("other").alias("own"), F.col("root").alias("high"), F.col("set").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    pairs = apart.join(left, ["sig", "own", "other", "low"]).join(right, ["sig", "own", "other", "high"])
+    return pairs.filter(_may_link("a_n", "a_at", "b_n", "b_at")).select("a", "b").distinct()
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set and component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, row (a key), n_shingles, set, root and component_id of every row of ``docs`` (doc_id, text).
 
     Two rows link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; component_id is the
     smallest doc_id that a row reaches by links.  Every pair that can link is either judged on its whole sets or already
     connected, so no link between components is lost:
 
     1. Equal sets are one set from here on, known by a 64-bit hash of its shingles, which are 64-bit hashes themselves.
-    2. Sets of up to ``boundary`` shingles emit every 2-subset of a prefix, larger ones list a longer prefix; linked sets
-       share a subset, or ``SHARED`` list entries.
-    3. In each list all sets are first compared with its least one only, so a large group of near copies costs a row per
-       entry.  These links make components.
-    4. Then every pair of sets of *different* components that shares enough entries is judged.
+    2. Sets of up to ``boundary`` shingles emit every 2-subset of a prefix, larger ones list a prefix; linked sets share a
+       subset, or list entries of which the first leaves enough shingles to both.
+    3. In each list all sets are first compared with its head only, so a large group of near copies costs a row per entry.
+       These links make components.
+    4. Then every pair of sets of *different* components that may link by its first common entry is judged.
 
     Rows with one doc_id are documents of their own.  A row without words is linked with nothing; so is one of a null
     doc_id if alone, its component_id being null.
     """
     source = docs.select("doc_id", "text")
     rows = durable(_summaries(source))
-    own = rows.filter("piece IS NULL").select("doc_id", "set", "n")
+    own = rows.filter("piece IS NULL").select("doc_id", "row", "set", "n")
     named = own.filter("n > 0").select("set", "n").distinct()
     counters = _counters(rows)
     entries = float(counters.sum())
@@ -252,17 +279,18 @@ def link_documents(docs: DataFrame) -> DataFrame:
     levels = docs.sparkSession.sparkContext.broadcast(_levels(counters))
 
     signatures = _signatures(source, levels, most)
-    twice = signatures.groupBy("sig").agg(F.count("*").alias("_n")).filter("_n > 1").select("sig")
+    twice = durable(signatures.groupBy("sig").agg(F.count("*").alias("_n")).filter("_n > 1").select("sig"))
     met = signatures.join(twice.hint("shuffle_hash"), "sig", "left_semi").distinct()
-    lists = durable(met.join(named, "set").select("sig", "set", "n"))
+    lists = durable(met.select("sig", "set", F.shiftright("size", _AT_BITS).alias("n"), F.col("size").bitwiseAND(F.lit((1 << _AT_BITS) - 1)).alias("at")))
 
-    least = lists.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("head"), F.count("*").alias("_n")).filter("_n > 1").select("sig", "head")
-    lists = durable(lists.join(least, "sig").select("sig", "set", "n", F.col("head.set").alias("head"), F.col("head.n").alias("head_n")))
-    star = lists.filter("set <> head").filter(_sizes_fit("n", "head_n")).groupBy("set", "head", "n", "head_n").agg(F.count("*").alias("common"))
+    # The head of a list is the set that has the entry earliest, so the fewest shingles of its own.
+    heads = lists.groupBy("sig").agg(F.min(F.struct("at", "set", "n")).alias("head"), F.min("n").alias("least"), F.count("*").alias("_n")).filter("_n > 1")
+    lists = lists.join(heads.select("sig", "head", "least"), "sig").filter(_largest_partner() >= F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100)))
+    lists = durable(lists.select("sig", "set", "n", "at", F.col("head.set").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at")))
+    star = lists.filter("set <> head").filter(_may_link("n", "at", "head_n", "head_at")).groupBy("set", "head").agg(F.count("*").alias("common"))
     # The head with most entries in common is judged now; other pairs are left to the last step, if still apart.
-    star = star.groupBy("set", "n").agg(F.max(F.struct("common", "head", "head_n")).alias("best"))
-    star = star.select("set", "n", "best.*").filter(F.col("common") >= _enough("n", "head_n", most))
-    star = durable(star.select(F.col("head").alias("a"), F.col("set").alias("b")))
+    star = star.groupBy("set").agg(F.max(F.struct("common", "head")).alias("best"))
+    star = durable(star.select(F.col("best.head").alias("a"), F.col("set").alias("b")))
 
     def judged(pairs: DataFrame) -> DataFrame:
         wanted = durable(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
@@ -270,19 +298,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     links = judged(star)
     roots = components(links)
-    placed = lists.select("sig", "set", "n").join(roots.withColumnRenamed("node", "set"), "set", "left")
-    placed = placed.select("sig", "set", "n", F.coalesce("root", "set").alias("root"))
-    several = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-    placed = durable(placed.join(several, "sig", "left_semi"))
-    groups = placed.select("sig", "root").distinct()
-    # Lists hold few components, so their pairs are few; the sets of each are joined to them, never two of one component.
-    apart = groups.alias("x").join(groups.alias("y"), F.expr("x.sig = y.sig AND x.root < y.root")).select(
-        F.col("x.sig").alias("sig"), F.col("x.root").alias("low"), F.col("y.root").alias("high"))
-    left = placed.select("sig", F.col("root").alias("low"), F.col("set").alias("a"), F.col("n").alias("a_n"))
-    right = placed.select("sig", F.col("root").alias("high"), F.col("set").alias("b"), F.col("n").alias("b_n"))
-    pairs = apart.join(left, ["sig", "low"]).join(right, ["sig", "high"]).filter(_sizes_fit("a_n", "b_n"))
-    pairs = pairs.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("common")).filter(F.col("common") >= _enough("a_n", "b_n", most))
-    pairs = durable(pairs.select("a", "b").join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+    placed = lists.select("sig", "set", "n", "at").join(roots.withColumnRenamed("node", "set"), "set", "left")
+    pairs = _first_in_common(placed.withColumn("root", F.coalesce("root", "set")))
+    pairs = durable(pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     if pairs.limit(1).count():
         roots = components(links.unionByName(judged(pairs)))
 
@@ -290,7 +308,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
     whole = whole.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "set")))
     lowest = whole.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     whole = whole.join(lowest, "root", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), "set", F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    return whole.select("doc_id", "row", F.col("n").alias("n_shingles"), "set", "root", F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` of each group of linked ones, that of the smallest doc_id (null is the largest), with all its
+    columns; rows without words stay."""
+    linked = durable(link_documents(docs).filter("n_shingles > 0").select("doc_id", "row", "root"))
+    where = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    first = linked.groupBy("root").agg(F.min(where).alias("first")).select(F.col("first.row").alias("_kept"))
+    marked = linked.select("row").distinct().join(first, F.col("row") == F.col("_kept"), "left")
+    found = text.numbered(docs).join(marked, F.col("_row") == F.col("row"), "left")
+    stays = F.col("row").isNull() | (F.col("_kept").isNotNull() & (F.col("_nth") == 1))
+    return found.filter(stays).select("_doc.*")
 
 
 def op8_set_join(spark, sf_dir):
