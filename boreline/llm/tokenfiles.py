@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,10 @@ from boreline.llm import text
 
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 1 << 22
-#: Different pieces of text whose ids a task keeps.
-KEPT_PIECES = 1 << 18
+#: Pieces of text that the library encodes in one call.
+PIECES_AT_ONCE = 4096
+#: Different pieces of text whose ids a Python worker keeps, from task to task; the first ones, as common words come early.
+KEPT_PIECES = 1 << 19
 MAGIC = b"BLTOK\x00\x00\x01"
 SAMPLE = 256
 
@@ -128,30 +130,50 @@ class Shard:
         return cls(ends, keys, smallest, nulls, np.frombuffer(data, f"<u{width}", offset=at))
 
 
+def _kinds() -> np.ndarray:
+    """Of ASCII: 1 letters, 2 digits, 3 other printable characters but the apostrophe, 4 that one; else 0."""
+    kinds = np.zeros(256, np.uint8)
+    for b in range(0x21, 0x7F):
+        kinds[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if chr(b) == "'" else 3
+    return kinds
+
+
+_KINDS = _kinds()
+
+
 def _breaks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where a text may be cut so that its parts encode to the ids of the whole.
 
-    The vocabulary's pattern never joins a character that isn't white space with white space after it.  So a cut before
-    ASCII white space is safe if the character before it surely isn't white space: printable ASCII, or a longer
-    character that begins with a byte under which Unicode has no white space.  Other places are left uncut.
+    The vocabulary's pattern makes runs of letters, of digits and of other characters, each with one blank before it at
+    most, runs of white space, and short forms after an apostrophe.  So a cut is safe before ASCII white space if the
+    character before it surely isn't white space, and between ASCII characters of different kinds, the first no
+    apostrophe.  Longer characters count as no white space if they begin with a byte under which Unicode has none, and
+    the Latin letters among them as letters.  Other places are left uncut.
     """
     n = len(data)
     space = ~text.SPACE_WORDS[data]
+    kind = _KINDS[data]
     sure = np.zeros(n, bool)
-    for back, (low, high) in ((1, (0x21, 0x7E)), (2, (0xC3, 0xDF)), (3, (0xE4, 0xEF)), (4, (0xF0, 0xF4))):
+    sure[1:] = kind[:-1] > 0
+    letter = np.zeros(n, bool)
+    for back, (low, high) in ((2, (0xC3, 0xDF)), (3, (0xE4, 0xEF)), (4, (0xF0, 0xF4))):
         if n > back:
-            lead = data[: n - back]
-            ok = (lead >= low) & (lead <= high)
-            if back > 1:
-                ok &= data[back - 1 : n - 1] >= 0x80
+            lead, tail = data[: n - back], data[back - 1 : n - 1]
+            ok = (lead >= low) & (lead <= high) & (tail >= 0x80)
             sure[back:] |= ok
+            if back == 2:
+                letter[2:] = ok & (lead == 0xC3) & (tail != 0x97) & (tail != 0xB7)
     cut = space & sure
+    before = np.zeros(n, np.uint8)
+    before[1:] = kind[:-1]
+    before[letter] = 1
+    cut |= (kind > 0) & (before > 0) & (before < 4) & (np.where(kind == 4, 3, kind) != before)
     cut[offsets[offsets < n]] = True
     return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; each different piece of text is encoded once while it is kept."""
+    """Ids of whole texts by the tokenizers library; a piece of text whose ids are kept isn't encoded again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -159,7 +181,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, list[int]] = {}
+        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kept: dict[str, array] = {}
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many belong to each text."""
@@ -171,13 +194,15 @@ class Encoder:
         kind = pa.StringArray if edges.dtype == np.int32 else pa.LargeStringArray
         pieces = kind.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         words = pieces.dictionary.to_pylist()
-        if len(self.kept) > KEPT_PIECES:
-            self.kept = {}
-        new = [w for w in words if w not in self.kept]
-        self.kept.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        found = [self.kept[w] for w in words]
+        kept, rare = self.kept, {}
+        into = kept if len(kept) < KEPT_PIECES else rare
+        new = [w for w in words if w not in kept]
+        for at in range(0, len(new), PIECES_AT_ONCE):
+            part = new[at : at + PIECES_AT_ONCE]
+            into.update(zip(part, (array("H" if self.small else "I", e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        found = [kept[w] if w in kept else rare[w] for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        pool = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        pool = np.frombuffer(b"".join(found), np.uint16 if self.small else np.uint32).astype(np.uint32)
         code = pieces.indices.to_numpy()
         each = sizes[code]
         run = np.concatenate([[0], np.cumsum(each)])
@@ -186,6 +211,15 @@ class Encoder:
         return ids, np.diff(run[np.searchsorted(starts, offsets)])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
@@ -202,7 +236,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, sh
     def write(batches):
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
-        encode, task = Encoder(vocabulary), TaskContext.get()
+        encode, task = _encoder(vocabulary), TaskContext.get()
         held: list = []
 
         def close(number):
@@ -216,7 +250,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, sh
 
         schema = pa.schema([("task", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
         number = size = 0
-        for part in text.slices(batches, limit=4 * text.SLICE_BYTES):
+        for part in text.slices(batches, limit=min(8 * text.SLICE_BYTES, 4 * shard_ids)):
             ids, counts = encode(part.column(1))
             stops = np.cumsum(counts)
             ids = np.insert(ids, stops, end)
