@@ -18,11 +18,12 @@ SAMPLE = 1 << 15
 LEAF = 64
 #: Share of the true neighbours, within the sample, that the number of leaves read per query is set to reach.
 RECALL = 0.97
-TRIALS = 512
+TRIALS = 256
 SEED = 3
 NEIGHBOURS = 5
-#: Queries that meet a leaf at once.
+#: Queries that meet a leaf at once, and neighbouring leaves of a tree whose best a query gets together.
 QUERY_BLOCK = 512
+LEAVES_TOGETHER = 16
 
 
 class Forest:
@@ -88,7 +89,8 @@ class Forest:
         tried = np.random.default_rng(seed).permutation(len(sample))[:trials]
         cosines = sample[tried] @ sample.T
         cosines[np.arange(len(tried)), tried] = -np.inf
-        near = np.argsort(-cosines, axis=1)[:, : min(k, len(sample) - 1)]
+        k = min(k, len(sample) - 1)
+        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         turn = np.argsort(self.queue(sample[tried]), axis=1)
         found = np.take_along_axis(turn[:, None, :], self.place(sample)[near], axis=2).min(axis=2)
         self.read = int(np.sort(found.ravel())[min(found.size - 1, int(recall * found.size))]) + 1
@@ -123,7 +125,7 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
     are searched once, and as candidates only the ``k + 1`` smallest ids of a vector can matter, so large groups of
     copies cost no more than one.  Rows with one id and several vectors count as one candidate, with the best score.
     What ``sound_vectors`` leaves out takes no part.  Each leaf's vectors meet the queries that read it in one task, as a
-    product of two matrices, of which the best ``k + 1`` per query go on.
+    product of two matrices, and of a few leaves together the best ``k + 1`` per query go on.
     """
     spark = vectors.sparkSession
     sound = durable(sound_vectors(vectors).distinct())
@@ -161,27 +163,36 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREE
                 again = pa.array(np.repeat(np.arange(part.num_rows), leaves.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), part.column(0).take(again), part.column(1).take(again)], ["leaf", "class", "embedding"])
 
+    def best_of(left: pd.DataFrame, right: pd.DataFrame) -> list[pd.DataFrame]:
+        """The best ``k + 1`` of one leaf for each query that reads it."""
+        vectors, classes, found = np.stack(right["embedding"]), right["class"].to_numpy(), []
+        sizes = np.linalg.norm(vectors, axis=1)
+        for at in range(0, len(left), QUERY_BLOCK):
+            part = left.iloc[at : at + QUERY_BLOCK]
+            queries = np.stack(part["embedding"])
+            cosines = queries @ vectors.T / (np.linalg.norm(queries, axis=1)[:, None] * sizes)
+            some = min(k + 1, len(classes))
+            best = np.argpartition(-cosines, some - 1, axis=1)[:, :some]
+            found.append(pd.DataFrame({
+                "asking": np.repeat(part["class"].to_numpy(), some), "class": classes[best].ravel(),
+                "score": np.take_along_axis(cosines, best, axis=1).ravel()}))
+        return found
+
     def meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asking) and len(held):
-            right = np.stack(held["embedding"])
-            classes = held["class"].to_numpy()
-            sizes = np.linalg.norm(right, axis=1)
-            for at in range(0, len(asking), QUERY_BLOCK):
-                part = asking.iloc[at : at + QUERY_BLOCK]
-                left = np.stack(part["embedding"])
-                cosines = left @ right.T / (np.linalg.norm(left, axis=1)[:, None] * sizes)
-                some = min(k + 1, len(classes))
-                best = np.argpartition(-cosines, some - 1, axis=1)[:, :some]
-                found.append(pd.DataFrame({
-                    "asking": np.repeat(part["class"].to_numpy(), some), "class": classes[best].ravel(),
-                    "score": np.take_along_axis(cosines, best, axis=1).ravel()}))
-        return pd.concat(found) if found else pd.DataFrame({"asking": [], "class": [], "score": []})
+        leaves = dict(iter(held.groupby("leaf")))
+        found = [part for leaf, left in asking.groupby("leaf") if leaf in leaves for part in best_of(left, leaves[leaf])]
+        if not found:
+            return pd.DataFrame({"asking": [], "class": [], "score": []})
+        # A tree has each class in one leaf only, so none is listed twice.
+        every = pd.concat(found).sort_values(["asking", "score", "class"], ascending=[True, False, True])
+        return every.groupby("asking").head(k + 1)
 
     layout = "leaf long, class long, embedding array<double>"
     held = single.mapInArrow(indexed, layout)
     asking = single.join(queries.select("class").distinct(), "class").select("class", "embedding").mapInArrow(asked, layout)
-    pairs = asking.groupBy("leaf").cogroup(held.groupBy("leaf")).applyInPandas(meet, "asking long, class long, score double")
+    # Leaves are numbered tree by tree, and a tree has a power of two of them.
+    together = F.floor(F.col("leaf") / min(LEAVES_TOGETHER, forest.leaves)).cast("long").alias("together")
+    pairs = asking.groupBy(together).cogroup(held.groupBy(together)).applyInPandas(meet, "asking long, class long, score double")
     # A class can be found in several trees; the largest of scores that differ in their last bit is kept.
     pairs = pairs.groupBy("asking", "class").agg(F.max("score").alias("score"))
     top = Window.partitionBy("asking").orderBy(F.desc("score"), "class")
