@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boreline.functions.blocks import durable
 from boreline.llm import text
 
 #: A place in a document: a hash of its text above, the place below.  Rows of one doc_id with different texts so stay apart.
@@ -30,10 +31,10 @@ def _marks(column: pa.Array) -> np.ndarray:
 def repeated(rows: DataFrame) -> DataFrame:
     """The rows whose ``h`` other rows have too.
 
-    Counts are summed up before the shuffle; the join's rows can be split by adaptive execution where one ``h`` holds
-    many of them.
+    Counts are summed up before the shuffle.  The found ones are written, so that both sides of the join are plain
+    shuffles, whose rows adaptive execution can split where one ``h`` holds many of them.
     """
-    twice = rows.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h")
+    twice = durable(rows.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h"))
     return rows.join(twice.hint("shuffle_hash"), "h", "left_semi")
 
 
