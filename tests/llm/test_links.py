@@ -139,3 +139,20 @@ def test_forest_recall(spark):
     for r in forest.nearest(table, F.col("vec_id") % 50 == 0).collect():
         got[r["query_id"]].add(r["vec_id"])
     assert sum(len(want[i] & got[i]) for i in want) / (5 * len(want)) >= 0.9
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(7)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(rng.integers(4, 700))
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        kept = x[: int(n * rng.uniform(0.5, 1.0))]
+        y = np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 1))).astype(np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        common = len(np.intersect1d(x, y))
+        links = 100 * common >= 80 * (len(x) + len(y) - common)
+        gone = setjoin._cannot_link(*(np.frombuffer(setjoin._bitmap(s), np.uint8) for s in (x, y)), len(x), len(y))
+        assert not (links and gone)
+        ruled_out += gone
+    assert ruled_out > 150
