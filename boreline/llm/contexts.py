@@ -30,7 +30,7 @@ from boreline.llm import text
 DEPTH = 6
 #: Text of one block.  A longer document is a block of its own.
 BLOCK_BYTES = 1 << 25
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 #: The end of a text, and what stands before its beginning: a byte that UTF-8 never has.
 END = 0xFF
 #: Depth from which on subtrees are computed apart; the few nodes nearer to the root are put together at the driver.
@@ -89,21 +89,33 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Tally:
-    """Different keys of a block and how often each occurs in training."""
+    """Different keys of a block and how often each occurs in training.
+
+    What slices add is merged whenever it is half as much as is held, so memory follows the different keys.
+    """
 
     def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.keys, self.counts = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+        self.new = 0
 
     def add(self, keys: np.ndarray, training: np.ndarray) -> None:
         for own, weight in ((keys[training], 1), (keys[~training], 0)):
             found, counts = np.unique(own, return_counts=True)
             self.keys.append(found)
-            self.counts.append(counts * weight)
+            self.counts.append((counts * weight).astype(np.int32))
+            self.new += len(found)
+        if self.new > max(1 << 20, len(self.keys[0]) // 2):
+            self.sum()
 
     def sum(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-        return keys, np.bincount(place, np.concatenate(self.counts), len(keys)).astype(np.int64)
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts = [], []
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        self.keys, self.counts = [keys[first]], [np.add.reduceat(counts, first) if len(first) else counts]
+        self.new = 0
+        return self.keys[0], self.counts[0].astype(np.int64)
 
 
 def _blocked(docs: DataFrame, training: Column) -> DataFrame:
