@@ -132,7 +132,11 @@ def _blocked(docs: DataFrame, training: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], ["doc_id", "training", "text", "block"])
 
     own = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("training"), "text")
-    return durable(own.mapInArrow(number, "doc_id long, training boolean, text string, block long"))
+    numbered = own.mapInArrow(number, "doc_id long, training boolean, text string, block long")
+    # The largest table that is written here, so in the closer of the usual compressions.
+    path = f"{shared_folder(docs.sparkSession)}/boreline-{uuid.uuid4().hex}"
+    numbered.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def _by_block(batches, limit: int = _SLICE):
