@@ -224,8 +224,10 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
 
     named = durable(source.mapInArrow(name, "h long, piece long, doc_id long, place long"))
     where = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("place"))
-    first = durable(named.groupBy("h", "piece").agg(F.min(where).alias("first"), F.count("*").alias("n")))
-    copies = named.join(first.filter("n > 1"), ["h", "piece"]).filter(where != F.col("first")).select("doc_id", "place")
+    # Equal pieces have equal seeds at equal places, so the hash of the piece is enough.
+    first = durable(named.groupBy("piece").agg(F.min("h").alias("h"), F.min(where).alias("first"), F.count("*").alias("n")))
+    copied = first.filter("n > 1").select("piece", "first")
+    copies = named.select("piece", "doc_id", "place").join(copied, "piece").filter(where != F.col("first")).select("doc_id", "place")
     several = first.groupBy("h").agg(F.count("*").alias("pieces")).filter("pieces > 1")
     several = durable(first.join(several, "h").select("h", "piece", "first.place", "pieces"))
     wanted = context.broadcast(bit_filter(several, F.col("piece").bitwiseXOR(F.col("place"))))
@@ -239,13 +241,17 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
                  pa.array((at - begin)[keep].astype(np.int32)), _pieces(data, begin[keep], number[keep])],
                 ["h", "doc_id", "place", "lead", "piece"])
 
-    fetched = durable(source.mapInArrow(fetch, "h long, doc_id long, place long, lead int, piece binary"))
+    warm = fetched = source.mapInArrow(fetch, "h long, doc_id long, place long, lead int, piece binary")
     hot = several.filter(F.col("pieces") > HOT).select("h").distinct()
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fetched.count() // PIECES))
-    warm = fetched.join(hot, "h", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    found = warm.groupBy("bucket").applyInArrow(_repeated_starts, "doc_id long, place long")
-    strings = fetched.join(hot, "h", "left_semi").select("doc_id", "place", "piece").mapInArrow(_single_starts, "h long, doc_id long, place long")
-    hits = copies.unionByName(found).unionByName(repeats.later(durable(strings)))
+    hits = copies
+    if hot.limit(1).count():
+        fetched = durable(fetched)
+        warm = fetched.join(hot, "h", "left_anti")
+        strings = fetched.join(hot, "h", "left_semi").select("doc_id", "place", "piece").mapInArrow(_single_starts, "h long, doc_id long, place long")
+        hits = hits.unionByName(repeats.later(durable(strings)))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-several.count() // PIECES))
+    warm = warm.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    hits = hits.unionByName(warm.groupBy("bucket").applyInArrow(_repeated_starts, "doc_id long, place long"))
     return repeats.without(docs, hits, _cover)
 
 
