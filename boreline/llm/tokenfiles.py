@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -173,29 +174,55 @@ def _breaks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; a piece of text whose ids are kept isn't encoded again."""
+    """Ids of whole texts by the tokenizers library; a piece of text whose ids are kept isn't encoded again.
+
+    The library takes the added tokens out of a text first, the leftmost and then the longest, and encodes what is between
+    them for itself; so each is one piece.  Where they hang on the characters around them, or on a normalizer, texts are
+    encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        plain = not any(t.lstrip or t.rstrip or t.single_word for t in added) and len({t.normalized for t in added}) < 2
+        self.whole = not plain or self.tokenizer.normalizer is not None
+        longest = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.marks = re.compile(b"|".join(map(re.escape, longest))) if added else None
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kept: dict[str, array] = {}
 
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at the safe breaks, before and after each added token, and nowhere in one."""
+        if self.whole:
+            return np.unique(offsets[offsets < len(data)])
+        starts = _breaks(data, offsets)
+        if self.marks is None:
+            return starts
+        body = memoryview(np.ascontiguousarray(data))
+        found = [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.marks.finditer(body, a, b)]
+        if not found:
+            return starts
+        spans = np.array(found)
+        last = np.searchsorted(spans[:, 0], starts, side="left") - 1
+        inside = (last >= 0) & (starts < spans[last, 1])
+        edges = spans.ravel()
+        return np.union1d(starts[~inside], edges[edges < len(data)])
+
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many belong to each text."""
         data, offsets = text.flat(column)
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        starts = _breaks(data, offsets)
+        starts = self._starts(data, offsets)
         edges = np.append(starts, len(data)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
         kind = pa.StringArray if edges.dtype == np.int32 else pa.LargeStringArray
         pieces = kind.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         words = pieces.dictionary.to_pylist()
         kept, rare = self.kept, {}
-        into = kept if len(kept) < KEPT_PIECES else rare
+        into = kept if len(kept) < KEPT_PIECES and not self.whole else rare
         new = [w for w in words if w not in kept]
         for at in range(0, len(new), PIECES_AT_ONCE):
             part = new[at : at + PIECES_AT_ONCE]

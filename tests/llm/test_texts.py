@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from boreline.llm import contamination, mixture, repeats, sentences, suffixes, tokenfiles
 
@@ -254,6 +254,46 @@ def test_pieces_encode_to_the_ids_of_the_whole(vocabulary, tokenizer):
         assert found.ids == ids[stops[k] : stops[k + 1]].tolist()
 
 
+def _with_marks(marks, count=4000):
+    rng = random.Random(2)
+    parts = [*marks, *(m[:k] for m in marks for k in (1, 2, len(m) - 1)), *(m[k:] for m in marks for k in (1, len(m) // 2)), " ", "  ", "\n", "a", "B", "9", "'s", "é", "中", "!"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(count)] + [None, "", "a <|endoftext|> b"]
+
+
+def test_added_tokens_in_texts_are_one_id(vocabulary):
+    plain = Tokenizer.from_file(vocabulary)
+    texts = _with_marks(["<|endoftext|>"])
+    ids, counts = tokenfiles.Encoder(vocabulary)(pa.array(texts))
+    stops = np.concatenate([[0], np.cumsum(counts)])
+    for k, found in enumerate(plain.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert found.ids == ids[stops[k] : stops[k + 1]].tolist()
+    assert ids[stops[-2] :].tolist() == [64, 220, 50256, 275]
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"normalized": True}])
+def test_added_tokens_of_any_kind(vocabulary, tmp_path, flags):
+    plain = Tokenizer.from_file(vocabulary)
+    plain.add_special_tokens([AddedToken("<|a|>", normalized=False), AddedToken("<|a|><|a|>b", normalized=False)])
+    plain.add_tokens([AddedToken("aBa", **{"normalized": False, **flags})])
+    plain.save(str(tmp_path / "v.json"))
+    texts = _with_marks(["<|a|>", "<|a|><|a|>b", "aBa"], 1500)
+    ids, counts = tokenfiles.Encoder(str(tmp_path / "v.json"))(pa.array(texts))
+    stops = np.concatenate([[0], np.cumsum(counts)])
+    for k, found in enumerate(plain.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert found.ids == ids[stops[k] : stops[k + 1]].tolist()
+
+
+def test_token_files_of_texts_with_marks(spark, vocabulary):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "plain")]
+    plain = Tokenizer.from_file(vocabulary)
+    want, at = [], 0
+    for i, t in rows:
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, tokenfiles.token_files(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 7, 1000, 10**12], list(range(0, 5000, 3)), [2**40] * 300])
 def test_elias_fano(values):
     coded = tokenfiles.EliasFano.encode(np.array(values, np.uint64))
