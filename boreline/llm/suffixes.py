@@ -171,6 +171,18 @@ def _repeated_starts(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": table.column("doc_id").take(pa.array(found)).cast(pa.int64()), "place": pa.array(runs, pa.int64())})
 
 
+def _owners(ids: pa.Array) -> np.ndarray:
+    """The part that a doc_id has in the key of the filter: its bits folded into those that the filter reads."""
+    ids = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+    return ids ^ ids >> 26 ^ ids >> 52
+
+
+def _where_key():
+    """The key of the filter for ``name``, ``place`` and ``doc_id``: copies of one piece have different ones."""
+    ids = F.coalesce("doc_id", F.lit(-1).cast("long"))
+    return F.col("name").bitwiseXOR(F.col("place")).bitwiseXOR(ids).bitwiseXOR(F.shiftright(ids, 26)).bitwiseXOR(F.shiftright(ids, 52))
+
+
 def _cover(data: np.ndarray, found: np.ndarray) -> np.ndarray:
     first = found >> _COUNT_BITS
     return np.stack([first, first + (found & ((1 << _COUNT_BITS) - 1)) - 1 + LENGTH], axis=1)
@@ -199,8 +211,8 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
 
     1. The seeds of all anchors are counted; those that occur once are done.
     2. Anchors of the others are compared by a hash of their piece: of equal pieces all but the first are hit.
-    3. The first of each different piece of a seed that has several goes into the column-wise construction, which
-       compares bytes.  Pieces of one seed meet in one task, many seeds in each; a seed with more than ``HOT`` different
+    3. The first of each different piece of a seed that has several, and no other copy, goes into the column-wise
+       construction, which compares bytes.  Pieces of one seed meet in one task, many seeds in each; a seed with more than ``HOT`` different
        pieces has its strings joined by hash instead.
     """
     source = docs.select("doc_id", "text")
@@ -229,19 +241,24 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
     copied = first.filter("n > 1").select("piece", "first")
     copies = named.select("piece", "doc_id", "place").join(copied, "piece").filter(where != F.col("first")).select("doc_id", "place")
     several = first.groupBy("h").agg(F.count("*").alias("pieces")).filter("pieces > 1")
-    several = durable(first.join(several, "h").select("h", "piece", "first.place", "pieces"))
-    wanted = context.broadcast(bit_filter(several, F.col("piece").bitwiseXOR(F.col("place"))))
+    several = durable(first.join(several, "h").select("h", F.col("piece").alias("name"), "first.doc_id", "first.place", "pieces"))
+    wanted = context.broadcast(bit_filter(several, _where_key()))
 
     def fetch(batches):
         for batch in text.slices(batches):
             data, seed, doc, at, begin, number, place, piece = _rows(batch)
-            keep = np.flatnonzero(passes(wanted.value, piece.view(np.int64) ^ place))
+            keep = np.flatnonzero(passes(wanted.value, piece.view(np.int64) ^ place ^ _owners(batch.column(0))[doc]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seed[keep].view(np.int64)), batch.column(0).take(pa.array(doc[keep])), pa.array(place[keep]),
+                [pa.array(seed[keep].view(np.int64)), pa.array(piece[keep].view(np.int64)), batch.column(0).take(pa.array(doc[keep])), pa.array(place[keep]),
                  pa.array((at - begin)[keep].astype(np.int32)), _pieces(data, begin[keep], number[keep])],
-                ["h", "doc_id", "place", "lead", "piece"])
-
-    warm = fetched = source.mapInArrow(fetch, "h long, doc_id long, place long, lead int, piece binary")
+                ["h", "name", "doc_id", "place", "lead", "piece"])
+
+    # The filter lets others through, and rows that agree in doc_id and text come more than once.
+    exact = ["name", "place", "owner", "none"]
+    whose = (F.coalesce("doc_id", F.lit(0)).alias("owner"), F.col("doc_id").isNull().alias("none"))
+    fetched = source.mapInArrow(fetch, "h long, name long, doc_id long, place long, lead int, piece binary").select("*", *whose)
+    fetched = fetched.join(several.select("name", "place", *whose), exact, "left_semi").dropDuplicates(exact)
+    warm = fetched = fetched.select("h", "doc_id", "place", "lead", "piece")
     hot = several.filter(F.col("pieces") > HOT).select("h").distinct()
     hits = copies
     if hot.limit(1).count():

@@ -50,6 +50,30 @@ def test_repeated_strings(docs, rows, monkeypatch, hot):
     assert got == repeated_strings(rows)
 
 
+@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
+def test_pieces_are_fetched_once(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(9)
+    text = corpus.prose(rng, 8)
+    words = text.split(" ")
+    words[len(words) // 2] = "changed"
+    near = " ".join(words)
+    rows = [(1, text), (1, text), (2, near), *((k, text) for k in range(3, 40)), (1 << 40, text), (-1, near), (None, text), (None, text), (None, near)]
+    whole = suffixes._repeated_starts
+
+    def told(table):
+        (tmp_path / f"{table.column('h')[0].as_py()}").write_text(str(table.num_rows))
+        return whole(table)
+
+    monkeypatch.setattr(suffixes, "_repeated_starts", told)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, repeats.digest(suffixes.remove_repeated_strings(docs)).collect()))
+    assert got == repeated_strings(rows)
+    # Two different texts, whatever the number of copies: so many pieces at most, fewer where they agree.
+    most = sum(len(suffixes.anchors(*tokenfiles.text.flat(pa.array([t])))[0]) for t in (text, near))
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) <= most
+
+
 def test_strings_that_repeat_within_a_text(spark):
     rng = random.Random(3)
     part = "".join(rng.choice("abc") for _ in range(160))
