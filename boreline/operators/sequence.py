@@ -217,15 +217,15 @@ def _least_switches(keep):
     lower cost so far counts, then the lower type.
     """
     n = len(keep[0])
-    cost, back = [1, 1, 1], []
+    cost, back = [1, 1, 1], bytearray()
     for i in range(1, n):
         choice = [min((cost[u] + (keep[v][i] if u == v else 1), cost[u], u) for u in range(3)) for v in range(3)]
-        back.append([c[2] for c in choice])
+        back.extend(c[2] for c in choice)
         cost = [c[0] for c in choice]
     best = min(range(3), key=lambda v: cost[v])
     path = [best]
-    for row in reversed(back):
-        path.append(row[path[-1]])
+    for at in range(len(back) - 3, -1, -3):
+        path.append(back[at + path[-1]])
     return path[::-1]
 
 
@@ -269,7 +269,7 @@ def fit_path(md, inc, az, eps_length: float, eps_curvature: float, alpha: float)
         return flag
 
     types = _least_switches([changes("dls", "x", "y", "z"), changes("bur", "tr"), changes("dls", "bur")])
-    raw = []
+    compact, last = [], None
     for i in range(n):
         kind = types[min(i + 1, n - 1)]
         if kind == 0:
@@ -287,10 +287,11 @@ def fit_path(md, inc, az, eps_length: float, eps_curvature: float, alpha: float)
                 if i > 0 and abs(az[i] - az[i - 1]) < 1e-12 and b < 0.0:
                     face = np.pi
             values = (k, face if not np.isnan(b) else np.nan, 0.0, 0.0)
-        if not np.isnan(values).any():
-            raw.append((name, float(md[i]), values))
-    compact = [r for i, r in enumerate(raw) if not i or r[0] != raw[i - 1][0] or not np.allclose(
-        r[2], raw[i - 1][2], rtol=0.0, atol=1e-9)]
+        if np.isnan(values).any():
+            continue
+        if last is None or name != last[0] or not np.allclose(values, last[1], rtol=0.0, atol=1e-9):
+            compact.append((name, float(md[i]), values))
+        last = name, values
     sections = []
     for i, (name, start, values) in enumerate(compact):
         stop = compact[i + 1][1] if i + 1 < len(compact) else float(md[-1])
@@ -321,10 +322,9 @@ def fit_sections(
     """Sections of constant parameters for every path, chained from its first station.
 
     Each row has the section's type, depth range and two parameters (curvature and toolface, or build and turn rate)
-    and the pose at its start; a section starts where the one before ends.  A path longer than a block is fitted block
-    by block, so a section ends at every block edge.
+    and the pose at its start; a section starts where the one before ends.  A period may reach to
+    the last station, so every path is fitted whole in one group, which no block bounds.
     """
-    block = [B.BLOCK] if B.is_split(stations) else []
     key_type = stations.schema[key].dataType.simpleString()
 
     def fit(pdf):
@@ -344,12 +344,8 @@ def fit_sections(
             i0, a0 = (float(x) for x in curve.direction(stop - start))
         return pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in SECTIONS_SCHEMA.split(", ")]])
 
-    usable = survey.usable_source_points(stations).select(key, "seq", *block, *STATION)
-    fitted = B.spread(usable, [key, *block]).groupBy(key, *block).applyInPandas(fit, f"{key} {key_type}, {SECTIONS_SCHEMA}")
-    if not block:
-        return fitted
-    numbered = B.with_position(fitted.drop("section_index"), [key], ["start_md"], "section_index")
-    return numbered.withColumn("section_index", F.col("section_index").cast("int")).select(*fitted.columns)
+    usable = survey.usable_source_points(stations).select(key, "seq", *STATION)
+    return B.spread(usable, [key]).groupBy(key).applyInPandas(fit, f"{key} {key_type}, {SECTIONS_SCHEMA}")
 
 
 def section_chain(sections: DataFrame, key: str = "bore_id") -> DataFrame:

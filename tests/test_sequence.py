@@ -141,6 +141,17 @@ def test_section_chain_is_continuous(spark, sf):
     assert far.distance.notna().all() and (far.section_u.between(0, 1)).all()
 
 
+@pytest.mark.parametrize("rows", [7, 20, 1 << 20])
+def test_sections_of_split_wells(spark, sf, rows):
+    s = derived.stations(spark, sf)
+    order = ["bore_id", "section_index"]
+    want = sequence.fit_sections(s).toPandas().sort_values(order).reset_index(drop=True)
+    cut = s.withColumn(B.BLOCK, F.floor(F.col("seq") / rows).cast("bigint"))
+    got = sequence.fit_sections(cut).toPandas().sort_values(order).reset_index(drop=True)
+    print(f"{len(want)} sections whole, {len(got)} at {rows} rows a block")
+    pd.testing.assert_frame_equal(want, got)
+
+
 def test_realizations(spark, sf):
     s = uncertainty_plans.covered_stations(spark, sf)
     cases = spark.createDataFrame([(1, 1, 60, 0.1, 7), (2, 2, 3, 0.0, 7), (3, 3, 0, 0.1, 7), (4, 999, 5, 0.1, 7)],
