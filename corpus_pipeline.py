@@ -11,12 +11,11 @@ from boreline.session import attach
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those go whose text is null or has no letter, or no n-gram of any language."""
+    """Documents with a language: those go that op5 calls ``und``, whose text is null or has no letter."""
     attach(spark)
     filters = languages.learn_filters(docs.filter(~languages.held_out()))
     found = languages.predict_languages(text.packed(docs, F.col("text")), filters)
-    known = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("lang_score") > 0)
-    return found.filter(known).select("_doc.*")
+    return found.filter(F.col("lang_pred") != languages.UNKNOWN).select("_doc.*")
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,6 +78,19 @@ def test_stages(spark, folder, tokenizer):  # noqa: F811
     assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == Counter(map(tuple, five))
 
 
+def test_language_stage_rejects_what_the_operator_rejects(spark, docs, folder):
+    import corpus_pipeline
+
+    from boreline.llm import languages
+
+    filters = languages.learn_filters(docs.filter(~languages.held_out()))
+    found = languages.predict_languages(docs.select("doc_id", "text"), filters).collect()
+    want = Counter((r["doc_id"], r["text"]) for r in found if r["lang_pred"] != languages.UNKNOWN)
+    kept = corpus_pipeline.identify_languages(spark, docs, folder)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert want[1004, "Re."] == 1
+
+
 def test_stages_of_an_empty_table(spark, docs, tmp_path):
     import corpus_pipeline
 
