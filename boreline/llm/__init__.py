@@ -12,7 +12,8 @@ from importlib import import_module
 from boreline.session import attach
 
 MODULES = (
-    "contamination", "contexts", "forest", "languages", "mixture", "quality", "sentences", "setjoin", "suffixes", "tokenfiles",
+    "codebooks", "contamination", "contexts", "forest", "languages", "mixture", "phrases", "quality", "sentences", "setjoin", "suffixes",
+    "superminhash", "tokenfiles",
 )
 
 
