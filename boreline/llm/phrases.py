@@ -21,7 +21,7 @@ TOP = 2000
 #: Language of texts whose ``lang`` is null.
 UNKNOWN = "und"
 #: Bytes of text in one shard; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _ROWS_OUT = 1 << 17
 
 _MARKS = text._class(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D), outside=False)
@@ -115,7 +115,7 @@ def shard_words(langs: pa.Array, column: pa.Array) -> tuple[np.ndarray, pa.Array
     spoken = langs.fill_null(UNKNOWN).dictionary_encode()
     texts = np.repeat(np.arange(len(first) - 1), np.diff(first))
     # Marks before each word; where that number changes, or the text does, a piece ends.
-    passed = np.cumsum(_MARKS[data])[starts]
+    passed = np.searchsorted(np.flatnonzero(_MARKS[data]), starts)
     last = np.append((np.diff(passed) != 0) | (np.diff(texts) != 0), True)
     key = spoken.indices.to_numpy()[texts].astype(np.int64) * len(spelled.dictionary) + spelled.indices.to_numpy()
     kinds, number = np.unique(key, return_inverse=True)
@@ -171,6 +171,8 @@ def _counted(docs: DataFrame, rows) -> DataFrame:
             ids, langs, words = shard_words(shard.column(0).combine_chunks(), shard.column(1))
             if len(ids):
                 yield from rows(ids, langs, words)
+            del shard, ids, langs, words
+            text.release()
 
     found = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(mine, "lang string, k int, phrase string, f long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))

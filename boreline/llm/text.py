@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -60,6 +62,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives back to the system what Arrow and the C library hold for later use, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than that of GNU
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of at most ``limit`` bytes of text, or of one longer text."""
     for batch in batches:
@@ -72,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(to, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
