@@ -22,7 +22,7 @@ def angles(t):
 def frame(inc, az):
     """High-side and right vectors."""
     high = np.array([np.cos(inc) * np.cos(az), np.cos(inc) * np.sin(az), -np.sin(inc)])
-    return high, np.array([-np.sin(az), np.cos(az), 0.0])
+    return high, np.array([-np.sin(az), np.cos(az), np.zeros_like(az)])
 
 
 def toolface(i1, a1, i2, a2):
@@ -159,20 +159,85 @@ SECTION = {"CircularArc": CircularArc, "ConstantBuildAndTurn": BuildAndTurn,
            "ConstantCurvatureAndToolface": CurvatureAndToolface}
 
 
-def closest_on_section(section, length, points):
-    """Golden-section search for the nearest place on a section: arc length, distance and position per point."""
-    left, right = np.zeros(len(points)), np.full(len(points), float(length))
+class Curves:
+    """Sections of mixed types, one in each place of the arrays, with positions and directions of many at once."""
+
+    def __init__(self, kind, pose, inc, az, first, second):
+        self.kind = np.asarray(kind, dtype=object)
+        self.p = np.asarray(pose, dtype=float).reshape(-1, 3)
+        self.inc, self.az, self.first, self.second = (np.asarray(x, dtype=float) for x in (inc, az, first, second))
+        high, right = frame(self.inc, self.az)
+        self.t = tangent(self.inc, self.az)
+        self.n = np.cos(self.second)[:, None] * high.T + np.sin(self.second)[:, None] * right.T if len(self.inc) else self.t
+
+    def _angles(self, i, s):
+        """Inclination and azimuth at ``s`` (places x nodes) of sections ``i`` that are no arcs."""
+        inc0, az0, a, b = (x[i][:, None] for x in (self.inc, self.az, self.first, self.second))
+        plain = (self.kind[i] == "ConstantBuildAndTurn")[:, None]
+        build, side = np.where(plain, a, a * np.cos(b)), a * np.sin(b)
+        inc = inc0 + build * s
+        sine, level, floor = np.sin(inc0), np.abs(build) < 1e-12, 1e-12
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = np.where(np.abs(sine) > 1e-9, side / sine, 0.0)
+            curved = side / build * np.log(np.maximum(np.tan(np.abs(inc) / 2.0), floor) / np.maximum(np.tan(np.abs(inc0) / 2.0), floor))
+        return inc, az0 + np.where(plain, b * s, np.where(level, rate * s, curved))
+
+    def at(self, i, s):
+        """Positions at ``s`` along sections ``i``."""
+        s = np.asarray(s, dtype=float)
+        out = np.empty((len(s), 3))
+        arc = self.kind[i] == "CircularArc"
+        j, k, x = i[arc], self.first[i[arc]], s[arc]
+        flat = np.abs(k) < 1e-12
+        over = np.where(flat, 1.0, k)
+        along = np.where(flat, x, np.sin(x * k) / over)
+        out[arc] = self.p[j] + along[:, None] * self.t[j] + np.where(flat, 0.0, (1.0 - np.cos(x * k)) / over)[:, None] * self.n[j]
+        if not arc.all():
+            j, half = i[~arc], 0.5 * s[~arc][:, None]
+            inc, az = self._angles(j, half * (1.0 + _NODES))
+            out[~arc] = self.p[j] + np.einsum("...ki,k->...i", tangent(inc, az) * half[..., None], _WEIGHTS)
+        return out
+
+    def direction(self, i, s):
+        s = np.asarray(s, dtype=float)
+        t = np.empty((len(s), 3))
+        arc = self.kind[i] == "CircularArc"
+        x = (s * self.first[i])[arc][:, None]
+        t[arc] = np.cos(x) * self.t[i[arc]] + np.sin(x) * self.n[i[arc]]
+        if not arc.all():
+            inc, az = self._angles(i[~arc], s[~arc][:, None])
+            t[~arc] = tangent(inc[:, 0], az[:, 0])
+        return angles(t)
+
+    def closest(self, i, length, points):
+        """Golden-section search for the place nearest to each point on section ``i``: arc length, distance, position.
+
+        The middle of the section counts where it is nearer than what the search ended at.
+        """
+        left, right = np.zeros(len(points)), np.array(length, dtype=float)
 
-    def distance(s):
-        return np.linalg.norm(section.at(s) - points, axis=1)
+        def distance(s):
+            return np.linalg.norm(self.at(i, s) - points, axis=1)
 
-    c, d = right - GOLDEN * (right - left), left + GOLDEN * (right - left)
-    fc, fd = distance(c), distance(d)
-    for _ in range(GOLDEN_STEPS):
-        go = fc > fd
-        left, right = np.where(go, c, left), np.where(go, right, d)
         c, d = right - GOLDEN * (right - left), left + GOLDEN * (right - left)
         fc, fd = distance(c), distance(d)
-    s = 0.5 * (left + right)
-    at = section.at(s)
-    return s, np.linalg.norm(at - points, axis=1), at
+        for _ in range(GOLDEN_STEPS):
+            go = fc > fd
+            left, right = np.where(go, c, left), np.where(go, right, d)
+            c, d = right - GOLDEN * (right - left), left + GOLDEN * (right - left)
+            fc, fd = distance(c), distance(d)
+        s, half = 0.5 * (left + right), 0.5 * np.asarray(length, dtype=float)
+        s = np.where(distance(half) < distance(s), half, s)
+        at = self.at(i, s)
+        return s, np.linalg.norm(at - points, axis=1), at
+
+    def balls(self, length):
+        """The middle of each section, and a radius around it that holds all its places.
+
+        Half the length, but for sections whose angles turn more than the quadrature follows.
+        """
+        own, length = np.arange(len(self.inc)), np.asarray(length, dtype=float)
+        inc, az = (x[:, 0] for x in self._angles(own, length[:, None]))
+        wild = (np.abs(inc - self.inc) > 4.0) | (np.abs(az - self.az) > 4.0) | (np.floor(inc / np.pi) != np.floor(self.inc / np.pi))
+        wild &= self.kind != "CircularArc"
+        return self.at(own, 0.5 * length), np.where(wild, 1.5, 0.5 * (1.0 + 1e-9)) * length + 1e-9

@@ -9,18 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boreline.functions import blocks as B
 from boreline.operators import survey
+from boreline.operators.fitting import SECTIONS_SCHEMA, fit_sections
 
 STATION = ["md", "inc", "az", "north", "east", "tvd"]
 
 # Fixed default values of the aggregation and realization cases.
-EPSILON_LENGTH = 250.0
-EPSILON_CURVATURE = 0.00037815466446505184  # 0.65 degrees per 30 m
-ALPHA = 0.9
 SECTION_STEP = 10.0
 COARSENING = 0.1
 MAXIMUM_REALIZATIONS = 1000
@@ -80,19 +78,16 @@ def walk(df: DataFrame, keys: list[str], step: Callable, columns: list[str]) ->
     return done
 
 
-def _greedy(accepts: Callable):
+def _greedy(kind: str, tolerance: float):
     """Walk that keeps, from each kept row, the farthest end reached before the first end that fails."""
 
     def step(pdf, at_end):
+        from boreline.functions import envelope
+
+        path = getattr(envelope, kind)(*[pdf[c].to_numpy(dtype=float) for c in STATION], tolerance)
         n, start, kept = len(pdf), 0, [0]
-        data = [pdf[c].to_numpy(dtype=float) for c in STATION]
         while start < n - 1:
-            end, failed = start + 1, False
-            for candidate in range(start + 2, n):
-                if not accepts(data, start, candidate):
-                    failed = True
-                    break
-                end = candidate
+            end, failed = envelope.farthest(path, start, n)
             if not failed and not at_end:
                 break  # the next block decides
             kept.append(end)
@@ -109,245 +104,19 @@ def coarsen_minimum_curvature(stations: DataFrame, tolerance: float, key: str =
     """
     if not tolerance > 0:
         return stations.select(key, "seq", *STATION)
-
-    def accepts(data, start, end):
-        import numpy as np
-
-        from boreline.functions import arcs
-
-        md, inc, az, n, e, t = data
-        inner = slice(start + 1, end)
-        t1, t2 = arcs.tangent(inc[start], az[start]), arcs.tangent(inc[end], az[end])
-        length = md[end] - md[start]
-        if not length > 0:
-            return False
-        at = arcs.minimum_curvature_points(
-            np.array([n[start], e[start], t[start]]), t1, t2, length, (md[inner] - md[start]) / length
-        )
-        own = np.stack([n[inner], e[inner], t[inner]], axis=1)
-        return bool((np.linalg.norm(at - own, axis=1) <= tolerance).all())
-
-    return walk(stations, [key], _greedy(accepts), STATION)
+    return walk(stations, [key], _greedy("ByDepth", tolerance), STATION)
 
 
 def coarsen_circular(stations: DataFrame, tolerance: float, key: str = "bore_id") -> DataFrame:
     """The same with the circular arc that leaves the start along its direction and passes through the end point."""
     if not tolerance > 0:
         return stations.select(key, "seq", *STATION)
-
-    def accepts(data, start, end):
-        import numpy as np
-
-        from boreline.functions import arcs
-
-        md, inc, az, n, e, t = data
-        inner = slice(start + 1, end)
-        arc = arcs.CircularArc.through(
-            np.array([n[start], e[start], t[start]]), arcs.tangent(inc[start], az[start]), np.array([n[end], e[end], t[end]])
-        )
-        own = np.stack([n[inner], e[inner], t[inner]], axis=1)
-        return bool((arc.distance(md[end] - md[start], own) <= tolerance).all())
-
-    return walk(stations, [key], _greedy(accepts), STATION)
+    return walk(stations, [key], _greedy("ByPlace", tolerance), STATION)
 
 
 # --- sections ----------------------------------------------------------------------------------------------------
 
 
-def constant_periods(values, spread: float):
-    """Periods of almost constant value: from each start the longest one with a variance below ``spread`` squared.
-
-    The next period starts at the last index of the one before; a start without period moves on by one.
-    """
-    import numpy as np
-
-    x = np.asarray(values, dtype=float)
-    periods, start, n = [], 0, len(x)
-    if spread < 0:
-        return periods
-    while start < n - 1:
-        # centred at the start value, the running sums keep their digits
-        tail = x[start:] - x[start]
-        count = np.arange(1, len(tail) + 1)
-        mean = np.cumsum(tail) / count
-        variance = np.maximum(np.cumsum(tail * tail) / count - mean * mean, 0.0)
-        good = np.nonzero(variance[1:] < spread * spread)[0]
-        if len(good):
-            end = int(good[-1]) + 1
-            periods.append((start, start + end, float(mean[end] + x[start])))
-            start += end
-        else:
-            start += 1
-    return periods
-
-
-def equivalence_labels(periods, n: int):
-    """One label per index; an index shared by two periods belongs to the earlier one."""
-    import numpy as np
-
-    labels = np.full(n, -1, dtype=np.int64)
-    at = 0
-    label = 0
-    for start, end, _ in periods:
-        while at < start:
-            labels[at] = label
-            label, at = label + 1, at + 1
-        if at <= end:
-            labels[at : end + 1] = label
-            label, at = label + 1, end + 1
-    while at < n:
-        labels[at] = label
-        label, at = label + 1, at + 1
-    return labels
-
-
-def _filled(periods, n: int):
-    import numpy as np
-
-    out = np.full(n, np.nan)
-    for start, end, mean in periods:
-        out[start : end + 1] = mean
-    return out
-
-
-def _least_switches(keep):
-    """Curve type per step with the fewest changes.
-
-    ``keep[type][i]`` is 1 where staying with the type costs a new section.  Of equally good ways the one through the
-    lower cost so far counts, then the lower type.
-    """
-    n = len(keep[0])
-    cost, back = [1, 1, 1], bytearray()
-    for i in range(1, n):
-        choice = [min((cost[u] + (keep[v][i] if u == v else 1), cost[u], u) for u in range(3)) for v in range(3)]
-        back.extend(c[2] for c in choice)
-        cost = [c[0] for c in choice]
-    best = min(range(3), key=lambda v: cost[v])
-    path = [best]
-    for at in range(len(back) - 3, -1, -3):
-        path.append(back[at + path[-1]])
-    return path[::-1]
-
-
-def fit_path(md, inc, az, eps_length: float, eps_curvature: float, alpha: float):
-    """Sections (type, start, end, first, second) that describe a path by constant parameters."""
-    import numpy as np
-    import pandas as pd
-
-    from boreline.functions import arcs
-
-    ds = np.diff(md)
-    straight = [("CircularArc", float(md[0]), float(md[-1]), 0.0, 0.0)]
-    if len(md) < 2 or not (ds > 0).all():
-        return straight
-    t = arcs.tangent(inc, az)
-    bend = 2.0 * np.arcsin(np.minimum(1.0, 0.5 * np.linalg.norm(np.diff(t, axis=0), axis=1)))
-    step = 0.5 * (ds * arcs.half_angle_factor(bend))[:, None] * (t[:-1] + t[1:])
-    end = np.cumsum(step, axis=0) + np.array([0.0, 0.0, md[0]])
-    middle = end - 0.5 * step
-    dls = bend / ds
-    turn = np.diff(t, axis=0)
-    size = np.linalg.norm(turn, axis=1)
-    bent = (size > 1e-12) & (dls > 1e-12)
-    centre = np.zeros_like(middle)
-    centre[bent] = middle[bent] + turn[bent] / size[bent, None] / dls[bent, None]
-    series = {
-        "dls": dls, "bur": np.diff(inc) / ds, "tr": arcs.wrap_signed(np.diff(az)) / ds,
-        "x": centre[:, 0], "y": centre[:, 1], "z": centre[:, 2],
-    }
-    n = len(ds)
-    periods, labels, means = {}, {}, {}
-    for name, values in series.items():
-        smooth = pd.Series(values).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-        periods[name] = constant_periods(smooth, eps_curvature if name in ("dls", "bur", "tr") else eps_length)
-        labels[name], means[name] = equivalence_labels(periods[name], n), _filled(periods[name], n)
-
-    def changes(*names):
-        flag = np.zeros(n, dtype=int)
-        for name in names:
-            flag[1:] |= np.diff(labels[name]) != 0
-        return flag
-
-    types = _least_switches([changes("dls", "x", "y", "z"), changes("bur", "tr"), changes("dls", "bur")])
-    compact, last = [], None
-    for i in range(n):
-        kind = types[min(i + 1, n - 1)]
-        if kind == 0:
-            values = tuple(means[c][i] for c in ("dls", "x", "y", "z"))
-            name = "CircularArc"
-        elif kind == 1:
-            values = (means["bur"][i], means["tr"][i], 0.0, 0.0)
-            name = "ConstantBuildAndTurn"
-        else:
-            name = "ConstantCurvatureAndToolface"
-            k, b = means["dls"][i], means["bur"][i]
-            face = 0.0
-            if not np.isnan(k + b) and abs(k) >= 1e-12:
-                face = float(np.arccos(np.clip(b / k, -1.0, 1.0)))
-                if i > 0 and abs(az[i] - az[i - 1]) < 1e-12 and b < 0.0:
-                    face = np.pi
-            values = (k, face if not np.isnan(b) else np.nan, 0.0, 0.0)
-        if np.isnan(values).any():
-            continue
-        if last is None or name != last[0] or not np.allclose(values, last[1], rtol=0.0, atol=1e-9):
-            compact.append((name, float(md[i]), values))
-        last = name, values
-    sections = []
-    for i, (name, start, values) in enumerate(compact):
-        stop = compact[i + 1][1] if i + 1 < len(compact) else float(md[-1])
-        if stop <= start:
-            continue
-        second = values[1]
-        if name == "CircularArc":
-            k = int(np.searchsorted(md, start, side="right")) - 1
-            j = min(k + 1, len(md) - 1)
-            second = 0.0 if abs(values[0]) < 1e-12 else float(arcs.toolface(inc[k], az[k], inc[j], az[j]))
-        sections.append((name, start, stop, float(values[0]), float(second)))
-    return sections or straight
-
-
-SECTIONS_SCHEMA = (
-    "section_index int, type string, start_md double, end_md double, first double, second double, "
-    "inc double, az double, north double, east double, tvd double"
-)
-
-
-def fit_sections(
-    stations: DataFrame,
-    eps_length: float = EPSILON_LENGTH,
-    eps_curvature: float = EPSILON_CURVATURE,
-    alpha: float = ALPHA,
-    key: str = "bore_id",
-) -> DataFrame:
-    """Sections of constant parameters for every path, chained from its first station.
-
-    Each row has the section's type, depth range and two parameters (curvature and toolface, or build and turn rate)
-    and the pose at its start; a section starts where the one before ends.  A period may reach to
-    the last station, so every path is fitted whole in one group, which no block bounds.
-    """
-    key_type = stations.schema[key].dataType.simpleString()
-
-    def fit(pdf):
-        import pandas as pd
-
-        from boreline.functions import arcs
-
-        pdf = pdf.sort_values("seq")
-        md, inc, az = (pdf[c].to_numpy(dtype=float) for c in ("md", "inc", "az"))
-        pose = [float(pdf[c].iat[0]) for c in ("north", "east", "tvd")]
-        i0, a0 = float(inc[0]), float(az[0])
-        rows = []
-        for i, (name, start, stop, first, second) in enumerate(fit_path(md, inc, az, eps_length, eps_curvature, alpha)):
-            rows.append((pdf[key].iat[0], i, name, start, stop, first, second, i0, a0, *pose))
-            curve = arcs.SECTION[name](pose, i0, a0, first, second)
-            pose = [float(x) for x in curve.at(stop - start)]
-            i0, a0 = (float(x) for x in curve.direction(stop - start))
-        return pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in SECTIONS_SCHEMA.split(", ")]])
-
-    usable = survey.usable_source_points(stations).select(key, "seq", *STATION)
-    return B.spread(usable, [key]).groupBy(key).applyInPandas(fit, f"{key} {key_type}, {SECTIONS_SCHEMA}")
-
-
 def section_chain(sections: DataFrame, key: str = "bore_id") -> DataFrame:
     """Gap between each section's end pose and the next one's start, per section (zero in a sound chain)."""
     ends = section_points(sections, None, key)
@@ -379,43 +148,82 @@ def section_points(sections: DataFrame, step: float | None = SECTION_STEP, key:
 
     def place(batches):
         import numpy as np
-        import pandas as pd
-
-        from boreline.functions import arcs
 
         for pdf in batches:
-            out = []
-            for _, g in pdf.groupby([key, "section_index"], sort=False):
-                r = g.iloc[0]
-                curve = arcs.SECTION[r["type"]]([r["north"], r["east"], r["tvd"]], r["inc"], r["az"], r["first"], r["second"])
-                s = g["md"].to_numpy() - r["start_md"]
-                at = curve.at(s)
-                inc, az = curve.direction(s) if r["type"] != "CircularArc" else tuple(
-                    np.array(v) for v in zip(*[curve.direction(x) for x in s]))
-                out.append(pd.DataFrame({
-                    key: g[key].to_numpy(), "section_index": g["section_index"].to_numpy(), "md": g["md"].to_numpy(),
-                    "north": at[:, 0], "east": at[:, 1], "tvd": at[:, 2], "inc": inc, "az": az,
-                }))
-            if out:
-                yield pd.concat(out)
+            curves, s, own = _curves(pdf), (pdf["md"] - pdf["start_md"]).to_numpy(), np.arange(len(pdf))
+            at = curves.at(own, s)
+            inc, az = curves.direction(own, s)
+            yield pdf[[key, "section_index", "md"]].assign(north=at[:, 0], east=at[:, 1], tvd=at[:, 2], inc=inc, az=az)
 
     return cut.mapInPandas(
         place, f"{key} {key_type}, section_index int, md double, north double, east double, tvd double, inc double, az double"
     )
 
 
+def _curves(pdf):
+    from boreline.functions import arcs
+
+    return arcs.Curves(pdf["type"].to_numpy(), pdf[["north", "east", "tvd"]].to_numpy(), *(pdf[c].to_numpy() for c in ("inc", "az", "first", "second")))
+
+
+#: Points in a run, and sections or nodes under a node.
+RUN, FAN = 256, 16
+
+
+def _nodes(sections: DataFrame, key: str) -> list[DataFrame]:
+    """Balls around sections (level 0) and around ``FAN`` nodes of the level below, until no path has more than ``FAN``.
+
+    node, up (its parent), the ball's centre, a place on the path, and its radius.  A section's ball is around its
+    middle.
+    """
+    key_type = sections.schema[key].dataType.simpleString()
+
+    def balls(batches):
+        for pdf in batches:
+            at, radius = _curves(pdf).balls(pdf["end_md"] - pdf["start_md"])
+            yield pdf[[key]].assign(node=pdf["section_index"], up=pdf["section_index"] // FAN, cn=at[:, 0], ce=at[:, 1], ct=at[:, 2], radius=radius)
+
+    schema = f"{key} {key_type}, node bigint, up bigint, cn double, ce double, ct double, radius double"
+    levels = [B.durable(sections.mapInPandas(balls, schema))]
+    while (levels[-1].agg(F.max("node")).first()[0] or 0) >= FAN:
+        members = F.array_sort(F.collect_list(F.struct("node", "cn", "ce", "ct", "radius")))
+        up = levels[-1].groupBy(key, F.col("up").alias("node")).agg(members.alias("m"))
+        first = F.element_at("m", 1)
+        out = F.array_max(F.transform("m", lambda x: x["radius"] + F.sqrt(sum((x[c] - first[c]) * (x[c] - first[c]) for c in ("cn", "ce", "ct")))))
+        levels.append(B.durable(up.select(key, "node", F.floor(F.col("node") / FAN).alias("up"), *[first[c].alias(c) for c in ("cn", "ce", "ct")], out.alias("radius"))))
+    return levels
+
+
 def section_distance(points: DataFrame, sections: DataFrame, key: str = "bore_id") -> DataFrame:
-    """Nearest section place of every reference point: golden-section search on every section of its path.
+    """Nearest section place of every reference point, by golden-section search on the sections that can hold it.
 
-    Points meet the sections of their path in runs of 256, so a task holds one run and one section.  Of equally near
-    sections the first counts.
+    Runs of points descend a hierarchy of balls over the sections of their path: a node stays while it may be nearer than
+    the nearest one must be.  Of the sections left to its run each point searches the one of the least bound first, and
+    others only while their bound is below the distance found.  Of equally near sections the first counts.
     """
     from_columns = [c.split()[0] for c in SECTIONS_SCHEMA.split(", ")]
-    ref = points.select(key, "seq", F.col("md").alias("ref_md"), *[F.col(c).alias("ref_" + c) for c in ("north", "east", "tvd")])
-    run = ref.groupBy(key, F.floor(F.col("seq") / 256).alias("run")).agg(
-        F.collect_list(F.struct("seq", "ref_md", "ref_north", "ref_east", "ref_tvd")).alias("points")
-    )
-    pairs = run.join(sections.select(key, *from_columns), key)
+    sections = B.durable(sections.select(key, *from_columns))
+    ref = points.select(key, "seq", F.col("md").alias("ref_md"), *[F.col(c).alias("p" + c[0]) for c in ("north", "east", "tvd")])
+    run = ref.groupBy(key, F.floor(F.col("seq") / RUN).alias("run")).agg(
+        F.collect_list(F.struct("seq", "ref_md", "pn", "pe", "pt")).alias("points"), *[F.avg("p" + c).alias("r" + c) for c in "net"])
+    wide = F.array_max(F.transform("points", lambda x: F.sqrt(sum((x["p" + c] - F.col("r" + c)) * (x["p" + c] - F.col("r" + c)) for c in "net"))))
+    run = B.durable(run.withColumn("wide", wide))
+
+    levels = _nodes(sections, key)
+    balls = run.select(key, "run", "rn", "re", "rt", "wide")
+    near = levels[-1].join(balls, key)
+    apart = F.sqrt(sum((F.col("c" + c) - F.col("r" + c)) ** 2 for c in "net"))
+    for depth, level in enumerate(reversed(levels)):
+        if depth:
+            near = near.select(key, "run", "rn", "re", "rt", "wide", F.col("node").alias("up")).join(level, [key, "up"])
+        near = near.withColumn("apart", apart)
+        # Some place of the run's path is no farther than this from any of its points.
+        most = F.min(F.col("apart") + F.col("wide")).over(Window.partitionBy(key, "run"))
+        near = near.withColumn("most", most).filter(F.col("apart") - F.col("wide") - F.col("radius") <= F.col("most") + 1e-6)
+    near = near.select(key, "run", F.col("node").cast("int").alias("section_index"), "cn", "ce", "ct", "radius")
+    member = F.struct(*from_columns, "cn", "ce", "ct", "radius")
+    chosen = near.join(sections, [key, "section_index"]).groupBy(key, "run").agg(F.collect_list(member).alias("sections"))
+    both = run.select(key, "run", "points").join(chosen, [key, "run"]).select(key, "points", "sections")
     key_type = points.schema[key].dataType.simpleString()
     schema = (
         f"{key} {key_type}, seq bigint, ref_md double, section_index int, type string, md double, north double, "
@@ -423,29 +231,55 @@ def section_distance(points: DataFrame, sections: DataFrame, key: str = "bore_id
     )
 
     def nearest(batches):
-        import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        from boreline.functions import arcs
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                yield pa.RecordBatch.from_pandas(_nearest(batch.slice(at, 16), key), preserve_index=False)
+
+    return B.spread(both, [key]).mapInArrow(nearest, schema)
 
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                curve = arcs.SECTION[r.type]([r.north, r.east, r.tvd], r.inc, r.az, r.first, r.second)
-                xyz = np.array([[p["ref_north"], p["ref_east"], p["ref_tvd"]] for p in r.points])
-                s, d, at = arcs.closest_on_section(curve, r.end_md - r.start_md, xyz)
-                out.append(pd.DataFrame({
-                    key: getattr(r, key), "seq": [p["seq"] for p in r.points], "ref_md": [p["ref_md"] for p in r.points],
-                    "section_index": r.section_index, "type": r.type, "md": r.start_md + s, "north": at[:, 0],
-                    "east": at[:, 1], "tvd": at[:, 2], "distance": d, "section_u": s / (r.end_md - r.start_md),
-                }))
-            if out:
-                yield pd.concat(out)
-
-    every = B.spread(pairs, [key, "run", "section_index"]).mapInPandas(nearest, schema)
-    fields = ["section_index", "type", "md", "north", "east", "tvd", "distance", "section_u"]
-    best = F.min_by(F.struct(*fields), F.struct("distance", "section_index"))
-    return every.groupBy(key, "seq", "ref_md").agg(best.alias("_b")).select(key, "seq", "ref_md", "_b.*")
+
+def _nearest(batch, key: str):
+    """The nearest section of the points of a few runs, best first."""
+    import numpy as np
+    import pandas as pd
+
+    def table(column):
+        return column.flatten().to_pandas().pipe(lambda s: pd.DataFrame(s.tolist())), np.diff(column.offsets.to_numpy())
+
+    points, n_points = table(batch.column(1))
+    sections, n_sections = table(batch.column(2))
+    curves, xyz = _curves(sections), points[["pn", "pe", "pt"]].to_numpy(dtype=float)
+    length = (sections["end_md"] - sections["start_md"]).to_numpy()
+    # Every point with every section of its run.
+    row = np.repeat(np.arange(batch.num_rows), n_points)
+    many = n_sections[row]
+    point = np.repeat(np.arange(len(points)), many)
+    first = np.concatenate([[0], np.cumsum(n_sections)[:-1]])
+    own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[row][point]
+    bound = np.linalg.norm(sections[["cn", "ce", "ct"]].to_numpy()[own] - xyz[point], axis=1) - sections["radius"].to_numpy()[own]
+    index = sections["section_index"].to_numpy()
+    order = np.lexsort((index[own], bound, point))
+    point, own, bound = point[order], own[order], bound[order]
+    turn = np.arange(len(point)) - np.repeat(np.cumsum(many) - many, many)
+    best, held = np.full(len(points), np.inf), np.full(len(points), -1)
+    s, place = np.zeros(len(points)), np.zeros((len(points), 3))
+    for t in range(int(many.max(initial=0))):
+        now = np.flatnonzero(turn == t)
+        now = now[bound[now] <= best[point[now]] + 1e-9]
+        if not len(now):
+            break
+        q, i = point[now], own[now]
+        along, distance, at = curves.closest(i, length[i], xyz[q])
+        better = (distance < best[q]) | ((distance == best[q]) & (index[i] < index[held[q]]))
+        q, i = q[better], i[better]
+        best[q], held[q], s[q], place[q] = distance[better], i, along[better], at[better]
+    return pd.DataFrame({
+        key: np.asarray(batch.column(0).to_pylist(), dtype=object)[row], "seq": points["seq"], "ref_md": points["ref_md"], "section_index": index[held].astype(np.int32),
+        "type": sections["type"].to_numpy()[held], "md": sections["start_md"].to_numpy()[held] + s, "north": place[:, 0], "east": place[:, 1],
+        "tvd": place[:, 2], "distance": best, "section_u": s / length[held],
+    }).infer_objects()
 
 
 def aggregation_case(
@@ -560,28 +394,11 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
 
 def _coarsen_each(keyed: DataFrame, columns: list[str]) -> DataFrame:
     """Coarsen every (bore, tolerance) path; sequence numbers become dense."""
-    from boreline.functions import arcs
-
-    def accepts_for(tolerance):
-        def accepts(data, start, end):
-            import numpy as np
-
-            md, inc, az, n, e, t = data
-            inner = slice(start + 1, end)
-            length = md[end] - md[start]
-            at = arcs.minimum_curvature_points(
-                np.array([n[start], e[start], t[start]]), arcs.tangent(inc[start], az[start]),
-                arcs.tangent(inc[end], az[end]), length, (md[inner] - md[start]) / length,
-            )
-            return bool((np.linalg.norm(at - np.stack([n[inner], e[inner], t[inner]], axis=1), axis=1) <= tolerance).all())
-
-        return accepts
-
     def step(pdf, at_end):
         tolerance = pdf["tolerance"].iat[0]
         if not tolerance > 0:
             return list(range(len(pdf))), len(pdf) - 1
-        return _greedy(accepts_for(tolerance))(pdf, at_end)
+        return _greedy("ByDepth", float(tolerance))(pdf, at_end)
 
     kept = walk(keyed.withColumn("tolerance", F.col("path.coarsening")), ["path"], step, [*columns, "tolerance"])
     return B.with_position(kept.drop("tolerance"), ["path"], ["md"], "seq")

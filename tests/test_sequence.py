@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-import heapq
+import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from boreline.functions import arcs
 from boreline.functions import blocks as B
-from boreline.operators import sequence
+from boreline.functions import envelope
+from boreline.functions.moments import Moments
+from boreline.operators import fitting, sequence
 from boreline.plans import uncertainty as uncertainty_plans
 from boreline.sources import derived
 from tests.conftest import make_stations
@@ -36,6 +39,59 @@ def slow_coarsening(g, tolerance):
     return g.seq.iloc[kept].tolist()
 
 
+def plain_walk(path, n):
+    """Every end tried with all stations between."""
+    kept, start = [0], 0
+    while start < n - 1:
+        end = start + 1
+        for c in range(start + 2, n):
+            if not path.accepts(start, c, np.arange(start + 1, c)):
+                break
+            end = c
+        kept.append(end)
+        start = end
+    return kept
+
+
+@pytest.mark.parametrize("kind", [envelope.ByDepth, envelope.ByPlace])
+def test_envelope_equals_looking_at_all(kind, monkeypatch):
+    """Noise of many sizes, long arcs, depths that repeat or fall, positions off the path, and whole turns."""
+    rng = np.random.default_rng(8)
+    looked = []
+    for case in range(60):
+        n = int(rng.integers(1, 130))
+        md = np.cumsum(rng.choice([1.0, 10.0, 30.0]) * np.ones(n))
+        if case % 7 == 3 and n > 20:
+            md[n // 2 :] -= rng.choice([md[1] - md[0], 40.0])
+        turn = np.repeat(rng.choice([0.0, 1e-3, 0.3 if case % 5 == 0 else 1e-4], n), 20)[:n]
+        inc, az = 0.8 + np.cumsum(turn) + rng.normal(0, rng.choice([0, 1e-6, 1e-4, 1e-2]), n), 1.0 + 0.5 * np.cumsum(turn)
+        t = arcs.tangent(inc, az)
+        p = np.cumsum(np.vstack([np.zeros(3), 0.5 * (t[1:] + t[:-1]) * np.diff(md)[:, None]]), axis=0) + rng.normal(0, rng.choice([0, 0.03, 0.2]), (n, 3))
+        path = kind(md, inc, az, *p.T, rng.choice([0.05, 0.1, 1.0]))
+        want = plain_walk(path, n)
+        counted = path.accepts
+        monkeypatch.setattr(path, "accepts", lambda a, b, inner: looked.append(len(inner)) or counted(a, b, inner), raising=False)
+        kept, start = [0], 0
+        while start < n - 1:
+            start, _ = envelope.farthest(path, start, n)
+            kept.append(start)
+        assert kept == want
+    assert looked
+
+
+@pytest.mark.parametrize("kind", [envelope.ByDepth, envelope.ByPlace])
+@pytest.mark.parametrize("turn", [0.0, 2e-7])
+def test_long_run_in_linear_time(kind, turn):
+    """One run of half a million stations, straight or on one arc."""
+    n = 500_000
+    md, inc = np.arange(n, dtype=float), 0.5 + turn * np.arange(n)
+    north, tvd = (n * 0.0 + np.sin(0.5) * md, np.cos(0.5) * md) if not turn else ((np.cos(0.5) - np.cos(inc)) / turn, (np.sin(inc) - np.sin(0.5)) / turn)
+    path = kind(md, inc, np.zeros(n), north, np.zeros(n), tvd, 0.1)
+    started = time.perf_counter()
+    assert envelope.farthest(path, 0, n) == (n - 1, False)
+    assert time.perf_counter() - started < 20
+
+
 def test_coarsening_against_loops(spark, sf, stations):
     got = sequence.coarsen_minimum_curvature(derived.stations(spark, sf), 0.1).toPandas().sort_values("seq")
     for b, g in stations.groupby("bore_id"):
@@ -58,10 +114,31 @@ def test_circular_arc_through_points():
     again = arcs.CircularArc.through(arc.p, arc.t, arc.at(120.0))
     pts = arc.at(np.linspace(0, 120, 30))
     assert again.distance(120.0, pts).max() < 1e-9
-    _, d, _ = arcs.closest_on_section(arc, 120.0, pts + [0.0, 0.5, 0.0])
+    curves = arcs.Curves(["CircularArc"], [[1.0, 2.0, 3.0]], [0.4], [0.7], [0.01], [1.1])
+    _, d, _ = curves.closest(np.zeros(30, int), np.full(30, 120.0), pts + [0.0, 0.5, 0.0])
     assert np.allclose(d, arc.distance(120.0, pts + [0.0, 0.5, 0.0]), atol=1e-6)
 
 
+def random_sections(rng, n):
+    kind = rng.choice(list(arcs.SECTION), n)
+    first = np.where(kind == "ConstantBuildAndTurn", rng.normal(0, 2e-3, n), rng.choice([0.0, 1e-3, 5e-3], n))
+    return kind, rng.normal(0, 100, (n, 3)), rng.uniform(0.05, 2.5, n), rng.uniform(0, 6, n), first, rng.choice([0.0, 1e-3, 0.7, 3.1], n)
+
+
+def test_curves_equal_single_sections():
+    rng = np.random.default_rng(3)
+    parts = random_sections(rng, 60)
+    curves, s = arcs.Curves(*parts), rng.uniform(0, 400, 60)
+    at, (inc, az) = curves.at(np.arange(60), s), curves.direction(np.arange(60), s)
+    middle, radius = curves.balls(s)
+    for k in range(60):
+        one = arcs.SECTION[parts[0][k]](parts[1][k], *(x[k] for x in parts[2:]))
+        assert np.allclose(one.at(s[k]), at[k], atol=1e-9)
+        i, a = one.direction(s[k])
+        assert np.allclose(arcs.tangent(i, a), arcs.tangent(inc[k], az[k]), atol=1e-9)
+        assert (np.linalg.norm(one.at(np.linspace(0, s[k], 40)) - middle[k], axis=1) <= radius[k] + 1e-9).all()
+
+
 def slow_periods(x, spread):
     out, start = [], 0
     while start < len(x) - 1:
@@ -80,42 +157,80 @@ def test_periods_and_labels():
     rng = np.random.default_rng(2)
     for _ in range(20):
         x = np.repeat(rng.normal(0, 3, 5), 8) + rng.normal(0, 0.1, 40)
-        got, want = sequence.constant_periods(x, 0.5), slow_periods(x, 0.5)
+        got, want = fitting.constant_periods(x, 0.5), slow_periods(x, 0.5)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([m for *_, m in got], [m for *_, m in want])
-    assert sequence.equivalence_labels([(1, 3, 0.0), (3, 5, 0.0)], 7).tolist() == [0, 1, 1, 1, 2, 2, 3]
+    assert fitting.equivalence_labels([(1, 3, 0.0), (3, 5, 0.0)], 7).tolist() == [0, 1, 1, 1, 2, 2, 3]
 
 
-def heap_path(keep):
-    """Shortest way through the layered graph with a priority queue ordered by (distance, node)."""
+def cheapest_paths(keep):
+    """The cost of every sequence of types over all steps."""
     n = len(keep[0])
-    dist, prev, heap = {0: 0}, {}, [(0, 0)]
-    while heap:
-        d, u = heapq.heappop(heap)
-        if d > dist[u]:
-            continue
-        layer = -1 if u == 0 else (u - 1) // 3
-        if layer + 1 >= n:
-            continue
-        for v in range(3):
-            node = 3 * (layer + 1) + v + 1
-            w = 1 if u == 0 or (u - 1) % 3 != v else int(keep[v][layer + 1])
-            if d + w < dist.get(node, 10**9):
-                dist[node], prev[node] = d + w, u
-                heapq.heappush(heap, (d + w, node))
-    end = min(range(3), key=lambda v: dist[3 * (n - 1) + v + 1])
-    path, at = [], 3 * (n - 1) + end + 1
-    while at:
-        path.append((at - 1) % 3)
-        at = prev[at]
-    return path[::-1]
-
-
-def test_least_switches_equals_a_heap_search():
+    return {
+        path: sum(keep[v][i] if v == path[i - 1] else 1 for i, v in enumerate(path) if i)
+        for path in itertools.product(range(3), repeat=n)
+    }
+
+
+def test_least_switches_against_all_sequences():
+    """The first of the cheapest sequences, compared from the last step on by cost so far, then by type."""
     rng = np.random.default_rng(4)
-    for _ in range(200):
-        keep = [list(rng.integers(0, 2, 25)) for _ in range(3)]
-        assert sequence._least_switches(keep) == heap_path(keep)
+    for n in (1, 2, 5, 7):
+        for _ in range(40):
+            keep = [[int(x) for x in rng.integers(0, 2, n)] for _ in range(3)]
+            costs = cheapest_paths(keep)
+            so_far = {p: [sum(keep[v][i] if v == p[i - 1] else 1 for i, v in enumerate(p[:k]) if i) for k in range(n, 0, -1)] for p in costs}
+            want = min(costs, key=lambda p: [x for pair in zip(so_far[p], p[::-1]) for x in pair])
+            assert tuple(fitting.least_switches(keep)) == want
+
+
+@pytest.mark.parametrize("cuts", [[3], [1, 2, 9], [5, 10, 15, 20], list(range(1, 30))])
+def test_blocks_of_steps_compose(cuts):
+    rng = np.random.default_rng(len(cuts))
+    for _ in range(30):
+        flags = rng.integers(0, 8, 30).tolist()
+        whole = fitting.least_switches([[f >> v & 1 for f in flags] for v in range(3)])
+        parts = [flags[a:b] for a, b in zip([0, *cuts], [*cuts, 30])]
+        states, state = [], fitting.OPENING
+        for k, part in enumerate(parts):
+            states.append(state)
+            state, _, _ = fitting.cross_block(part, state, k == 0)
+        last, got = fitting.best_type(state), []
+        for k in reversed(range(len(parts))):
+            _, inner, enter = fitting.cross_block(parts[k], states[k], k == 0)
+            types = fitting.types_in_block(parts[k], states[k], k == 0, last)
+            assert types[0] == fitting.MAPS[inner][last]
+            got, last = types + got, fitting.MAPS[enter][types[0]]
+        assert got == whole
+
+
+def test_last_ends_against_a_scan():
+    """From every start, in several series at once, with far values, ties and runs that become valid late."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 17, 64, 150):
+        x = np.repeat(rng.normal(0, 2, (3, n)), 4, axis=1)[:, :n] + rng.normal(0, 0.4, (3, n))
+        x[0, rng.integers(0, n, 2)] += 1e9
+        x[2] = 5.0
+        bound = np.array([0.3, 0.2, 1e-9])
+        tree = Moments(np.ones_like(x), x, np.zeros_like(x))
+        ends, means, _ = tree.last_ends(bound, np.repeat(np.arange(3), n), np.tile(np.arange(n), 3))
+        for k, (row, start) in enumerate((r, s) for r in range(3) for s in range(n)):
+            good = [e for e in range(start + 1, n) if np.var(x[row, start : e + 1]) < bound[row]]
+            assert ends[k] == (good[-1] if good else -1)
+            if good:
+                assert abs(means[k] - x[row, start : good[-1] + 1].mean()) < 1e-9 * max(1, abs(means[k]))
+
+
+def test_time_of_periods_grows_with_the_path():
+    """Eight times the steps take less than sixteen times as long, where every start looks at the whole rest."""
+    def spent(n):
+        x = np.random.default_rng(1).normal(0, 1, n)
+        started = time.perf_counter()
+        fitting.constant_periods(x, 0.9)
+        return time.perf_counter() - started
+
+    spent(1000)
+    assert spent(64_000) < 16 * max(spent(8_000), 0.02)
 
 
 def test_sections_of_simple_wells(spark):
@@ -141,14 +256,85 @@ def test_section_chain_is_continuous(spark, sf):
     assert far.distance.notna().all() and (far.section_u.between(0, 1)).all()
 
 
+def noisy_wells(spark):
+    """Wells of constant stretches, noise, straight parts, a single step, one station, and one whose depth falls."""
+    rng = np.random.default_rng(12)
+    wells = []
+    for b, n in enumerate((150, 90, 40, 2, 1, 30)):
+        rates = np.repeat(rng.choice([0.0, 0.0, 1e-3, -5e-4], n), 9)[:n]
+        inc = 0.6 + np.cumsum(rates * 10) + rng.normal(0, [1e-4, 2e-2, 0.0, 0, 0, 1e-3][b], n)
+        az = 1.0 + (np.cumsum(np.repeat(rng.choice([0.0, 2e-3], n), 15)[:n] * 5) if b != 2 else 0.0) + 0.0 * inc
+        md = 10.0 * np.arange(n)
+        if b == 5:
+            md[20] = md[18]
+        wells.append(make_stations(spark, md.tolist(), inc.tolist(), az.tolist(), bore_id=b))
+    out = wells[0]
+    for w in wells[1:]:
+        out = out.unionByName(w)
+    return B.durable(out)
+
+
 @pytest.mark.parametrize("rows", [7, 20, 1 << 20])
-def test_sections_of_split_wells(spark, sf, rows):
-    s = derived.stations(spark, sf)
+def test_sections_of_split_wells(spark, rows):
+    s = noisy_wells(spark)
     order = ["bore_id", "section_index"]
     want = sequence.fit_sections(s).toPandas().sort_values(order).reset_index(drop=True)
     cut = s.withColumn(B.BLOCK, F.floor(F.col("seq") / rows).cast("bigint"))
     got = sequence.fit_sections(cut).toPandas().sort_values(order).reset_index(drop=True)
-    print(f"{len(want)} sections whole, {len(got)} at {rows} rows a block")
+    pd.testing.assert_frame_equal(want, got[want.columns])
+
+
+def test_periods_of_split_wells(spark):
+    s = noisy_wells(spark).withColumn(B.BLOCK, F.floor(F.col("seq") / 9).cast("bigint"))
+    spread = 3e-4
+    got = fitting.constant_periods_of(s, "dls", spread).toPandas().sort_values(["bore_id", "start"]).reset_index(drop=True)
+    plain = s.toPandas().sort_values(["bore_id", "seq"])
+    want = {b: slow_periods(g.dls.fillna(0.0).to_numpy(), spread) for b, g in plain.groupby("bore_id")}
+    for b, periods in want.items():
+        own = got[got.bore_id == b]
+        assert list(zip(own.start, own.end)) == [p[:2] for p in periods]
+        assert own.shared.tolist() == [k > 0 and periods[k - 1][1] == p[0] for k, p in enumerate(periods)]
+    for repeat in (False, True):
+        labelled = fitting.label_periods(s, "dls", spread, repeat_shared=repeat).toPandas().sort_values(["bore_id", "seq"])
+        assert labelled.columns.tolist() == [*s.columns, "label", "mean"]
+        for b, g in labelled.groupby("bore_id"):
+            label, expected, at = 0, [], 0
+            for start, end, _ in want[b]:
+                first = start if repeat else max(start, at)
+                expected += range(label, label + max(0, start - at))
+                label += max(0, start - at)
+                expected += [label] * (end + 1 - first)
+                label, at = label + 1, end + 1
+            n = len(g)
+            expected += range(label, label + max(0, n - at))
+            assert g.label.tolist() == expected[:n]
+
+
+def test_nearest_sections_equal_looking_at_all(spark):
+    s = noisy_wells(spark)
+    sections = B.durable(fitting.fit_sections(s, eps_length=20.0, eps_curvature=1e-5))
+    every = sections.toPandas().sort_values(["bore_id", "section_index"])
+    assert every.section_index.max() > sequence.FAN
+    got = sequence.section_distance(s, sections).toPandas()
+    assert len(got) == s.count()
+    for b, g in got.groupby("bore_id"):
+        own = every[every.bore_id == b].reset_index(drop=True)
+        points = s.filter(F.col("bore_id") == b).toPandas().set_index("seq").loc[g.seq, ["north", "east", "tvd"]].to_numpy()
+        curves, length = sequence._curves(own), (own.end_md - own.start_md).to_numpy()
+        i = np.tile(np.arange(len(own)), len(points))
+        _, d, _ = curves.closest(i, length[i], np.repeat(points, len(own), axis=0))
+        d = d.reshape(len(points), len(own))
+        assert np.allclose(g.distance, d.min(axis=1), atol=1e-9)
+        assert (g.section_index.to_numpy() == own.section_index.to_numpy()[d.argmin(axis=1)]).mean() > 0.99
+
+
+def test_chain_over_blocks_of_sections(spark, sf, monkeypatch):
+    s = derived.stations(spark, sf).withColumn(B.BLOCK, F.floor(F.col("seq") / 20).cast("bigint"))
+    order = ["bore_id", "section_index"]
+    want = sequence.fit_sections(s).toPandas().sort_values(order).reset_index(drop=True)
+    monkeypatch.setattr(B, "ROWS_PER_BLOCK", 2)
+    got = sequence.fit_sections(s).toPandas().sort_values(order).reset_index(drop=True)
+    assert want.section_index.max() > 4
     pd.testing.assert_frame_equal(want, got)
 
 
