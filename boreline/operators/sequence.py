@@ -310,6 +310,7 @@ def aggregation_case(
 # Fixed order of the sign variants of the offset along the three principal axes.
 SIGNS = ((1, 1, 1), (-1, 1, 1), (1, -1, 1), (1, 1, -1), (-1, -1, 1), (-1, 1, -1), (1, -1, -1), (-1, -1, -1))
 COVARIANCE = ("c00", "c01", "c02", "c11", "c12", "c22")
+BIAS = ("bias_n", "bias_e", "bias_t")
 
 
 def validate_realization_inputs(cases: DataFrame, stations: DataFrame) -> DataFrame:
@@ -345,7 +346,8 @@ def validate_realization_inputs(cases: DataFrame, stations: DataFrame) -> DataFr
 def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
     """Monte-Carlo paths drawn from the position covariance.
 
-    ``cases``: case_id, bore_id, realizations, coarsening, seed.  ``stations`` carry covariance.  One draw of three
+    ``cases``: case_id, bore_id, realizations, coarsening, seed.  ``stations`` carry covariance, and may carry a bias
+    (bias_n, bias_e, bias_t, null as zero), which moves the middle that a station's points are drawn around.  One draw of three
     normal numbers moves a whole path along the principal axes of each station's covariance, in eight sign variants;
     from the selected point before, the variant whose arc arrives closest to the reference direction is taken.  The
     positions are then recomputed by minimum curvature.  Returns case_id, realization, seq, md, inc, az, north, east,
@@ -358,10 +360,11 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
     start = stations.groupBy("bore_id").agg(F.min("seq").alias("_start"))
     fixed = (F.col("seq") == F.col("_start")) & F.coalesce(*COVARIANCE).isNull()
     stations = stations.join(start, "bore_id").withColumns({c: F.when(fixed, 0.0).otherwise(F.col(c)) for c in COVARIANCE}).drop("_start")
+    stations = stations.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in stations.columns else F.lit(0.0) for c in BIAS})
     checked = B.durable(validate_realization_inputs(cases, stations))
     good = checked.filter("reason IS NULL").drop("reason")
     levels = good.select("bore_id", "coarsening").distinct()
-    columns = [*STATION, *COVARIANCE]
+    columns = [*STATION, *COVARIANCE, *BIAS]
     keyed = stations.join(levels, "bore_id").select(
         F.struct("bore_id", "coarsening").alias("path"), "seq", *([B.BLOCK] if B.is_split(stations) else []), *columns
     )
@@ -452,7 +455,7 @@ def _paths(pdf, draws):
     from boreline.functions import arcs
 
     md, inc, az = (pdf[c].to_numpy(dtype=float) for c in ("md", "inc", "az"))
-    centre = pdf[["north", "east", "tvd"]].to_numpy(dtype=float)
+    centre = pdf[["north", "east", "tvd"]].to_numpy(dtype=float) + pdf[list(BIAS)].to_numpy(dtype=float)
     values, vectors = principal_axes(pdf)
     n, m = len(pdf), len(draws)
     signs = np.array(SIGNS, dtype=float)

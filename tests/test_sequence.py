@@ -362,6 +362,19 @@ def test_realizations(spark, sf):
     assert 0.5 * want < rms < 1.6 * want
 
 
+def test_bias_moves_what_is_drawn(spark, sf):
+    """Without covariance every realization is the path itself, moved by the bias of its stations."""
+    s = uncertainty_plans.covered_stations(spark, sf).filter("bore_id = 1").withColumns({c: F.lit(0.0) for c in sequence.COVARIANCE})
+    cases = spark.createDataFrame([(1, 1, 2, 0.0, 7)], "case_id long, bore_id long, realizations int, coarsening double, seed long")
+    well = s.toPandas().sort_values("seq")[["north", "east", "tvd"]].to_numpy(dtype=float)
+    for bias in (0.0, 2.5):
+        moved = s.withColumns({"bias_n": F.lit(bias), "bias_e": F.lit(None).cast("double"), "bias_t": F.lit(-bias)})
+        got = sequence.realize(cases, moved if bias else s).toPandas().sort_values(["realization", "seq"])
+        assert set(got.status) == {"ok"} and len(got) == 2 * len(well)
+        for _, g in got.groupby("realization"):
+            assert np.abs(g[["north", "east", "tvd"]].to_numpy(dtype=float) - well - [bias, 0.0, -bias]).max() < 1e-3
+
+
 def test_aggregation_case_isolates_failures(spark, sf):
     s = derived.stations(spark, sf)
     cases = spark.createDataFrame([(1, 1), (1, 777)], "case_id long, bore_id long")

@@ -138,6 +138,31 @@ def test_overlap_is_symmetric_and_excludes_self(spark):
     assert sorted(map(tuple, octree.octree_overlap(ask, cells).collect())) == [(1, 2), (2, 1), (5, 1), (5, 2)]
 
 
+@pytest.mark.parametrize("heavy", [0, 2, 1000])
+def test_overlap_of_crowded_cells(spark, heavy, monkeypatch):
+    """Light and heavy cells give the same pairs, those of more than 64 paths in a block's bucket too."""
+    monkeypatch.setattr(octree, "HEAVY", heavy)
+    monkeypatch.setattr(octree, "_BUCKETS", 2)
+    rng = np.random.default_rng(6)
+    rows = {(b, 7, int(rng.integers(0, 4))) for b in range(300)} | {(int(rng.integers(0, 300)), int(k), int(rng.integers(0, 64))) for k in rng.integers(8, 40, 900)}
+    flags = {b: (bool(b % 5), bool(b % 7)) for b in range(300)}
+    cells = spark.createDataFrame([(*r, False, *flags[r[0]]) for r in rows], "bore_id long, key21 long, detail int, is_planned boolean, is_measured boolean, is_definitive boolean")
+    asked = list(range(0, 300, 3))
+    held = {}
+    for b, k, d in rows:
+        held.setdefault((k, d), set()).add(b)
+    want = {(a, b) for group in held.values() for a in group for b in group if a != b and a % 3 == 0 and all(flags[b])}
+    got = [tuple(r) for r in octree.octree_overlap(spark.createDataFrame([(b,) for b in asked], "bore_id long"), cells).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_wide_envelopes_lose_no_cell(spark):
+    """Vertices around an ellipse of 100 m lie no farther apart than the spacing."""
+    slices = spark.createDataFrame([(1, 0.0, 100.0, 20.0), (2, 0.0, 5.0, 5.0)], "bore_id long, r0 double, a double, b double")
+    got = {r.bore_id: r.sectors for r in uncertainty.sector_count(slices, octree.target_spacing(), octree.LEAST_SECTORS, 1 << 30).collect()}
+    assert 2 * np.pi * 100 / got[1] <= octree.target_spacing() and got[1] > 240 and got[2] >= octree.LEAST_SECTORS
+
+
 def straight_pair(spark, gap, sigma=1.0, radius=0.1, tilt=0.0):
     """Two straight vertical wells at a distance, with round uncertainty."""
     rows = []
