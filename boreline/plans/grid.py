@@ -233,7 +233,20 @@ QUERIES = {
 _REG = """
 reg AS (SELECT bore_id, key21, detail, bore_id%4<>3 AS is_measured, bore_id%3<>2 AS is_definitive FROM coded)"""
 
+def _compaction_sql(levels: int = 4) -> str:
+    """Cells of a level whose parent has all eight children go up; the others stay.  More levels than any path fills."""
+    parts = ["l0 AS MATERIALIZED (SELECT bore_id, ix, iy, iz FROM grown)"]
+    for k in range(levels):
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT bore_id, ix>>1 AS ix, iy>>1 AS iy, iz>>1 AS iz FROM l{k} GROUP BY 1,2,3,4 HAVING count(*)=8)")
+    stays = " UNION ALL ".join(
+        f"SELECT c.bore_id, {23 - k} AS depth, c.ix FROM l{k} c LEFT JOIN l{k + 1} p ON p.bore_id=c.bore_id AND p.ix=c.ix>>1 AND p.iy=c.iy>>1 AND p.iz=c.iz>>1"
+        " WHERE p.bore_id IS NULL" for k in range(levels))
+    return sql.query(sql.STN, _INDEX, _GROWN, *parts, select=f"""
+SELECT bore_id, depth, count(*) AS n, CAST(sum(ix) AS BIGINT) AS sum_x FROM ({stays}) GROUP BY 1, 2""")
+
+
 ORACLES = {
+    "compact_cells": _compaction_sql(),
     "station_cells": sql.query(sql.STN, _INDEX, _CODES.replace("{source}", "idx"), select="""
 SELECT bore_id, seq, key21, detail, key21>>6 AS key19, key21>>33 AS key10 FROM coded"""),
     "cells_per_parent": sql.query(*_NEAR, select="""

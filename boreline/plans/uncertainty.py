@@ -217,7 +217,46 @@ def _ellipse_sql() -> str:
     return f"SELECT bore_id, seq, md, {out} FROM (SELECT *, {raw} FROM cov)"
 
 
+def _iscwsa_sql() -> str:
+    """Weights per source as published, vectors over half of the legs on both sides, sums per source."""
+    sources = {
+        "DRFR": (0.35, True, "1.0", "0.0", "0.0"), "DSFS": (0.00056, False, "md", "0.0", "0.0"), "DSTG": (2.5e-7, False, "md*tvd", "0.0", "0.0"),
+        "SAG": (0.0035, False, "0.0", "sin(inc)", "0.0"), "XYM1": (0.001, False, "0.0", "abs(sin(inc))", "0.0"),
+        "XYM2": (0.001, False, "0.0", "0.0", "-sin(inc)"), "XYM3": (0.001, False, "0.0", "abs(cos(inc))*cos(az)", "-abs(cos(inc))*sin(az)"),
+        "XYM4": (0.001, False, "0.0", "abs(cos(inc))*sin(az)", "abs(cos(inc))*cos(az)"), "DEC_U": (0.0063, False, "0.0", "0.0", "sin(inc)"),
+        "DBH_U": (3000.0 * 0.0174533, False, "0.0", "0.0", "sin(inc)/(bfield*cos(dip))"),
+        "AMID": (0.0061, False, "0.0", "0.0", "sin(inc)*sin(inc)*sin(az-declination)"),
+        "ABZ": (0.004, False, "0.0", "-sin(inc)/9.80665", "sin(inc)*tan(dip)*sin(inc)*sin(az-declination)/9.80665"),
+        "MBZ": (70.0, False, "0.0", "0.0", "-sin(inc)*sin(inc)*sin(az-declination)/(bfield*cos(dip))"),
+    }
+    weighted = " UNION ALL ".join(
+        f"SELECT *, '{c}' AS code, {r} AS is_random, {m!r}::DOUBLE*({d}) AS wd, {m!r}::DOUBLE*({i}) AS wi, {m!r}::DOUBLE*({a}) AS wl FROM legs"
+        for c, (m, r, d, i, a) in sources.items())
+    axes = (("n", "sin({i})*cos({a})", "cos(inc)*cos(az)", "-sin(az)"), ("e", "sin({i})*sin({a})", "cos(inc)*sin(az)", "cos(az)"),
+            ("t", "cos({i})", "-sin(inc)", "0.0"))
+    parts, sums, totals = [], [], []
+    for x, t, by_inc, by_side in axes:
+        here, above, below = (t.format(i=i, a=a) for i, a in (("inc", "az"), ("pinc", "paz"), ("ninc", "naz")))
+        star = f"coalesce(0.5*({above}+{here}),0.0)*wd+0.5*up*(wi*({by_inc})+wl*({by_side}))"
+        parts += [f"{star} AS s_{x}", f"{star}-coalesce(0.5*({here}+{below}),0.0)*wd+0.5*down*(wi*({by_inc})+wl*({by_side})) AS v_{x}"]
+        sums.append(f"coalesce(sum(v_{x}) OVER b,0.0) AS t_{x}")
+    for name, i, j in zip(_C6, "nnneet", "netett"):
+        sums.append(f"coalesce(sum(v_{i}*v_{j}) OVER b,0.0) AS r_{name}")
+        totals.append(f"round(sum(CASE WHEN is_random THEN r_{name}+s_{i}*s_{j} ELSE (t_{i}+s_{i})*(t_{j}+s_{j}) END),4) AS {name}")
+    return sql.query(sql.STN, f"""
+placed AS (SELECT stn.*, 1.2::DOUBLE+s_nationkey*0.002::DOUBLE AS dip, s_nationkey*0.004::DOUBLE-0.05::DOUBLE AS declination,
+  48000.0::DOUBLE+s_nationkey*100.0::DOUBLE AS bfield FROM stn, (SELECT count(*) AS n FROM supplier) c
+  LEFT JOIN supplier ON s_suppkey=bore_id%n-(bore_id%n)%5+2),
+legs AS (SELECT *, coalesce(md-lag(md) OVER w,0.0) AS up, coalesce(lead(md) OVER w-md,0.0) AS down, lag(inc) OVER w AS pinc, lag(az) OVER w AS paz,
+  lead(inc) OVER w AS ninc, lead(az) OVER w AS naz FROM placed {sql.WIN}),
+weighted AS ({weighted}),
+vectors AS (SELECT bore_id, seq, code, is_random, {', '.join(parts)} FROM weighted),
+summed AS (SELECT *, {', '.join(sums)} FROM vectors WINDOW b AS (PARTITION BY bore_id, code ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+                     select=f"SELECT bore_id, seq, {', '.join(totals)} FROM summed GROUP BY bore_id, seq")
+
+
 ORACLES = {
+    "iscwsa": _iscwsa_sql(),
     "wolff_dewardt": sql.query(*_WOLFF, select=f"SELECT bore_id, seq, {', '.join(f'round({c},6) AS {c}' for c in _C6)} FROM cov"),
     "unknown_error_codes": """
 SELECT s_suppkey AS tool_id, 'GXY_MIS' AS code, 1::BIGINT AS n FROM supplier WHERE s_suppkey%10=2""",
