@@ -55,8 +55,10 @@ def interpolate_station(
     return out.select(*points.columns, *PLACE, *linear)
 
 
-def parent_tie_in(bores: DataFrame, stations: DataFrame, max_gap: float = 10.0) -> DataFrame:
-    """Tie-in station of every sidetrack, read off its parent's path.
+def parent_tie_in(
+    bores: DataFrame, stations: DataFrame, max_gap: float = 10.0, method: str = survey.MINIMUM_CURVATURE
+) -> DataFrame:
+    """Tie-in station of every sidetrack, read off its parent's path, which ``method`` completed.
 
     At most ``max_gap`` past the parent's end the parent's last station serves.  The station carries the start depth
     of the sidetrack's own run (column run_start_md where ``bores`` has it, else the tie-in depth).
@@ -70,7 +72,7 @@ def parent_tie_in(bores: DataFrame, stations: DataFrame, max_gap: float = 10.0)
     )
     found = bracket(want, survey.segments(stations).drop("seq"), ["bore_id"])
     found = found.filter(F.col("md") <= F.col("b_md") + max_gap)
-    placed = on_arc(found, F.least("md", "b_md"))
+    placed = on_path(found, F.least("md", "b_md"), method=method)
     return placed.select(F.col("child").alias("bore_id"), F.col("label_md").alias("md"), "inc", "az", "north", "east", "tvd")
 
 
@@ -144,11 +146,23 @@ def _arc_tvd(u: Column) -> Column:
     return F.col("a_tvd") + 0.5 * u * ds * G.ratio_factor(u * dl) * (F.cos("a_inc") + down / length)
 
 
-def md_at_tvd(targets: DataFrame, stations: DataFrame, depth_bin: float = 100.0) -> DataFrame:
+def _level_tvd(u: Column) -> Column:
+    """The same where the inclination is linear in depth."""
+    turn = F.col("b_inc") - F.col("a_inc")
+    flat = F.abs(turn) < 1e-9
+    rise = (F.sin(F.col("a_inc") + u * turn) - F.sin("a_inc")) / F.when(flat, 1.0).otherwise(turn)
+    return F.col("a_tvd") + F.col("_ds") * F.when(flat, u * F.cos("a_inc")).otherwise(rise)
+
+
+def md_at_tvd(targets: DataFrame, stations: DataFrame, depth_bin: float = 100.0, method: str = survey.MINIMUM_CURVATURE) -> DataFrame:
     """Depth where each well first reaches a vertical depth: bore_id, target_tvd -> md (no row if never reached).
 
-    The first segment whose end depths bracket the target is bisected along its arc.
+    The first segment whose end depths bracket the target is bisected along the path that ``method`` completed it by: its
+    arc, or the curve whose inclination is linear in depth, as it is by both other methods.
     """
+    if method not in (survey.MINIMUM_CURVATURE, survey.BUILD_AND_TURN, survey.CURVATURE_AND_TOOLFACE):
+        raise ValueError(f"unknown survey method {method}")
+    tvd_at = _arc_tvd if method == survey.MINIMUM_CURVATURE else _level_tvd
     segs = survey.segments(stations)
     low, high = F.least("a_tvd", "b_tvd"), F.greatest("a_tvd", "b_tvd")
     spread = segs.withColumn(
@@ -169,7 +183,7 @@ def md_at_tvd(targets: DataFrame, stations: DataFrame, depth_bin: float = 100.0)
 
     def halve(state, _):
         mid = 0.5 * (state["lo"] + state["hi"])
-        tvd = _arc_tvd(mid)
+        tvd = tvd_at(mid)
         below = (target >= F.least(state["lo_tvd"], tvd)) & (target <= F.greatest(state["lo_tvd"], tvd))
         return F.struct(
             F.when(below, state["lo"]).otherwise(mid).alias("lo"),

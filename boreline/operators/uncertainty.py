@@ -134,7 +134,8 @@ def covariance_iscwsa(stations: DataFrame, instruments: DataFrame, sources: Data
     Every station meets the error sources of its tool; a source's vector at a station uses half of the legs on both
     sides.  Systematic and global sources add as vectors along the path, random ones as covariances.
     ``instruments``: tool_id, dip, declination, gravity, bfield.  ``sources``: tool_id, code, magnitude, systematic,
-    random, global.  Codes without weighting function are left out here and listed by ``unknown_error_codes``.
+    random, global.  Codes without weighting function are left out here and listed by ``unknown_error_codes``; a tool
+    that has no others gives null.
     """
     base = stations.drop(*COVARIANCE)
     block = [B.BLOCK] if B.is_split(stations) else []
@@ -172,7 +173,7 @@ def covariance_iscwsa(stations: DataFrame, instruments: DataFrame, sources: Data
         scatter = F.col("_r_" + c) - F.col("_v_" + i) * F.col("_v_" + j) + star_i * star_j
         total[c] = F.when(F.col("_random"), scatter).otherwise(sum_i * sum_j)
     summed = df.groupBy(key, "seq").agg(*[F.sum(v).alias(c) for c, v in total.items()])
-    return base.join(summed, [key, "seq"], "left").select(*base.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in COVARIANCE])
+    return base.join(summed, [key, "seq"], "left").select(*base.columns, *COVARIANCE)
 
 
 def unknown_error_codes(sources: DataFrame) -> DataFrame:

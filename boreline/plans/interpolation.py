@@ -127,6 +127,28 @@ held AS (SELECT p.*, seg.* EXCLUDE (bore_id, seq) FROM wanted p JOIN seg USING (
   WHERE md>=a_md AND (md<b_md OR (b_md=last_md AND md<=b_md)))"""
 
 
+def _goals(s):
+    """Every 90 m of vertical depth of each well, down to its own deepest."""
+    return s.groupBy("bore_id").agg(F.max("tvd").alias("deep")).select(
+        "bore_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("deep") / 90).cast("int") + 1)).alias("k")
+    ).select("bore_id", (F.col("k") * 90.0 + 1.0).alias("target_tvd"))
+
+
+def _md_at_tvd_by(method):
+    def query(spark, sf):
+        s = survey.complete_survey(D.measurements(spark, sf).drop("event_id"), method)
+        return interp.md_at_tvd(_goals(s), s, method=method).withColumn("md", F.round("md", 4))
+
+    return query
+
+
+def parent_tie_in_bt(spark, sf):
+    """Tie-in stations on parents whose angles are linear in depth."""
+    s = survey.complete_survey(D.measurements(spark, sf).drop("event_id"), survey.BUILD_AND_TURN)
+    got = interp.parent_tie_in(D.wellbores(spark, sf), s, method=survey.BUILD_AND_TURN)
+    return _round(got, 5, PLACE).select("bore_id", "md", *PLACE)
+
+
 def md_at_tvd(spark, sf):
     """Depths where every well passes each 90 m of vertical depth down to its own deepest."""
     s = D.stations(spark, sf)
@@ -264,6 +286,9 @@ QUERIES = {
     "merge_depths": merge_depths,
     "interpolate_grid": interpolate_grid,
     "md_at_tvd": md_at_tvd,
+    "md_at_tvd_bt": _md_at_tvd_by(survey.BUILD_AND_TURN),
+    "md_at_tvd_ct": _md_at_tvd_by(survey.CURVATURE_AND_TOOLFACE),
+    "parent_tie_in_bt": parent_tie_in_bt,
     "as_of_sample": as_of_sample,
     "nearest_station": nearest_station,
     "evenly_spaced": evenly_spaced,
@@ -275,7 +300,35 @@ QUERIES = {
 
 _ARCH = (sql.BORES, sql.HOLES)
 
+#: Vertical depth is the integral of the cosine of an inclination linear in depth, by both methods.
+LEVEL_TRIP = """
+goals AS (SELECT bore_id, k*90.0::DOUBLE+1.0 AS target_tvd FROM (SELECT bore_id,
+  unnest(range(0, CAST(floor(max(tvd)/90) AS INTEGER)+2)) AS k FROM stn GROUP BY 1)),
+hit AS (SELECT g.*, seg.* EXCLUDE (bore_id), b_md-a_md AS ds, b_inc-a_inc AS turn FROM goals g JOIN seg USING (bore_id)
+  WHERE target_tvd BETWEEN least(a_tvd,b_tvd) AND greatest(a_tvd,b_tvd)
+  QUALIFY row_number() OVER (PARTITION BY bore_id, target_tvd ORDER BY seq)=1),
+solved AS (SELECT *, asin(greatest(-1.0,least(1.0,sin(a_inc)+(target_tvd-a_tvd)*turn/ds))) AS up FROM hit),
+cand AS (SELECT *, (up-a_inc)/turn AS u1, (pi()-up-a_inc)/turn AS u2 FROM solved)"""
+
+LEVEL_MD = """SELECT bore_id, target_tvd, round(a_md+ds*(CASE WHEN abs(turn)<1e-9 THEN (target_tvd-a_tvd)/(ds*cos(a_inc))
+  WHEN u1>=-1e-6 AND u1<=1+1e-6 AND NOT (u2>=-1e-6 AND u2<=1+1e-6 AND u2<u1) THEN u1 ELSE u2 END),4) AS md FROM cand"""
+
+BT_STATIONS = method_stations(bt_displacement(), "bt")
+
 ORACLES = {
+    "md_at_tvd_bt": sql.query(*BT_STATIONS, sql.seg(), LEVEL_TRIP, select=LEVEL_MD),
+    "md_at_tvd_ct": sql.query(*BT_STATIONS, sql.seg(), LEVEL_TRIP, select=LEVEL_MD),
+    "parent_tie_in_bt": sql.query(
+        *BT_STATIONS, sql.BORES, sql.seg(), """
+ends AS (SELECT bore_id, max(b_md) AS last_md FROM seg GROUP BY 1),
+want AS (SELECT b.bore_id AS child, b.tie_in_md, s.*, least(b.tie_in_md, s.b_md) AS at_md FROM bores b
+  JOIN seg s ON s.bore_id=b.parent_bore_id JOIN ends e ON e.bore_id=s.bore_id
+  WHERE is_sidetrack AND tie_in_md>=a_md AND (tie_in_md<b_md OR (b_md=last_md AND tie_in_md<=b_md+10.0))),
+sublag AS (SELECT *, a_md AS pmd, a_inc AS pinc, a_az AS paz, at_md AS md, a_inc+(b_inc-a_inc)*(at_md-a_md)/(b_md-a_md) AS inc,
+  a_az+{turn}*(at_md-a_md)/(b_md-a_md) AS az FROM want)""".replace("{turn}", sql.wrap_signed("b_az-a_az")),
+        _renamed(bt_displacement()), select=f"""
+SELECT child AS bore_id, tie_in_md AS md, round(inc,5) AS inc, round({sql.wrap('az')},5) AS az, round(a_north+dn,5) AS north,
+  round(a_east+de,5) AS east, round(a_tvd+dt,5) AS tvd FROM sub"""),
     "interpolate_station": sql.query(
         sql.STN, PROBES, sql.seg(), HELD, sql.arc("held", "least(md,b_md)", "bore_id, k, md"),
         select=f"SELECT bore_id, k, md, {ROUNDED} FROM arc"),

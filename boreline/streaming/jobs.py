@@ -79,13 +79,14 @@ def chunk_problem(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, delay: str = "1 day", buckets: int = CHUNK_BUCKETS) -> StreamingQuery:
-    """Store uploaded chunks; of several uploads of one chunk the last counts, retries of one upload are dropped.
+def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, buckets: int = CHUNK_BUCKETS) -> StreamingQuery:
+    """Store uploaded chunks, however late they come; of several uploads of one chunk the last counts.
 
     ``chunks``: ts, upload_id, run_id, chunk_index, items array<struct<md, inc, az>>.  Bad chunks go to
-    ``<path>_rejects``.  Stored chunks lie in folders by a hash of their run, always as many for one table.
+    ``<path>_rejects``.  Stored chunks lie in folders by a hash of their run, always as many for one table.  No state is
+    kept between batches: a retry of an upload is one more row of its chunk, and readers take the newest (``newest``),
+    so no watermark has to drop what comes after it.  ``chunks_after_commit`` lists what a commit came too early for.
     """
-    unique = chunks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["upload_id"])
 
     def store(df: DataFrame, batch: int) -> None:
         checked = chunk_problem(df).persist()
@@ -101,7 +102,7 @@ def ingest_chunks(chunks: DataFrame, path: str, checkpoint: str, delay: str = "1
             checked.unpersist()
 
     return (
-        unique.writeStream.outputMode("append")
+        chunks.writeStream.outputMode("append")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -131,6 +132,13 @@ def committed_chunks(commits: DataFrame, chunk_path: str, buckets: int = CHUNK_B
     return newest(stored.join(runs, "run_id", "left_semi"), ["run_id", "chunk_index"], "ts")
 
 
+def chunks_after_commit(commits: DataFrame, chunk_path: str, buckets: int = CHUNK_BUCKETS) -> DataFrame:
+    """run_id, chunk_index, ts and committed of the newest chunks that are later than the last commit of their run."""
+    last = commits.groupBy("run_id").agg(F.max("ts").alias("committed"))
+    found = committed_chunks(commits, chunk_path, buckets).join(last, "run_id").filter(F.col("ts") > F.col("committed"))
+    return found.select("run_id", "chunk_index", "ts", "committed")
+
+
 def commit_runs(commits: DataFrame, chunk_path: str, path: str, checkpoint: str, buckets: int = CHUNK_BUCKETS) -> StreamingQuery:
     """Calculate every run whose commit marker arrives, from the chunks stored by then.
 

@@ -182,6 +182,25 @@ def test_a_commit_reads_its_own_folders(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_late_chunks_are_stored_and_listed(spark, tmp_path):
+    """A chunk two days late, and a retry of it, after its run was committed."""
+    schema = "ts string, upload_id string, run_id long, chunk_index long, items array<struct<md: double, inc: double, az: double>>"
+    out, checkpoint, folder = str(tmp_path / "chunks"), str(tmp_path / "c"), str(tmp_path / "in")
+
+    def upload(*rows):
+        df = spark.createDataFrame([(*r, [(100.0 * r[3] + 1.0, 0.0, 0.0), (100.0 * r[3] + 9.0, 0.1, 0.0)]) for r in rows], schema).withColumn("ts", F.to_timestamp("ts"))
+        df.write.mode("append").parquet(folder)
+        jobs.ingest_chunks(spark.readStream.schema(df.schema).parquet(folder), out, checkpoint).awaitTermination()
+
+    upload(("2024-01-09 00:00:00", "a", 1, 0), ("2024-01-09 00:00:01", "b", 2, 0))
+    upload(("2024-01-07 00:00:00", "c", 1, 1), ("2024-01-10 00:00:00", "d", 2, 1))
+    upload(("2024-01-07 00:00:00", "c", 1, 1))
+    commits = spark.createDataFrame([("2024-01-09 12:00:00", 1), ("2024-01-09 12:00:00", 2)], "ts string, run_id long").withColumn("ts", F.to_timestamp("ts"))
+    stored = jobs.committed_chunks(commits, out)
+    assert sorted((r.run_id, r.chunk_index) for r in stored.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    assert [(r.run_id, r.chunk_index) for r in jobs.chunks_after_commit(commits, out).collect()] == [(2, 1)]
+
+
 def test_unlisted_realizations_are_an_error(spark):
     points = spark.createDataFrame([(1, r, 0, 1.0, 2.0, 3.0, 4.0) for r in range(3)], "case_id long, realization int, seq long, md double, north double, east double, tvd double")
     assert exports.export_realizations_wide(points, [0, 1, 2]).count() == 1

@@ -30,7 +30,6 @@ LISTING_A = """\
 500.000 22.900 166.500 490.010 -95.440 28.040 1.650 1.550 -1.540 83.982
 550.000 22.190 168.200 536.190 -114.140 32.240 0.580 -0.430 1.020 103.150
 600.000 21.950 170.030 582.530 -132.590 35.790 0.440 -0.140 1.100 121.935
-914.000 18.200 175.000 0 0 0 0 0 0 0
 """
 LISTING_B = """\
 0.000 0.000 0.000 0.000 -4.640 3.810 -999.250 -999.250 -999.250 -999.250
