@@ -24,7 +24,7 @@ SHARD_IDS = 1 << 22
 #: Pieces of text that the library encodes in one call.
 PIECES_AT_ONCE = 4096
 #: Different pieces of text whose ids a Python worker keeps, from task to task; the first ones, as common words come early.
-KEPT_PIECES = 1 << 19
+KEPT_PIECES = 1 << 17
 MAGIC = b"BLTOK\x00\x00\x01"
 SAMPLE = 256
 
