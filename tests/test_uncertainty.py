@@ -227,6 +227,35 @@ def test_slab_contact_against_sampling():
     assert got.sum() > 30 and (got | ~inside).all() and (got != inside).mean() < 0.01
 
 
+def test_boxes_of_all_sizes_meet_once(spark):
+    """Boxes from centimetres to hundreds of metres: every overlapping pair meets, on one grid, and wide boxes leave the
+    narrow ones in narrow cells."""
+    rng = np.random.default_rng(11)
+
+    def boxes(key, n):
+        low = rng.uniform(-25, 25, (n, 3))
+        size = 10.0 ** rng.uniform(-2, 1.2, (n, 1)) * rng.uniform(0.2, 1.0, (n, 3))
+        size[:2] = [[300.0, 250.0, 1.0], [90.0, 400.0, 400.0]]
+        high = low + size
+        rows = [(1, i, *(float(x) for pair in zip(low[i], high[i], strict=True) for x in pair)) for i in range(n)]
+        schema = f"{key} long, box long, n_lo double, n_hi double, e_lo double, e_hi double, t_lo double, t_hi double"
+        return spark.createDataFrame(rows, schema), low, high
+
+    ref, rl, rh = boxes("ref_id", 400)
+    cmp, cl, ch = boxes("cmp_id", 300)
+    pairs = spark.createDataFrame([(1, 1)], "ref_id long, cmp_id long")
+    left = separation._on_grids(pairs, ref, "ref_id", cmp, "cmp_id")
+    right = separation._on_grids(pairs, cmp, "cmp_id", ref, "ref_id")
+    narrow = left.filter("level = _own").withColumn("side", separation._longest_side())
+    assert narrow.filter("side > cell OR cell > 2 * side").filter("side > 1e-3").count() == 0
+    renamed = right.select("ref_id", "cmp_id", *separation.CELL, F.col("box").alias("other"), F.col("_own").alias("o_own"),
+                           *[F.col(c).alias("o_" + c) for c in separation._box_columns()])
+    met = left.join(renamed, ["ref_id", "cmp_id", *separation.CELL]).filter(separation._on_their_grid() & separation._overlap_own())
+    got = {(r.box, r.other) for r in met.select("box", "other").distinct().collect()}
+    want = {(i, j) for i in range(400) for j in range(300) if (rl[i] <= ch[j]).all() and (rh[i] >= cl[j]).all()}
+    assert got == want and len(want) > 200
+
+
 def test_tie_in_station_is_inserted_once(spark):
     s = straight_pair(spark, 10.0)
     minimum = spark.createDataFrame([(1, 45.0), (2, 60.0)], "bore_id long, md double")
