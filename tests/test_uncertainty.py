@@ -233,7 +233,7 @@ def test_boxes_of_all_sizes_meet_once(spark):
     rng = np.random.default_rng(11)
 
     def boxes(key, n):
-        low = rng.uniform(-25, 25, (n, 3))
+        low = rng.uniform(-15, 15, (n, 3))
         size = 10.0 ** rng.uniform(-2, 1.2, (n, 1)) * rng.uniform(0.2, 1.0, (n, 3))
         size[:2] = [[300.0, 250.0, 1.0], [90.0, 400.0, 400.0]]
         high = low + size
