@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +14,8 @@ from boreline.functions.blocks import durable
 from boreline.llm import text
 from boreline.llm.bits import bit_filter, passes
 from boreline.llm.components import components
+from boreline.llm.setjoin import COUNTERS, _counters, _levels, _summaries, shingles
 from boreline.llm.setjoin import _name as set_name
-from boreline.llm.setjoin import shingles
 
 #: Two sets link if this many hundredths of their union are common.
 PERCENT = 85
@@ -60,25 +63,12 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def _summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, row, set and n of every row."""
-
-    def make(batches):
-        for batch in text.slices(batches):
-            sets = shingles(batch.column(2))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                ["doc_id", "row", "set", "n"])
-
-    return docs.select("doc_id", text.row_key().alias("row"), "text").mapInArrow(make, "doc_id long, row long, set long, n long")
-
-
 def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """band (a hash of its number and its values), set and n: so many rows for each set with words, copies too."""
 
     def make(batches):
         step = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(rows)], np.uint64)
-        for batch in text.slices(batches):
+        for batch in text.slices(batches, limit=text.SLICE_BYTES // 2):
             sets = [s for s in shingles(batch.column(0)) if len(s)]
             if not sets:
                 continue
@@ -93,15 +83,26 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("text").mapInArrow(make, "band long, set long, n long")
 
 
+def _shared(docs: DataFrame, *arrays: np.ndarray) -> list[Broadcast]:
+    """Arrays of fixed size for all tasks, as little as they take: most are nearly empty for small tables."""
+    return [docs.sparkSession.sparkContext.broadcast((zlib.compress(a.tobytes(), 1), a.dtype.str)) for a in arrays]
+
+
+def _opened(shared: Broadcast) -> np.ndarray:
+    body, kind = shared.value
+    return np.frombuffer(zlib.decompress(body), kind)
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """set and its shingles for the sets in ``wanted``, from one document each."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.col("set")))
+    (shared,) = _shared(docs, bit_filter(wanted, F.col("set")))
 
     def make(batches):
+        bits = _opened(shared)
         for batch in text.slices(batches):
             sets = shingles(batch.column(0))
             names = np.array([set_name(s) for s in sets], np.int64)
-            keep = np.flatnonzero(passes(shared.value, names))
+            keep = np.flatnonzero(passes(bits, names))
             yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set", "shingles"])
 
     found = docs.select("text").mapInArrow(make, "set long, shingles binary").join(wanted, "set", "left_semi")
@@ -167,23 +168,22 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
        a chance of 3 in 10 million, a closer one with less.  That chance aside, no link is lost.
     3. In each band all sets are first compared with one head, that of most bands in common for each, so a large group of
        near copies costs a row for each set and band.  These links make components.
-    4. Sets of different components that still share a band and may link by their sizes are compared by whole sets, each
-       pair once.
+    4. Bands that still hold several components may hold crowds of sets that share a passage and don't link.  Their sets
+       are told apart by their rarest shingles, see ``_apart``, so those that can't link don't meet; the others are
+       compared by whole sets, each pair once.
 
     Null, empty and blank texts have no words and link with nothing.  Rows of one doc_id are documents of their own;
     component_id is null only where no row of the group has a doc_id.  Other columns of ``docs`` take no part.
     """
     source = docs.select("doc_id", "text")
-    own = durable(_summaries(source))
-    signed = _bands(source, bands, rows)
+    summaries = durable(_summaries(source))
+    own = summaries.filter("piece IS NULL").select("doc_id", "row", "set", "n")
+    signed = durable(_bands(source, bands, rows))
     twice = durable(signed.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band"))
     met = durable(signed.join(twice.hint("shuffle_hash"), "band", "left_semi").distinct())
 
-    def may_link(a: str, b: str):
-        return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
     heads = durable(met.groupBy("band").agg(F.min(F.struct("n", "set")).alias("head"), F.count("*").alias("_n")).filter("_n > 1").select("band", F.col("head.set").alias("head"), F.col("head.n").alias("head_n")))
-    star = met.join(heads, "band").filter("set <> head").filter(may_link("n", "head_n"))
+    star = met.join(heads, "band").filter("set <> head").filter(F.expr(f"100 * head_n >= {percent} * n"))
     star = star.groupBy("set", "head").agg(F.count("*").alias("common")).groupBy("set").agg(F.max(F.struct("common", "head")).alias("best"))
     star = durable(star.select(F.col("best.head").alias("a"), F.col("set").alias("b")))
     links = durable(_verified(star, source, percent))
@@ -192,8 +192,8 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     placed = met.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     # Bands whose sets are all of one component are closed.
     still = durable(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band"))
-    left = durable(placed.join(still, "band", "left_semi"))
-    pairs = _apart(left, may_link("a_n", "b_n"))
+    left = durable(placed.join(still, "band", "left_semi").select("set", "n", "root").distinct())
+    pairs = durable(_apart(left, source, _levels(_counters(summaries)), percent))
     pairs = durable(pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     if pairs.limit(1).count():
         roots = _joined(links.unionByName(_verified(pairs, source, percent)))
@@ -205,17 +205,44 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     return whole.select("doc_id", "row", F.col("n").alias("n_shingles"), "set", "root", F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _apart(placed: DataFrame, may_link) -> DataFrame:
-    """Pairs (a, b) of sets of different components in ``placed`` (band, set, n, root) that share a band, each once.
+def _apart(left: DataFrame, docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+    """Pairs (a, b) of the sets in ``left`` (set, n, root) that have different roots and may link, each once.
 
-    Components of a band are paired before their sets are, so sets of one component never meet.
+    In any one order of all shingles, sets that link share one of their first n - ceil(p n / 100) + 1 shingles, and the
+    first that they share leaves both enough shingles for p hundredths of their union.  The rarest come first, by
+    estimates of a fixed size, so what a crowd has in common is seldom among the first.
     """
-    groups = placed.select("band", "root").distinct()
-    x, y = groups.alias("x"), groups.alias("y")
-    both = x.join(y, F.expr("x.band = y.band AND x.root < y.root")).select(F.col("x.band").alias("band"), F.col("x.root").alias("low"), F.col("y.root").alias("high"))
-    left = placed.select("band", F.col("root").alias("low"), F.col("set").alias("a"), F.col("n").alias("a_n"))
-    right = placed.select("band", F.col("root").alias("high"), F.col("set").alias("b"), F.col("n").alias("b_n"))
-    return both.join(left, ["band", "low"]).join(right, ["band", "high"]).filter(may_link).select("a", "b").distinct()
+    shared = _shared(docs, bit_filter(left, F.col("set")), levels)
+
+    def make(batches):
+        bits, level = map(_opened, shared)
+        shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+        for batch in text.slices(batches):
+            sets = [s for s in shingles(batch.column(0)) if len(s)]
+            named = np.array([set_name(s) for s in sets], np.int64)
+            lists, names, places = [], [], []
+            for i in np.flatnonzero(passes(bits, named)) if len(sets) else ():
+                found = sets[i]
+                order = np.argsort(level[(found >> shift).astype(np.int64)], kind="stable")
+                own = found[order[: len(found) - -(-percent * len(found) // 100) + 1]]
+                lists.append(own)
+                names.append(np.full(len(own), named[i]))
+                places.append(np.arange(len(own)))
+            if lists:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(places))], ["shingle", "set", "at"])
+
+    listed = docs.select("text").mapInArrow(make, "shingle long, set long, at long").distinct().join(left, "set")
+    # An entry can only be the first in common with a set of this size at most, and lists of one component join nothing.
+    room = F.floor((F.lit(100 + percent) * (F.col("n") - F.col("at")) - F.lit(percent) * F.col("n")) / percent)
+    listed = durable(listed.filter(room >= F.ceil(F.col("n") * percent / 100)))
+    open_ = durable(listed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle"))
+    listed = durable(listed.join(open_, "shingle", "left_semi"))
+    x, y = listed.alias("x"), listed.alias("y")
+    may = F.expr(
+        f"x.shingle = y.shingle AND x.set < y.set AND x.root <> y.root AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) "
+        f"AND {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)")
+    return x.join(y, may).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
 
 def op12_near_copies(spark, sf_dir):
