@@ -86,6 +86,28 @@ ISCWSA_CODES = (
     "ASXY_TI1S", "ASXY_TI2S", "ASXY_TI3S", "MBZ", "MBXY_TI1", "MBXY_TI2", "MSZ", "MSXY_TI1", "MSXY_TI2", "MSXY_TI3",
     "AMID", "DEC_U", "DEC_OS", "DEC_OH", "DEC_OI", "DECR", "DBH_U", "DBH_OS", "DBH_OH", "DBH_OI", "DBHR",
 )
+# Error codes of gyro tools, by the published gyro error model: the accelerometers beside the gyros, gyros
+# that take the azimuth at rest and external references, and gyros that carry it along while running.
+GYRO_ACCELEROMETERS = (
+    "AXYZ_XYB", "AXYZ_ZB", "AXYZ_SF", "AXYZ_MIS", "AXY_B", "AXY_SF", "AXY_MS", "AXY_GB",
+)
+GYRO_STATIONARY = (
+    "GXYZ_XYB1", "GXYZ_XYB2", "GXYZ_XYRN", "GXYZ_XYG1", "GXYZ_XYG2", "GXYZ_XYG3", "GXYZ_XYG4", "GXYZ_ZB", "GXYZ_ZRN",
+    "GXYZ_ZG1", "GXYZ_ZG2", "GXYZ_SF", "GXYZ_MIS", "GXY_B1", "GXY_B2", "GXY_RN", "GXY_G1", "GXY_G2", "GXY_G3", "GXY_G4",
+    "GXY_SF", "GXY_MIS", "EXT_REF", "EXT_TIE", "EXT_MIS",
+)
+GYRO_CONTINUOUS = ("GXYZ_GD", "GXYZ_RW", "GXY_GD", "GXY_RW", "GZ_GD", "GZ_RW")
+KNOWN_CODES = (*ISCWSA_CODES, *GYRO_ACCELEROMETERS, *GYRO_STATIONARY, *GYRO_CONTINUOUS)
+EARTH_RATE = 7.292115e-5  # radians per second
+
+
+def _pick(table: dict, default: Column) -> Column:
+    """The value beside the row's ``code``; keys hold one or more codes."""
+    out = None
+    for codes, value in table.items():
+        here = F.col("code").isin(*codes.split())
+        out = F.when(here, value) if out is None else out.when(here, value)
+    return out.otherwise(default)
 
 
 def _iscwsa_weights() -> tuple[Column, Column, Column]:
@@ -94,22 +116,15 @@ def _iscwsa_weights() -> tuple[Column, Column, Column]:
     magnetic = F.col("az") - F.col("declination")
     sm, cm, sa, ca = F.sin(magnetic), F.cos(magnetic), F.sin("az"), F.cos("az")
     g, field, tan_dip = F.col("gravity"), F.col("bfield") * F.cos("dip"), F.tan("dip")
-    code, zero, one = F.col("code"), F.lit(0.0), F.lit(1.0)
+    zero, one = F.lit(0.0), F.lit(1.0)
     root2 = 1.4142135623730951
 
-    def pick(table: dict, default: Column) -> Column:
-        out = None
-        for codes, value in table.items():
-            names = codes.split()
-            out = F.when(code.isin(*names), value) if out is None else out.when(code.isin(*names), value)
-        return out.otherwise(default)
-
-    depth = pick({"DRFR DRFS": one, "DSFS": F.col("md"), "DSTG": F.col("md") * F.col("tvd")}, zero)
-    inclination = pick(
+    depth = _pick({"DRFR DRFS": one, "DSFS": F.col("md"), "DSTG": F.col("md") * F.col("tvd")}, zero)
+    inclination = _pick(
         {
             "SAG": si, "XYM1": F.abs(si), "XYM3": F.abs(ci) * ca, "XYM4": F.abs(ci) * sa, "ABZ": -si / g,
             "ABXY_TI1S": -ci / g, "ASZ": -si * ci, "ASXY_TI1S": si * ci / root2, "ASXY_TI2S": si * ci / 2.0,
-        },
+        } | _gyro_inclination(),
         zero,
     )
     azimuth = {
@@ -125,30 +140,117 @@ def _iscwsa_weights() -> tuple[Column, Column, Column]:
     lateral = {k: si * v for k, v in azimuth.items()}
     lateral |= {"XYM2": -si, "XYM3": -F.abs(ci) * sa, "XYM4": F.abs(ci) * ca,
                 "ABXY_TI2S": (ci - tan_dip * cm * si) / g}
-    return depth, inclination, pick(lateral, zero)
+    return depth, inclination, _pick(lateral, zero)
+
+
+def _away_from_zero(c: Column) -> Column:
+    """A divisor that does not vanish where a tool lies along its singular direction."""
+    return F.when(F.abs(c) > 1e-6, c).otherwise(F.lit(1e-6))
+
+
+def _gyro_inclination() -> dict[str, Column]:
+    """Inclination weights of the accelerometers of gyro tools; beyond ``switching`` the canted ones are read."""
+    si, ci, g = F.sin("inc"), F.cos("inc"), F.col("gravity")
+    canted = F.col("inc") - F.when(F.col("inc") >= F.col("switching"), F.col("cant")).otherwise(F.lit(0.0))
+    along = _away_from_zero(F.cos(canted))
+    return {"AXYZ_XYB": ci / g, "AXYZ_ZB": si / g, "AXYZ_SF": si * ci, "AXYZ_MIS AXY_MS": F.lit(1.0),
+            "AXY_B": 1.0 / (g * along), "AXY_SF": F.sin(canted) / along, "AXY_GB": F.sin(canted) / (g * along)}
+
+
+def _gyro_azimuth() -> Column:
+    """Azimuth weight of a gyro at rest for the row's ``code``, null for other codes."""
+    si, ci, sa, ca = F.sin("inc"), F.cos("inc"), F.sin("az"), F.cos("az")
+    upright, tan_lat, noise = _away_from_zero(ci), F.tan("latitude"), F.col("noise_reduction")
+    # by the horizontal part of the earth's rotation
+    turned = {
+        "GXYZ_XYB1": sa * ci, "GXYZ_XYB2": ca, "GXYZ_XYRN": noise * F.sqrt(1.0 - sa * sa * si * si),
+        "GXYZ_XYG1": ca * si, "GXYZ_XYG2": ca * ci, "GXYZ_XYG3": sa * ci * ci, "GXYZ_XYG4": sa * si * ci,
+        "GXYZ_ZB": sa * si, "GXYZ_ZRN": noise * sa * si, "GXYZ_ZG1": sa * si * si, "GXYZ_ZG2": sa * si * ci,
+        "GXY_B1": sa / upright, "GXY_B2": ca, "GXY_RN": noise * F.sqrt(1.0 - ca * ca * si * si) / upright,
+        "GXY_G1": ca * si, "GXY_G2": ca * ci, "GXY_G3": sa, "GXY_G4": sa * si / upright,
+    }
+    horizontal = F.col("earth_rate") * F.cos("latitude")
+    plain = {
+        "GXYZ_SF": tan_lat * sa * si * ci, "GXYZ_MIS": 1.0 / F.cos("latitude"), "GXY_SF": tan_lat * sa * si / upright,
+        "GXY_MIS": 1.0 / (F.cos("latitude") * upright), "EXT_REF EXT_TIE": F.lit(1.0), "EXT_MIS": 1.0 / _away_from_zero(si),
+    }
+    return _pick({k: v / horizontal for k, v in turned.items()} | plain, F.lit(None).cast("double"))
+
+
+def _with_gyro_azimuth(df: DataFrame, key: str) -> DataFrame:
+    """Add ``_wa``, the azimuth weight of gyro sources at every station.
+
+    Stationary sources act where the inclination is within their interval; elsewhere the last azimuth taken stands and
+    its error with it (none before the first).  Continuous sources begin at zero wherever the path enters their
+    interval: drift grows with the running time, a random walk with its root.
+    """
+    ids, code = [key, "code"], F.col("code")
+
+    def within(c: str) -> Column:
+        return (F.col(c) >= F.coalesce("start_inc", F.lit(0.0))) & (F.col(c) <= F.coalesce("end_inc", F.lit(4.0)))
+
+    inside, before = within("inc"), F.coalesce(within("prev_inc"), F.lit(False))
+    middle = 0.5 * (F.col("inc") + F.col("prev_inc"))
+    slow = _pick({"GXY_GD GXY_RW": 1.0 / _away_from_zero(F.sin(middle)), "GZ_GD GZ_RW": 1.0 / _away_from_zero(F.cos(middle))}, F.lit(1.0))
+    rate = F.when(code.endswith("_RW"), slow * slow).otherwise(F.abs(slow))
+    leg = F.when(code.isin(*GYRO_CONTINUOUS) & inside & before, rate * (F.col("md") - F.col("prev_md")) / F.nullif("running_speed", F.lit(0.0)))
+    df = df.withColumns({"_in": inside, "_starts": inside & ~before, "_leg": F.coalesce(leg, F.lit(0.0)),
+                         "_taken": F.when(inside, _gyro_azimuth())})
+    df = B.with_running_sum(df, ids, ["seq"], {"_time": "_leg"})
+    start = F.when(F.col("_starts"), F.col("_time"))
+    df = B.with_running_max_before(df, ids, ["seq"], start, "_zero")
+    taken = F.when(F.col("_taken").isNotNull(), F.struct("seq", "_taken"))
+    df = B.with_running_max_before(df, ids, ["seq"], taken, "_held")
+    ran = F.greatest(F.lit(0.0), F.col("_time") - F.coalesce(start, "_zero", F.lit(0.0)))
+    ran = F.when(F.col("_in"), F.when(code.endswith("_RW"), F.sqrt(ran)).otherwise(ran)).otherwise(F.lit(0.0))
+    azimuth = F.when(code.isin(*GYRO_CONTINUOUS), ran).otherwise(F.coalesce("_taken", F.col("_held")["_taken"]))
+    return df.withColumn("_wa", azimuth).drop("_starts", "_leg", "_taken", "_time", "_zero", "_held")
+
+
+def _tool_geometry(instruments: DataFrame) -> DataFrame:
+    """What weights need of a tool; columns of gyro tools may be missing or null."""
+    given = {"latitude": None, "running_speed": None, "switching": None, "cant": 0.0, "earth_rate": EARTH_RATE, "noise_reduction": 1.0}
+    extra = []
+    for name, default in given.items():
+        value = F.col(name).cast("double") if name in instruments.columns else F.lit(None).cast("double")
+        extra.append(F.coalesce(value, F.lit(default).cast("double")).alias(name))
+    return instruments.select("tool_id", "dip", "declination", "gravity", "bfield", *extra)
+
+
+def _known_sources(instruments: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sources with a weighting function beside their tool, ``_lacks`` where the tool misses what its gyros need."""
+    ends = [F.col(c).cast("double") if c in sources.columns else F.lit(None).cast("double").alias(c) for c in ("start_inc", "end_inc")]
+    known = sources.filter(F.col("code").isin(*KNOWN_CODES)).select(
+        "tool_id", "code", "magnitude", *ends,
+        (F.col("random") & ~F.col("systematic") & ~F.col("global")).alias("_random"))
+    turned = F.col("code").isin(*[c for c in GYRO_STATIONARY if not c.startswith("EXT")])
+    lacks = (turned & F.col("latitude").isNull()) | (
+        F.col("code").isin(*GYRO_CONTINUOUS) & ~F.coalesce(F.col("running_speed") > 0, F.lit(False)))
+    return known.join(_tool_geometry(instruments), "tool_id").withColumn("_lacks", lacks)
 
 
 def covariance_iscwsa(stations: DataFrame, instruments: DataFrame, sources: DataFrame, key: str = "bore_id") -> DataFrame:
-    """Covariance by the ISCWSA error model.
+    """Covariance by the ISCWSA error model, of magnetic and gyro tools.
 
     Every station meets the error sources of its tool; a source's vector at a station uses half of the legs on both
     sides.  Systematic and global sources add as vectors along the path, random ones as covariances.
-    ``instruments``: tool_id, dip, declination, gravity, bfield.  ``sources``: tool_id, code, magnitude, systematic,
-    random, global.  Codes without weighting function are left out here and listed by ``unknown_error_codes``; a tool
-    that has no others gives null.
+    ``instruments``: tool_id, dip, declination, gravity, bfield, and for gyros where they apply latitude, running_speed
+    (metres per second), cant, switching (angles), earth_rate, noise_reduction.  ``sources``: tool_id, code, magnitude,
+    systematic, random, global, and start_inc, end_inc where a source acts between inclinations only (see
+    ``_with_gyro_azimuth``).  Codes without weighting function are left out here and listed by
+    ``unknown_error_codes``.  A tool that has no others, or gyros without latitude or running speed, gives null.
     """
     base = stations.drop(*COVARIANCE)
     block = [B.BLOCK] if B.is_split(stations) else []
     df = base.select(key, "seq", *block, "tool_id", "md", "inc", "az", "tvd")
     df = B.with_previous(df, [key], ["seq"], ["md", "inc", "az"])
     df = B.with_next(df, [key], ["seq"], ["md", "inc", "az"])
-    known = sources.filter(F.col("code").isin(*ISCWSA_CODES)).select(
-        "tool_id", "code", "magnitude", (F.col("random") & ~F.col("systematic") & ~F.col("global")).alias("_random")
-    )
-    geo = instruments.select("tool_id", "dip", "declination", "gravity", "bfield")
-    df = df.join(known.join(geo, "tool_id"), "tool_id")
-    weights = dict(zip(("_wd", "_wi", "_wl"), _iscwsa_weights()))
-    df = df.withColumns({k: F.coalesce(F.col("magnitude") * w, F.lit(0.0)) for k, w in weights.items()})
+    df = _with_gyro_azimuth(df.join(_known_sources(instruments, sources), "tool_id"), key)
+    depth, inclination, lateral = _iscwsa_weights()
+    gyro = F.col("code").isin(*GYRO_STATIONARY, *GYRO_CONTINUOUS)
+    weights = {"_wd": depth, "_wi": inclination, "_wl": F.when(gyro, F.sin("inc") * F.col("_wa")).otherwise(lateral)}
+    acts = gyro | F.col("_in")
+    df = df.withColumns({k: F.coalesce(F.when(acts, F.col("magnitude") * w), F.lit(0.0)) for k, w in weights.items()})
     here, above, below = G.tangent("inc", "az"), G.tangent("prev_inc", "prev_az"), G.tangent("next_inc", "next_az")
     si, ci, sa, ca = F.sin("inc"), F.cos("inc"), F.sin("az"), F.cos("az")
     by_inc, by_side = (ci * ca, ci * sa, -si), (-sa, ca, F.lit(0.0))
@@ -172,13 +274,15 @@ def covariance_iscwsa(stations: DataFrame, instruments: DataFrame, sources: Data
         sum_i, sum_j = F.col("_t_" + i) - F.col("_v_" + i) + star_i, F.col("_t_" + j) - F.col("_v_" + j) + star_j
         scatter = F.col("_r_" + c) - F.col("_v_" + i) * F.col("_v_" + j) + star_i * star_j
         total[c] = F.when(F.col("_random"), scatter).otherwise(sum_i * sum_j)
-    summed = df.groupBy(key, "seq").agg(*[F.sum(v).alias(c) for c, v in total.items()])
+    lacking = F.bool_or("_lacks")
+    summed = df.groupBy(key, "seq").agg(
+        *[F.when(~lacking, F.sum(v)).alias(c) for c, v in total.items()])
     return base.join(summed, [key, "seq"], "left").select(*base.columns, *COVARIANCE)
 
 
 def unknown_error_codes(sources: DataFrame) -> DataFrame:
     """Error sources whose code has no weighting function here."""
-    return sources.filter(~F.col("code").isin(*ISCWSA_CODES)).groupBy("tool_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    return sources.filter(~F.col("code").isin(*KNOWN_CODES)).groupBy("tool_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def infer_error_model(stations: DataFrame, instruments: DataFrame, key: str = "bore_id") -> DataFrame:
@@ -204,7 +308,8 @@ def ensure_covariance(
 
     A well with any given matrix keeps its matrices.  Otherwise stations without tool take the first tool of the well
     and the model of that first tool computes the whole well.  A well is rejected if the ISCWSA model lacks the error
-    sources of one of its tools, or a weighting function for one of them.  Returns (stations, rejects with reason).
+    sources of one of its tools, a weighting function for one of them, or the latitude or running speed its gyros need.
+    Returns (stations, rejects with reason).
     """
     given = F.coalesce("c00", "c11", "c22").isNotNull()
     wells = stations.groupBy(key).agg(
@@ -216,13 +321,16 @@ def ensure_covariance(
     )
     # a code that is left out would make the covariance too small, or nothing at all
     tools = _modelled_tools(stations, wells, key)
-    coded = sources.select(F.col("tool_id").alias("_uses"), (~F.col("code").isin(*ISCWSA_CODES)).alias("_unknown"))
+    coded = sources.select(F.col("tool_id").alias("_uses"), (~F.col("code").isin(*KNOWN_CODES)).alias("_unknown"))
     coded = coded.groupBy("_uses").agg(F.bool_or("_unknown").alias("_unknown"))
-    lacking = tools.join(coded, "_uses", "left").groupBy(key).agg(
-        F.bool_or(F.col("_unknown").isNull()).alias("_none"), F.bool_or(F.coalesce("_unknown", F.lit(False))).alias("_some"))
+    blind = _known_sources(instruments, sources).filter("_lacks").select(F.col("tool_id").alias("_uses"), F.lit(True).alias("_blind"))
+    lacking = tools.join(coded, "_uses", "left").join(blind.distinct(), "_uses", "left").groupBy(key).agg(
+        F.bool_or(F.col("_unknown").isNull()).alias("_none"), F.bool_or(F.coalesce("_unknown", F.lit(False))).alias("_some"),
+        F.bool_or(F.coalesce("_blind", F.lit(False))).alias("_blind"))
     wells = wells.join(lacking, key, "left")
     reason = reason.when(F.col("_none"), F.lit("survey instrument without error sources")).when(
-        F.col("_some"), F.lit("survey instrument with an unknown error source"))
+        F.col("_some"), F.lit("survey instrument with an unknown error source")).when(
+        F.col("_blind"), F.lit("gyro without latitude or running speed"))
     wells = wells.withColumn("reason", reason)
     rejects = wells.filter("reason IS NOT NULL").select(key, "reason")
     df = stations.join(wells.filter("reason IS NULL").select(key, "_given", "_tool", "_model"), key)

@@ -40,6 +40,13 @@ def iscwsa(spark, sf):
     return got.select("bore_id", "seq", *[F.round(c, 4).alias(c) for c in COV])
 
 
+def iscwsa_gyro(spark, sf):
+    """Covariance with gyro tools that rest, run and rest again."""
+    s = D.with_tools(D.stations(spark, sf), spark, sf)
+    got = uncertainty.covariance_iscwsa(s, D.gyro_instruments(spark, sf), D.gyro_sources(spark, sf))
+    return got.select("bore_id", "seq", *[F.round(c, 4).alias(c) for c in COV])
+
+
 def unknown_error_codes(spark, sf):
     return uncertainty.unknown_error_codes(D.error_sources(spark, sf))
 
@@ -187,6 +194,7 @@ _WOLFF = (sql.STN, sql.TOOLS, sql.WOLFF)
 QUERIES = {
     "wolff_dewardt": wolff_dewardt,
     "iscwsa": iscwsa,
+    "iscwsa_gyro": iscwsa_gyro,
     "unknown_error_codes": unknown_error_codes,
     "infer_error_model": infer_error_model,
     "ensure_covariance": ensure_covariance,
@@ -217,8 +225,27 @@ def _ellipse_sql() -> str:
     return f"SELECT bore_id, seq, md, {out} FROM (SELECT *, {raw} FROM cov)"
 
 
+def _source_sums() -> tuple[str, str]:
+    """From weights per station and source: vectors over half of the legs on both sides, sums per source, the total."""
+    axes = (("n", "sin({i})*cos({a})", "cos(inc)*cos(az)", "-sin(az)"), ("e", "sin({i})*sin({a})", "cos(inc)*sin(az)", "cos(az)"),
+            ("t", "cos({i})", "-sin(inc)", "0.0"))
+    parts, sums, totals = [], [], []
+    for x, t, by_inc, by_side in axes:
+        here, above, below = (t.format(i=i, a=a) for i, a in (("inc", "az"), ("pinc", "paz"), ("ninc", "naz")))
+        star = f"coalesce(0.5*({above}+{here}),0.0)*wd+0.5*up*(wi*({by_inc})+wl*({by_side}))"
+        parts += [f"{star} AS s_{x}", f"{star}-coalesce(0.5*({here}+{below}),0.0)*wd+0.5*down*(wi*({by_inc})+wl*({by_side})) AS v_{x}"]
+        sums.append(f"coalesce(sum(v_{x}) OVER b,0.0) AS t_{x}")
+    for name, i, j in zip(_C6, "nnneet", "netett"):
+        sums.append(f"coalesce(sum(v_{i}*v_{j}) OVER b,0.0) AS r_{name}")
+        totals.append(f"round(sum(CASE WHEN is_random THEN r_{name}+s_{i}*s_{j} ELSE (t_{i}+s_{i})*(t_{j}+s_{j}) END),4) AS {name}")
+    return (f"""
+vectors AS (SELECT bore_id, seq, code, is_random, {', '.join(parts)} FROM weighted),
+summed AS (SELECT *, {', '.join(sums)} FROM vectors WINDOW b AS (PARTITION BY bore_id, code ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+            f"SELECT bore_id, seq, {', '.join(totals)} FROM summed GROUP BY bore_id, seq")
+
+
 def _iscwsa_sql() -> str:
-    """Weights per source as published, vectors over half of the legs on both sides, sums per source."""
+    """Weights per source as published."""
     sources = {
         "DRFR": (0.35, True, "1.0", "0.0", "0.0"), "DSFS": (0.00056, False, "md", "0.0", "0.0"), "DSTG": (2.5e-7, False, "md*tvd", "0.0", "0.0"),
         "SAG": (0.0035, False, "0.0", "sin(inc)", "0.0"), "XYM1": (0.001, False, "0.0", "abs(sin(inc))", "0.0"),
@@ -232,34 +259,70 @@ def _iscwsa_sql() -> str:
     weighted = " UNION ALL ".join(
         f"SELECT *, '{c}' AS code, {r} AS is_random, {m!r}::DOUBLE*({d}) AS wd, {m!r}::DOUBLE*({i}) AS wi, {m!r}::DOUBLE*({a}) AS wl FROM legs"
         for c, (m, r, d, i, a) in sources.items())
-    axes = (("n", "sin({i})*cos({a})", "cos(inc)*cos(az)", "-sin(az)"), ("e", "sin({i})*sin({a})", "cos(inc)*sin(az)", "cos(az)"),
-            ("t", "cos({i})", "-sin(inc)", "0.0"))
-    parts, sums, totals = [], [], []
-    for x, t, by_inc, by_side in axes:
-        here, above, below = (t.format(i=i, a=a) for i, a in (("inc", "az"), ("pinc", "paz"), ("ninc", "naz")))
-        star = f"coalesce(0.5*({above}+{here}),0.0)*wd+0.5*up*(wi*({by_inc})+wl*({by_side}))"
-        parts += [f"{star} AS s_{x}", f"{star}-coalesce(0.5*({here}+{below}),0.0)*wd+0.5*down*(wi*({by_inc})+wl*({by_side})) AS v_{x}"]
-        sums.append(f"coalesce(sum(v_{x}) OVER b,0.0) AS t_{x}")
-    for name, i, j in zip(_C6, "nnneet", "netett"):
-        sums.append(f"coalesce(sum(v_{i}*v_{j}) OVER b,0.0) AS r_{name}")
-        totals.append(f"round(sum(CASE WHEN is_random THEN r_{name}+s_{i}*s_{j} ELSE (t_{i}+s_{i})*(t_{j}+s_{j}) END),4) AS {name}")
+    vectors, totals = _source_sums()
     return sql.query(sql.STN, f"""
 placed AS (SELECT stn.*, 1.2::DOUBLE+s_nationkey*0.002::DOUBLE AS dip, s_nationkey*0.004::DOUBLE-0.05::DOUBLE AS declination,
   48000.0::DOUBLE+s_nationkey*100.0::DOUBLE AS bfield FROM stn, (SELECT count(*) AS n FROM supplier) c
   LEFT JOIN supplier ON s_suppkey=bore_id%n-(bore_id%n)%5+2),
 legs AS (SELECT *, coalesce(md-lag(md) OVER w,0.0) AS up, coalesce(lead(md) OVER w-md,0.0) AS down, lag(inc) OVER w AS pinc, lag(az) OVER w AS paz,
   lead(inc) OVER w AS ninc, lead(az) OVER w AS naz FROM placed {sql.WIN}),
-weighted AS ({weighted}),
-vectors AS (SELECT bore_id, seq, code, is_random, {', '.join(parts)} FROM weighted),
-summed AS (SELECT *, {', '.join(sums)} FROM vectors WINDOW b AS (PARTITION BY bore_id, code ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
-                     select=f"SELECT bore_id, seq, {', '.join(totals)} FROM summed GROUP BY bore_id, seq")
+weighted AS ({weighted})""", vectors, select=totals)
+
+
+def _gyro_sql() -> str:
+    """Weights of gyro tools; an interval's visits are numbered, running time is summed within a visit."""
+    rate, rest, run = "(7.292115e-5*cos(lat))", (0.0, 0.35), (0.3, 1.5)
+    canted = "(inc-CASE WHEN inc>=0.9 THEN 0.3 ELSE 0.0 END)"
+    drift = "4.8e-7"
+    sources = {  # magnitude, random, interval, depth, inclination, azimuth at rest, growth while running
+        "DRFR": ("0.35", True, None, "1.0", "0.0", "0.0", "0.0"),
+        "AXYZ_XYB": ("0.005", False, None, "0.0", "cos(inc)/9.80665", "0.0", "0.0"),
+        "AXYZ_SF": ("0.0005", False, None, "0.0", "sin(inc)*cos(inc)", "0.0", "0.0"),
+        "AXY_B": ("0.004", False, rest, "0.0", f"1/(9.80665*cos({canted}))", "0.0", "0.0"),
+        "AXY_SF": ("0.0005", False, (0.0, 1.2), "0.0", f"tan({canted})", "0.0", "0.0"),
+        "GXYZ_XYB1": (drift, False, rest, "0.0", "0.0", f"sin(az)*cos(inc)/{rate}", "0.0"),
+        "GXYZ_XYRN": (drift, True, rest, "0.0", "0.0", f"0.8*sqrt(1-pow(sin(az)*sin(inc),2))/{rate}", "0.0"),
+        "GXYZ_XYG4": (drift, False, rest, "0.0", "0.0", f"sin(az)*sin(inc)*cos(inc)/{rate}", "0.0"),
+        "GXYZ_ZB": (drift, False, rest, "0.0", "0.0", f"sin(az)*sin(inc)/{rate}", "0.0"),
+        "GXY_B1": (drift, False, rest, "0.0", "0.0", f"sin(az)/(cos(inc)*{rate})", "0.0"),
+        "GXY_G2": (drift, False, rest, "0.0", "0.0", f"cos(az)*cos(inc)/{rate}", "0.0"),
+        "GXY_SF": ("0.001", False, rest, "0.0", "0.0", "sin(az)*tan(inc)*tan(lat)", "0.0"),
+        "GXY_MIS": ("0.0009", False, rest, "0.0", "0.0", "1/(cos(lat)*cos(inc))", "0.0"),
+        "EXT_REF": ("0.0087", False, None, "0.0", "0.0", "1.0", "0.0"),
+        "EXT_MIS": ("0.001", False, None, "0.0", "0.0", "1/CASE WHEN abs(sin(inc))>1e-6 THEN sin(inc) ELSE 1e-6 END", "0.0"),
+        "GXYZ_GD": ("2.4e-6", False, run, "0.0", "0.0", "NULL", "1.0"),
+        "GXYZ_RW": ("1.5e-5", False, run, "0.0", "0.0", "NULL", "1.0"),
+        "GXY_GD": ("2.4e-6", False, run, "0.0", "0.0", "NULL", "1/sin((inc+pinc)/2)"),
+        "GXY_RW": ("1.5e-5", False, run, "0.0", "0.0", "NULL", "1/pow(sin((inc+pinc)/2),2)"),
+        "GZ_RW": ("1.5e-5", False, (0.0, 0.8), "0.0", "0.0", "NULL", "1/pow(cos((inc+pinc)/2),2)"),
+    }
+    rows = " UNION ALL ".join(
+        f"SELECT *, '{c}' AS code, {r} AS is_random, {m}::DOUBLE AS mag, {d}::DOUBLE AS dep, {i}::DOUBLE AS incl, {a}::DOUBLE AS azi, "
+        f"{g}::DOUBLE AS growth, {a == 'NULL'} AS runs, inc BETWEEN {(ends or (0, 4))[0]} AND {(ends or (0, 4))[1]} AS inside, "
+        f"coalesce(pinc BETWEEN {(ends or (0, 4))[0]} AND {(ends or (0, 4))[1]}, false) AS was FROM legs"
+        for c, (m, r, ends, d, i, a, g) in sources.items())
+    vectors, totals = _source_sums()
+    return sql.query(sql.STN, f"""
+placed AS (SELECT stn.*, 0.9::DOUBLE+s_nationkey*0.001::DOUBLE AS lat, 0.5::DOUBLE+(s_suppkey%4)*0.1::DOUBLE AS speed
+  FROM stn JOIN supplier ON s_suppkey=bore_id%(SELECT count(*) FROM supplier)),
+legs AS (SELECT *, coalesce(md-lag(md) OVER w,0.0) AS up, coalesce(lead(md) OVER w-md,0.0) AS down, lag(inc) OVER w AS pinc, lag(az) OVER w AS paz,
+  lead(inc) OVER w AS ninc, lead(az) OVER w AS naz FROM placed {sql.WIN}),
+met AS ({rows}),
+visits AS (SELECT *, sum(CASE WHEN inside AND NOT was THEN 1 ELSE 0 END) OVER w AS visit,
+  last_value(CASE WHEN inside THEN azi END IGNORE NULLS) OVER w AS held FROM met WINDOW w AS (PARTITION BY bore_id, code ORDER BY seq)),
+timed AS (SELECT *, sum(CASE WHEN inside AND was THEN growth*up/speed ELSE 0.0 END) OVER (PARTITION BY bore_id, code, visit ORDER BY seq) AS ran
+  FROM visits),
+weighted AS (SELECT *, CASE WHEN inside THEN mag*dep ELSE 0.0 END AS wd, CASE WHEN inside THEN mag*incl ELSE 0.0 END AS wi,
+  mag*sin(inc)*coalesce(CASE WHEN NOT runs THEN held WHEN NOT inside THEN 0.0 WHEN code LIKE '%RW' THEN sqrt(ran) ELSE ran END,0.0) AS wl FROM timed)""",
+                     vectors, select=totals)
 
 
 ORACLES = {
     "iscwsa": _iscwsa_sql(),
+    "iscwsa_gyro": _gyro_sql(),
     "wolff_dewardt": sql.query(*_WOLFF, select=f"SELECT bore_id, seq, {', '.join(f'round({c},6) AS {c}' for c in _C6)} FROM cov"),
     "unknown_error_codes": """
-SELECT s_suppkey AS tool_id, 'GXY_MIS' AS code, 1::BIGINT AS n FROM supplier WHERE s_suppkey%10=2""",
+SELECT s_suppkey AS tool_id, 'XCLA' AS code, 1::BIGINT AS n FROM supplier WHERE s_suppkey%10=2""",
     "infer_error_model": sql.query(sql.MEAS, sql.TOOLS, select="""
 SELECT bore_id, coalesce(arg_min(kind, seq), 'WolffDeWardt') AS error_model FROM (SELECT bore_id, seq,
   CASE WHEN model LIKE '%ISCWSA' THEN 'ISCWSA' WHEN model LIKE '%WolffDeWardt' THEN 'WolffDeWardt' END AS kind

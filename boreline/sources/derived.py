@@ -234,7 +234,7 @@ def error_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("SAG", 0.0035, True, False), ("XYM1", 0.001, True, False), ("XYM2", 0.001, True, False),
         ("XYM3", 0.001, True, False), ("XYM4", 0.001, True, False), ("DEC_U", 0.0063, True, False),
         ("DBH_U", 3000.0 * 0.0174533, True, False), ("AMID", 0.0061, True, False), ("ABZ", 0.004, True, False),
-        ("MBZ", 70.0, True, False), ("GXY_MIS", 0.001, True, False),
+        ("MBZ", 70.0, True, False), ("XCLA", 0.167, True, False),
     ]
     items = F.array(*[
         F.struct(F.lit(c).alias("code"), F.lit(m).alias("magnitude"), F.lit(s).alias("systematic"),
@@ -242,7 +242,34 @@ def error_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
     tools = instruments(spark, sf_dir).filter(F.col("model") == "MWD_ISCWSA")
     found = tools.select("tool_id", F.inline(items))
-    return found.filter((F.col("code") != "GXY_MIS") | (F.col("tool_id") % 10 == 2))
+    return found.filter((F.col("code") != "XCLA") | (F.col("tool_id") % 10 == 2))
+
+
+def gyro_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruments with what the gyro error model needs beside the field: running speed, canted accelerometers, noise."""
+    return instruments(spark, sf_dir).withColumns({
+        "running_speed": (0.5 + (F.col("tool_id") % 4) * 0.1), "cant": F.lit(0.3), "switching": F.lit(0.9),
+        "noise_reduction": F.lit(0.8),
+    })
+
+
+def gyro_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error sources of a gyro tool for every instrument: at rest below an inclination of 0.35, running above 0.3."""
+    drift, rest, run = 4.8e-7, (0.0, 0.35), (0.3, 1.5)
+    rows = [
+        ("DRFR", 0.35, True, None), ("AXYZ_XYB", 0.005, False, None), ("AXYZ_SF", 0.0005, False, None), ("AXY_B", 0.004, False, rest),
+        ("AXY_SF", 0.0005, False, (0.0, 1.2)), ("GXYZ_XYB1", drift, False, rest), ("GXYZ_XYRN", drift, True, rest),
+        ("GXYZ_XYG4", drift, False, rest), ("GXYZ_ZB", drift, False, rest), ("GXY_B1", drift, False, rest), ("GXY_G2", drift, False, rest),
+        ("GXY_SF", 0.001, False, rest), ("GXY_MIS", 0.0009, False, rest), ("EXT_REF", 0.0087, False, None),
+        ("EXT_MIS", 0.001, False, None), ("GXYZ_GD", 2.4e-6, False, run), ("GXYZ_RW", 1.5e-5, False, run), ("GXY_GD", 2.4e-6, False, run),
+        ("GXY_RW", 1.5e-5, False, run), ("GZ_RW", 1.5e-5, False, (0.0, 0.8)),
+    ]
+    items = F.array(*[
+        F.struct(F.lit(c).alias("code"), F.lit(m).alias("magnitude"), F.lit(not r).alias("systematic"), F.lit(r).alias("random"),
+                 F.lit(False).alias("global"), F.lit(ends[0] if ends else None).cast("double").alias("start_inc"),
+                 F.lit(ends[1] if ends else None).cast("double").alias("end_inc")) for c, m, r, ends in rows
+    ])
+    return instruments(spark, sf_dir).select("tool_id", F.inline(items))
 
 
 def with_tools(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,3 +275,53 @@ def test_envelopes_of_split_wells(spark, covered):
     assert len(x) == len(y) and np.allclose(x[["ref_md", "cmp_md", "sf"]], y[["ref_md", "cmp_md", "sf"]])
     p, q = (separation.relevant_md_ranges(pairs, s).toPandas().sort_values("ref_id") for s in (covered, cut))
     assert np.allclose(p, q)
+
+
+def _gyro_case(spark, inc, sources, block=None, **tool):
+    """One straight-north well (azimuth 1 everywhere) of legs of 30 m with the inclinations given."""
+    rows = [(1, i, 7, 30.0 * i, float(v), 1.0, 0.0) for i, v in enumerate(inc)]
+    s = spark.createDataFrame(rows, "bore_id long, seq long, tool_id long, md double, inc double, az double, tvd double")
+    s = s.withColumns({c: F.lit(None).cast("double") for c in COV})
+    if block:
+        s = s.withColumn(B.BLOCK, F.floor(F.col("seq") / block).cast("bigint"))
+    values = {"latitude": 1.0, "running_speed": 0.5} | tool
+    i = spark.createDataFrame([(7, 1.2, 0.0, 9.8, 50000.0)], "tool_id long, dip double, declination double, gravity double, bfield double")
+    i = i.withColumns({k: F.lit(v).cast("double") for k, v in values.items()})
+    src = spark.createDataFrame([(7, c, m, True, False, False, a, b) for c, m, a, b in sources],
+                                "tool_id long, code string, magnitude double, systematic boolean, random boolean, global boolean,"
+                                " start_inc double, end_inc double")
+    return uncertainty.covariance_iscwsa(s, i, src).orderBy("seq").toPandas()
+
+
+@pytest.mark.parametrize("block", [None, 2])
+def test_gyro_azimuth_is_held_and_drift_restarts(spark, block):
+    inc = [0.1, 0.3, 0.5, 0.7, 0.3, 0.6, 0.8, 0.9]
+    rest = ("GXY_SF", 0.01, 0.0, 0.4)
+    run = ("GXYZ_GD", 1e-5, 0.4, 2.0)
+    walk = ("GXY_RW", 1e-4, 0.4, 2.0)
+    taken = [np.sin(1.0) * np.tan(v) * np.tan(1.0) for v in inc]
+    held = np.array([taken[0], taken[1], taken[1], taken[1], taken[4], taken[4], taken[4], taken[4]])
+    hours = np.array([0, 0, 0, 60, 0, 0, 60, 120])
+    walked = np.zeros(8)
+    walked[3] = 60 / np.sin(0.6) ** 2
+    walked[6] = 60 / np.sin(0.7) ** 2
+    walked[7] = walked[6] + 60 / np.sin(0.85) ** 2
+    inc = np.array(inc)
+    for source, azimuth in ((rest, 0.01 * held), (run, 1e-5 * hours), (walk, 1e-4 * np.sqrt(walked))):
+        got = _gyro_case(spark, inc, [source], block)
+        side = np.stack([-np.sin(inc) * np.sin(1.0), np.sin(inc) * np.cos(1.0), 0 * inc], axis=1) * azimuth[:, None]
+        up = np.r_[0.0, np.full(7, 30.0)]
+        for k in range(8):
+            down = np.r_[np.full(k, 30.0), 0.0]
+            v = (0.5 * (up[:k + 1] + down)[:, None] * side[:k + 1]).sum(axis=0)
+            assert np.allclose(matrices(got)[k], np.outer(v, v), atol=1e-12)
+
+
+def test_gyro_without_latitude_or_speed_is_no_covariance(spark):
+    rest, run = ("GXY_B1", 1e-6, None, None), ("GZ_GD", 1e-6, None, None)
+    assert _gyro_case(spark, [0.1, 0.2], [rest], latitude=None).c00.isna().all()
+    assert _gyro_case(spark, [0.1, 0.2], [run], running_speed=None).c00.isna().all()
+    assert _gyro_case(spark, [0.1, 0.2], [run], running_speed=0.0).c00.isna().all()
+    assert _gyro_case(spark, [0.1, 0.2], [rest, run]).c00.notna().all()
+    # along its singular direction a weight stays finite
+    assert np.isfinite(_gyro_case(spark, [np.pi / 2, 0.0, np.pi / 2], [rest, run, ("EXT_MIS", 1e-3, None, None)])[list(COV)]).all().all()
