@@ -32,9 +32,9 @@ def import_batch(
 ) -> ImportResult:
     """Import manifest rows (see ``documents.manifest_rows``).
 
-    All files are parsed at once.  Rows then go in order of wellbore depth, so a sidetrack finds the run of its parent
-    among those imported before it.  A row fails with a reason when it lacks wellbore, file or instrument, has fewer
-    than three stations, or needs a parent run and has none.  Every good row yields a run, its measurements and a path
+    All files are parsed at once, and all parent runs are found at once (see ``_with_parents``): a sidetrack may have its
+    parent in the same batch.  A row fails with a reason when its wellbore is missing or unknown, it lacks file or
+    instrument, has fewer than three stations, or needs a parent run and has none.  Every good row yields a run, its measurements and a path
     with one section that starts at the wellhead.
 
     ``existing_runs``: run_id, bore_id, name, first_md, last_md.  ``existing_paths``: traj_id, bore_id, name.
@@ -79,14 +79,16 @@ def import_batch(
     counts = text.skipped_lines(measured, key)
     rows = rows.join(facts, "row_id", "left").join(counts, "row_id", "left").drop("content")
     reason = (
-        F.when(F.col("bore_id").isNull(), F.lit("no wellbore"))
+        F.when(F.col("depth").isNull(), F.lit("no wellbore"))
         .when(F.col("n_accepted").isNull(), F.lit("no file"))
         .when(F.col("instrument_id").isNull(), F.lit("no survey instrument"))
         .when(F.coalesce("n_stations", F.lit(0)) < 3, F.lit("fewer than three stations"))
     )
     needs = F.coalesce("is_sidetrack", F.lit(False)) | F.coalesce(F.col("first_md") > F.col("wellhead_md"), F.lit(False))
     base = F.regexp_replace(F.coalesce("file_name", F.lit("survey-run")), r"\.[^.]*$", "")
-    turn = F.row_number().over(Window.partitionBy("bore_id").orderBy("manifest", "row_index")) - 1
+    # rows without wellbore have no turn; by themselves they are no group
+    spot = F.struct("bore_id", F.when(F.col("bore_id").isNull(), F.col("row_id")))
+    turn = F.row_number().over(Window.partitionBy(spot).orderBy("manifest", "row_index")) - 1
     rows = rows.withColumns({"reason": reason, "needs_parent": needs, "base": base, "turn": turn,
                              "run_id": F.concat(F.lit("run-"), "row_id")})
     rows = B.durable(rows)
@@ -120,32 +122,77 @@ def _truncated() -> Column:
 
 
 def _with_parents(rows: DataFrame, bores: DataFrame, existing_runs: DataFrame) -> DataFrame:
-    """Resolve parent runs level by level; rows that need one and have none fail.
+    """Resolve parent runs of all rows at once; rows that need one and have none fail.
 
-    Only depth ranges of runs take part, one row per file; levels are wellbore depths, within them the turns of rows
-    on the same wellbore.
+    Only depth ranges of runs take part, one row per file.  Candidates of a row are the existing runs and the rows that
+    come before it (by wellbore depth, then by turn on the wellbore) and are imported themselves.
     """
-    pool = existing_runs.select(F.col("run_id").cast("string").alias("run_id"), "bore_id", "first_md", "last_md")
-    steps = rows.filter("reason IS NULL").select("depth", "turn").distinct().orderBy("depth", "turn")
-    done = rows.filter("reason IS NOT NULL").withColumn("parent_id", F.lit(None).cast("string"))
-    # one step per hierarchy level and turn: a handful of small numbers, not data
-    for step in steps.toLocalIterator():
-        here = rows.filter("reason IS NULL").filter((F.col("depth") == step["depth"]) & (F.col("turn") == step["turn"]))
-        asked = here.filter("needs_parent").select("row_id", "bore_id", "first_md")
-        found = hierarchy.parent_run_candidates(asked, bores, pool).groupBy("row_id").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("run_id").alias("_only"), F.collect_set("run_id").alias("_all")
-        )
-        here = here.join(found, "row_id", "left")
-        given = F.when(F.array_contains("_all", F.col("parent_run_id")), F.col("parent_run_id"))
-        parent = F.coalesce(given, F.when(F.col("parent_run_id").isNull() & (F.col("_n") == 1), F.col("_only")))
-        here = here.withColumn("parent_id", F.when(F.col("needs_parent"), parent))
-        here = here.withColumn(
-            "reason", F.when(F.col("needs_parent") & F.col("parent_id").isNull(), F.lit("no parent survey run"))
-        ).drop("_n", "_only", "_all")
-        here = B.durable(here)
-        done = done.unionByName(here.select(*done.columns))
-        pool = pool.unionByName(here.filter("reason IS NULL").select("run_id", "bore_id", "first_md", "last_md"))
-    return done
+    good = rows.filter("reason IS NULL")
+    old = existing_runs.select(F.col("run_id").cast("string").alias("run"), "bore_id", "first_md", "last_md",
+                               F.lit(None).cast("string").alias("row"), F.lit(-1).alias("depth"), F.lit(-1).alias("turn"))
+    new = good.select(F.col("run_id").alias("run"), "bore_id", "first_md", "last_md", F.col("row_id").cast("string").alias("row"), "depth", "turn")
+    pool = B.stack(["bore_id"], old, new).select(F.struct("run", "row", "depth", "turn").alias("run_id"), "bore_id", "first_md", "last_md")
+    asked = good.filter("needs_parent").select("row_id", "bore_id", "first_md")
+    found = hierarchy.parent_run_candidates(asked, bores, pool).select("row_id", F.col("run_id").alias("_of"))
+    own = good.select("row_id", F.struct("depth", "turn").alias("_place"), F.col("parent_run_id").alias("_given"))
+    earlier = F.col("_of.row").isNull() | (F.struct("_of.depth", "_of.turn") < F.col("_place"))
+    edges = found.join(own, "row_id").filter(earlier).select(
+        F.col("row_id").cast("string").alias("row"), F.col("_of.run").alias("run"), F.col("_of.row").alias("of"),
+        F.col("_given").isNotNull().alias("asks"), F.coalesce(F.col("_given") == F.col("_of.run"), F.lit(False)).alias("given"))
+    edges = B.durable(edges)
+    free = good.filter("NOT needs_parent").select(F.col("row_id").cast("string").alias("row"), F.lit(True).alias("taken"))
+    alone = asked.select(F.col("row_id").cast("string").alias("row")).join(edges.select("row"), "row", "left_anti")
+    decided = _accepted(edges, free.unionByName(alone.withColumn("taken", F.lit(False))))
+    able = edges.join(decided.filter("taken").select(F.col("row").alias("of")), "of", "left_semi").select("row", "run", "asks", "given")
+    able = able.unionByName(edges.filter("of IS NULL").select("row", "run", "asks", "given")).filter("given OR NOT asks")
+    parents = able.groupBy(F.col("row").alias("_row")).agg(F.min("run").alias("parent_id"), F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    placed = rows.withColumn("_row", F.when(F.col("reason").isNull() & F.col("needs_parent"), F.col("row_id").cast("string")))
+    placed = placed.join(parents.drop("_n"), "_row", "left")
+    lacks = F.col("_row").isNotNull() & F.col("parent_id").isNull()
+    return B.durable(placed.withColumn("reason", F.when(lacks, F.lit("no parent survey run")).otherwise(F.col("reason"))).drop("_row"))
+
+
+def _accepted(edges: DataFrame, decided: DataFrame) -> DataFrame:
+    """Which rows are imported: ``row``, ``taken``.
+
+    ``edges``: row, candidate ``run``, its row ``of`` (null: an existing run), ``asks`` (a parent is named), ``given``
+    (this is the one).  A row is taken if the candidate it names is, or if exactly one candidate is when it names none.
+    Once a single candidate is open the answer equals that candidate's, or is its opposite, so chains of such rows
+    are shortened by pointer doubling; rounds grow with how deeply open choices of several candidates nest, and the
+    steps of a round with the logarithm of the files on a wellbore.
+    """
+    decided = B.durable(decided)
+    while True:
+        left = edges.join(decided.select("row"), "row", "left_anti")
+        seen = left.join(decided.select(F.col("row").alias("of"), "taken"), "of", "left")
+        yes = F.col("of").isNull() | F.coalesce("taken", F.lit(False))
+        still = F.col("of").isNotNull() & F.col("taken").isNull()
+        counts = seen.groupBy("row").agg(
+            F.first("asks").alias("asks"), F.count_if(yes).alias("n"), F.count_if(still).alias("open"),
+            F.bool_or(F.col("given") & yes).alias("sure"), F.max(F.when(still, F.col("of"))).alias("any"),
+            F.max(F.when(F.col("given") & still, F.col("of"))).alias("named"))
+        answer = F.when(F.col("asks"), F.when(F.col("sure"), True).when(F.col("named").isNull(), False)).otherwise(
+            F.when(F.col("n") > 1, False).when(F.col("open") == 0, F.col("n") == 1))
+        follows = F.when(F.col("asks"), F.col("named")).when(F.col("open") == 1, F.col("any"))
+        counts = counts.select("row", answer.alias("taken"), F.when(answer.isNull(), follows).alias("to"),
+                               (~F.col("asks") & (F.col("n") == 1)).alias("flip"))
+        counts = B.durable(counts)
+        if counts.isEmpty():
+            return decided
+        settled = B.durable(decided.unionByName(counts.filter("taken IS NOT NULL").select("row", "taken")))
+        links = counts.filter("to IS NOT NULL").select("row", "to", "flip")
+        while True:
+            after = links.select(F.col("row").alias("to"), F.col("to").alias("_to"), F.col("flip").alias("_flip"))
+            longer = links.join(after, "to", "left")
+            links = B.durable(longer.select(
+                "row", F.coalesce("_to", "to").alias("to"), (F.col("flip") != F.coalesce("_flip", F.lit(False))).alias("flip"),
+                F.col("_to").isNotNull().alias("moved")))
+            if links.filter("moved").isEmpty():
+                break
+            links = links.drop("moved")
+        ends = settled.select(F.col("row").alias("to"), "taken")
+        followed = links.join(ends, "to").select("row", (F.col("taken") != F.col("flip")).alias("taken"))
+        decided = B.durable(settled.unionByName(followed))
 
 
 def _names(good: DataFrame, existing_runs: DataFrame, existing_paths: DataFrame) -> DataFrame:

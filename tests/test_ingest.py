@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,7 @@ def test_import_batch(spark, tmp_path):
         {"RowId": "y", "WellBoreId": "1", "SurveyInstrumentId": "t", "FileName": "Short.txt", "text": "0;0;0\n1;1;1"},
         {"RowId": "z", "WellBoreId": "1", "SurveyInstrumentId": "t", "FileName": "Empty.txt"},
         {"RowId": "w", "WellBoreId": documents.NO_ID, "SurveyInstrumentId": "t", "FileName": "NoBore.txt", "text": main},
+        {"RowId": "v", "WellBoreId": "77", "SurveyInstrumentId": "t", "FileName": "Strange.txt", "text": main},
     ]
     manifest = _manifest(spark, tmp_path, rows, Settings={"SelectedSurveyImportSeparator": "Semicolon (;)"})
     bores = spark.createDataFrame([("1", "A", 1, False, None, None, None), ("2", "A T2", 1, True, "1", 150.0, None)],
@@ -78,8 +80,8 @@ def test_import_batch(spark, tmp_path):
     status = {r.row_id: r for r in done.status.collect()}
     assert status["m"].reason is None and status["m"].n_stations == 4 and status["m"].n_skipped == 1
     assert status["s"].reason is None and status["s"].n_stations == 4 and status["s"].n_skipped == 1
-    assert {k: status[k].reason for k in "xyzw"} == {
-        "x": "no survey instrument", "y": "fewer than three stations", "z": "no file", "w": "no wellbore"}
+    assert {k: status[k].reason for k in "xyzwv"} == {
+        "x": "no survey instrument", "y": "fewer than three stations", "z": "no file", "w": "no wellbore", "v": "no wellbore"}
     got = {r.row_id: r for r in done.runs.collect()}
     assert got["m"].name == "Main.v1 (2)" and got["m"].parent_run_id is None
     assert got["s"].parent_run_id == "run-m" and got["s"].name == "Side"
@@ -89,6 +91,56 @@ def test_import_batch(spark, tmp_path):
     assert first.md == 150.0 and first.annotation == "Sidetrack tie-in"
 
 
+def test_parents_of_all_rows_at_once(spark):
+    """Chains, named parents, ambiguous and rejected candidates against rows taken one after the other."""
+    rng = random.Random(5)
+    bores, rows, runs = [], [], []
+    for bore in range(60):
+        parent = rng.randrange(bore) if bore and rng.random() < 0.6 else None
+        bores.append((bore, parent is not None, parent, rng.choice([None, 50.0, 120.0]) if parent is not None else None))
+        if rng.random() < 0.4:
+            low = rng.choice([0.0, 100.0])
+            runs.append((f"old{bore}", bore, low, low + rng.choice([30.0, 100.0])))
+    level = {}
+    for bore, _, parent, _ in bores:
+        level[bore] = 0 if parent is None else level[parent] + 1
+    for bore in range(60):
+        low = rng.choice([0.0, 60.0, 120.0])
+        for turn in range(rng.choice([1, 2, 5, 12])):
+            named = rng.choice([None] * 6 + [f"run-{bore}-{turn - 1}", "old3", f"old{bore}"])
+            rows.append((f"{bore}-{turn}", f"run-{bore}-{turn}", bore, level[bore], turn, None if rng.random() < 0.9 else "bad",
+                         turn > 0 or rng.random() < 0.4, named, low, low + 40.0))
+            low += rng.choice([20.0, 40.0, 45.0, 60.0])
+    # one long chain, every file from the end of the one before
+    bores.append((99, False, None, None))
+    rows += [(f"c{i}", f"run-c{i}", 99, 0, i, None, i > 0, None, 100.0 * i, 100.0 * i + 95.0) for i in range(70)]
+    info = {b[0]: b[1:] for b in bores}
+    # runs of the same level and turn do not see each other: take them step by step
+    pool = list(runs)
+    done = {}
+    for step in sorted({(r[3], r[4]) for r in rows}):
+        fresh = []
+        for row, run, bore, depth, turn, reason, needs, named, low, high in rows:
+            if (depth, turn) != step:
+                continue
+            side, parent, tie = info[bore]
+            where, at = (parent, low if tie is None else tie) if side else (bore, low)
+            fit = [q for q, b, lo, hi in pool if b == where and (lo <= at <= hi or (hi <= at and at - hi <= 10.0))]
+            got = (named if named in fit else None) if named else (fit[0] if len(fit) == 1 else None)
+            lost = reason or ("no parent survey run" if needs and got is None else None)
+            done[row] = (lost, got if needs and not reason else None)
+            if lost is None:
+                fresh.append((run, bore, low, high))
+        pool += fresh
+    table = spark.createDataFrame(rows, "row_id string, run_id string, bore_id long, depth int, turn int, reason string, needs_parent boolean,"
+                                        " parent_run_id string, first_md double, last_md double")
+    wells = spark.createDataFrame(bores, "bore_id long, is_sidetrack boolean, parent_bore_id long, tie_in_md double")
+    old = spark.createDataFrame(runs, "run_id string, bore_id long, first_md double, last_md double")
+    got = {r.row_id: (r.reason, r.parent_id) for r in importing._with_parents(table, wells, old).collect()}
+    assert got == done
+    assert done["c69"] == (None, "run-c68") and sum(v[0] == "no parent survey run" for v in done.values()) > 30
+
+
 def test_replace_modes(spark, tmp_path):
     body = "0;0;0\n100;10;20\n200;20;20"
     bores = spark.createDataFrame([("1", "A", 1, False, None, None, None)], "bore_id string, name string, well_id long, is_sidetrack boolean, parent_bore_id string, tie_in_md double, rig_id long")
