@@ -97,6 +97,33 @@ def _import(spark, sf):
         manifest(spark, sf), bores, D.wells(spark, sf), D.clusters(spark, sf), D.rigs(spark, sf), old_runs, old_paths)
 
 
+MANIFESTS = 16
+
+
+def read_manifest(spark, sf):
+    """The rows of ``manifest`` as files of one JSON object each, over many lines, read back."""
+    rows = manifest(spark, sf).withColumn("part", F.col("row_index") % MANIFESTS)
+    entry = F.to_json(F.struct(
+        F.col("row_id").alias("RowId"), F.col("bore_id").cast("string").alias("WellBoreId"),
+        F.coalesce("instrument_id", F.lit(documents.NO_ID)).alias("SurveyInstrumentId"),
+        F.col("depth_reference").alias("DepthReferenceName"), F.concat("file_name", F.lit(' {"}')).alias("FileName"),
+        F.base64(F.encode("content", "UTF-8")).alias("FileContentBase64")))
+    starts = rows.groupBy("part").agg(F.min("row_index").alias("start"))
+    comma = F.when(F.col("row_index") > F.col("start"), F.lit(",")).otherwise(F.lit(""))
+    lines = rows.join(starts, "part").select("part", F.col("row_index").cast("bigint").alias("at"), F.concat(comma, entry).alias("value"))
+    top = F.format_string('{"ReplaceExistingTrajectories": %s, "Settings": {"SelectedSurveyImportDecimalMarker": ","},\n"Rows": [',
+                          (F.col("part") % 2 == 0).cast("string"))
+    lines = lines.unionByName(starts.select("part", F.lit(-1).cast("bigint").alias("at"), top.alias("value")))
+    lines = lines.unionByName(starts.select("part", F.lit(2**62).alias("at"), F.lit('], "ReplaceTrajectoriesWithSameName": true}').alias("value")))
+    folder = _folder(spark)
+    lines.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(folder)
+    got = documents.read_batch_manifest(spark, folder)
+    return got.select(
+        F.regexp_extract("manifest", "part=([0-9]+)", 1).cast("bigint").alias("part"), "row_index", "row_id", "bore_id", "instrument_id",
+        "file_name", "depth_reference", "replace_all", "replace_same_name", "decimal",
+        F.when(F.col("content").isNotNull(), F.size(F.split("content", "\n"))).cast("bigint").alias("n_lines"))
+
+
 def import_batch(spark, sf):
     done = _import(spark, sf)
     runs = done.runs.select("row_id", "parent_run_id", F.col("name").alias("run_name"))
@@ -260,6 +287,7 @@ QUERIES = {
     "import_steps": import_steps,
     "skipped_lines": skipped_lines,
     "fixed_width": fixed_width,
+    "read_manifest": read_manifest,
     "import_batch": import_batch,
     "import_measurements": import_measurements,
     "load_documents": load_documents,
@@ -282,6 +310,13 @@ SELECT bore_id, row_number() OVER (PARTITION BY bore_id ORDER BY seq)-1 AS seq,
   round(az,7) AS az FROM judged WHERE accepted"""),
     "skipped_lines": sql.query(sql.MEAS, TEXT, select="""
 SELECT bore_id, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (NOT accepted) AS n_skipped FROM judged GROUP BY 1"""),
+    "read_manifest": sql.query(sql.MEAS, f"""
+files AS (SELECT bore_id, CAST(floor(seq/{FILE_ROWS}) AS BIGINT) AS f, count(*) AS n FROM meas GROUP BY 1, 2),
+placed AS (SELECT *, bore_id*1000+f AS k FROM files)""", select=f"""
+SELECT k%{MANIFESTS} AS part, CAST(row_number() OVER (PARTITION BY k%{MANIFESTS} ORDER BY k)-1 AS INTEGER) AS row_index, 'r'||k AS row_id,
+  CAST(bore_id AS VARCHAR) AS bore_id, CASE WHEN bore_id%17<>5 THEN 'tool' END AS instrument_id, 'Survey '||(bore_id%3)||'.txt {{"}}' AS file_name,
+  CASE WHEN bore_id%2=0 THEN 'Ground/Mud line' ELSE 'Rotary table' END AS depth_reference, (k%{MANIFESTS})%2=0 AS replace_all,
+  true AS replace_same_name, ',' AS "decimal", CASE WHEN bore_id%23<>7 THEN n+CASE WHEN f=0 THEN 1 ELSE 0 END END AS n_lines FROM placed"""),
     "fixed_width": sql.query(sql.MEAS, select="""
 SELECT bore_id, seq, round(md,4) AS md, round(inc,6) AS inc, round(az,6) AS az FROM meas WHERE event_id%61<>0"""),
     "load_documents": sql.query(sql.TRAJ, select="""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from boreline.functions import blocks as B
 
 NO_ID = "00000000-0000-0000-0000-000000000000"
 
@@ -110,20 +113,79 @@ def load_sf_profiles(profiles: DataFrame, column: str = "profile") -> tuple[Data
 
 
 def read_batch_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all manifest files under a path."""
-    raw = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
-    return manifest_rows(raw.withColumn("manifest", F.col("_metadata.file_path")))
-
+    """Rows of all manifest files under a path; every file holds one JSON object.
 
-def manifest_rows(manifests: DataFrame) -> DataFrame:
-    """One row per file of each manifest, with the settings of the manifest and the decoded content."""
+    Elements of ``Rows`` are objects.  The text is split at closing braces by Spark's reader, so a file of any size is
+    read by many tasks, whatever its line breaks.  Running counts of quotes and braces say which of these pieces end an
+    object below the top one; only the pieces of one object come together.  A broken file gives rows without values, or
+    none.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    pieces = raw.select(F.col("_metadata.file_path").alias("manifest"), F.col("_metadata.file_block_start").alias(B.BLOCK),
+                        F.monotonically_increasing_id().alias("_n"), F.col("value").alias("piece"))
+    return manifest_rows(_manifest_entries(B.durable(pieces)), exploded=True)
+
+
+def _manifest_entries(pieces: DataFrame) -> DataFrame:
+    """One row per element of ``Rows``: the manifest, its other fields, ``row_index`` and ``_row``."""
+    key, order = ["manifest"], ["_n"]
+
+    def count(text: Column, mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    plain = F.regexp_replace("piece", r"\\.", "")
+    facts = pieces.select(*key, B.BLOCK, "_n", plain.alias("_plain"), count(plain, '"').cast("long").alias("_quotes"))
+    facts = B.with_running_sum(facts, key, order, {"_all_quotes": "_quotes"})
+    opened = (F.col("_all_quotes") - F.col("_quotes")) % 2 == 1
+    bare = F.regexp_replace(F.concat(F.when(opened, F.lit('"')).otherwise(F.lit("")), "_plain"), r'"[^"]*(?:"|$)', "")
+    closes = (F.col("_all_quotes") % 2 == 0).cast("long")
+    facts = facts.select(*key, B.BLOCK, "_n", (count(bare, "{").cast("long") - closes).alias("_change"), closes.alias("_closes"))
+    facts = B.with_running_sum(facts, key, order, {"_depth": "_change"})
+    ends = ((F.col("_depth") == 1) & (F.col("_closes") == 1)).cast("long")
+    facts = B.with_running_sum(facts.withColumn("_ends", ends), key, order, {"_item": "_ends"})
+    facts = facts.select(*key, B.BLOCK, "_n", (F.col("_item") - F.col("_ends")).alias("_item"), "_ends")
+    gathered = pieces.join(facts, [*key, B.BLOCK, "_n"]).groupBy(*key, "_item").agg(
+        F.array_sort(F.collect_list(F.struct(B.BLOCK, "_n", "piece"))).alias("_pieces"), F.min(B.BLOCK).alias(B.BLOCK),
+        F.max("_ends").alias("_whole"))
+    # up to its own brace an object is led by fields of the top object, a comma, or the name of its array
+    text = F.array_join("_pieces.piece", "}")
+    first = F.when(F.col("_item") == 0, F.regexp_replace(text, r"^\s*\{", "")).otherwise(text)
+    lead = F.regexp_extract("_text", r'^((?:[^"{]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)', 1)
+    items = gathered.withColumn("_text", first).withColumn("_lead", F.when(F.col("_whole") == 1, lead).otherwise(F.col("_text")))
+    items = B.durable(items.select(
+        *key, "_item", B.BLOCK, "_whole", "_lead", F.regexp_extract("_lead", r'"([^"]*)"\s*:\s*\[\s*$', 1).alias("_array"),
+        F.concat(F.expr("substr(_text, length(_lead) + 1)"), F.lit("}")).alias("_body")))
+    begins, follows = F.col("_array") != "", F.col("_lead").rlike(r",\s*$")
+    places = items.select(*key, "_item", B.BLOCK, begins.alias("_begins"), (begins | ~follows).cast("int").alias("_new"),
+                          F.struct("_item", "_array").alias("_at"))
+    at = F.when(F.col("_new") == 1, F.col("_at"))
+    places = B.with_running_max_before(places, key, ["_item"], at, "_before").withColumn("_before", F.coalesce(at, "_before"))
+    places = places.select(*key, "_item", F.col("_before._array").alias("_in"), (F.col("_item") - F.col("_before._item")).cast("int").alias("row_index"))
+    rows = items.filter("_whole = 1").join(places.filter("_in = 'Rows'").select(*key, "_item", "row_index"), [*key, "_item"])
+    schema = StructType.fromDDL(MANIFEST_SCHEMA)
+    rows = rows.select(*key, "row_index", F.from_json("_body", schema["Rows"].dataType.elementType).alias("_row"))
+    field = F.when(F.col("_whole") == 0, F.col("_lead")).when(F.col("_lead").rlike(r":\s*$"), F.concat("_lead", "_body"))
+    top = items.withColumn("_field", F.when(begins, F.concat("_lead", F.lit("{}"))).otherwise(field)).filter("_field IS NOT NULL")
+    top = top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_item", "_field"))).alias("_fields"))
+    text = F.concat(F.lit("{"), F.array_join("_fields._field", ""), F.lit("}"))
+    top = top.select(*key, F.from_json(text, schema).alias("_top"))
+    names = [f.name for f in schema if f.name != "Rows"]
+    return rows.join(top, key).select(*key, "row_index", "_row", *[F.col("_top")[n].alias(n) for n in names])
+
+
+def manifest_rows(manifests: DataFrame, exploded: bool = False) -> DataFrame:
+    """One row per file of each manifest, with the settings of the manifest and the decoded content.
+
+    ``exploded``: the manifests come as one row per element of ``Rows`` already (``row_index``, ``_row``).
+    """
+    each = [F.col("row_index"), F.col("_row")] if exploded else [F.posexplode("Rows").alias("row_index", "_row")]
     top = manifests.select(
         "manifest",
         F.coalesce("ReplaceExistingTrajectories", F.lit(False)).alias("replace_all"),
         F.coalesce("ReplaceTrajectoriesWithSameName", F.lit(False)).alias("replace_same_name"),
         F.coalesce(F.nullif(F.trim("CommonDepthReference"), F.lit("")), F.lit("Rotary table")).alias("_common"),
         *[F.col("Settings")[f].alias(c) for c, f in SETTING_FIELDS.items()],
-        F.posexplode("Rows").alias("row_index", "_row"),
+        *each,
     )
     content = F.try_to_binary(F.col("_row.FileContentBase64"), F.lit("base64"))
     return top.select(

@@ -91,6 +91,33 @@ def test_import_batch(spark, tmp_path):
     assert first.md == 150.0 and first.annotation == "Sidetrack tie-in"
 
 
+def test_manifest_is_read_in_pieces(spark, tmp_path):
+    """The same rows as by a reader of whole files, however the text is cut."""
+    tops = [
+        {"CommonDepthReference": 'a{"b}[', "Settings": {"SelectedSurveyImportMDUnit": "}ft{", "SurveyImportMDColumn": 3}},
+        {"Other": [{"RowId": "no"}, {"RowId": "no", "deep": {"x": [{}]}}], "ReplaceExistingTrajectories": True}, {},
+    ]
+    for i, top in enumerate(tops):
+        rows = [{"RowId": f"r{k}", "WellBoreId": f"b\\{{{k}", "FileName": 'x}\\"{ é\\', "Extra": {"a": {"b": "}"}},
+                 "FileContentBase64": base64.b64encode(("1;2;3\n" * (k * 7 % 50)).encode()).decode()} for k in range(60 if i < 2 else 0)]
+        rows = rows + [{}] if i == 0 else rows
+        body = {**top, "Rows": rows, "SelectedWellId": "w", "ReplaceTrajectoriesWithSameName": i == 0}
+        (tmp_path / f"m{i}.json").write_text(json.dumps(body, indent=[None, 2, 1][i], ensure_ascii=i == 1))
+    whole = spark.read.schema(documents.MANIFEST_SCHEMA).json(str(tmp_path), multiLine=True)
+    whole = documents.manifest_rows(whole.withColumn("manifest", F.col("_metadata.file_path")))
+    want = sorted(map(tuple, whole.collect()), key=str)
+    assert len(want) == 121
+    for size in ("128MB", "1000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1" if size == "1000" else "4MB")
+        try:
+            got = documents.read_batch_manifest(spark, str(tmp_path)).select(whole.columns)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_parents_of_all_rows_at_once(spark):
     """Chains, named parents, ambiguous and rejected candidates against rows taken one after the other."""
     rng = random.Random(5)
