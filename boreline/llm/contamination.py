@@ -15,6 +15,8 @@ from boreline.llm import running, text
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
+#: Hit spans of more words are cut out of texts that stay.
+LONGEST = 50
 #: Words of test items in one automaton; a larger benchmark takes one pass over the documents per so many words.
 BLOCK_WORDS = 500_000
 #: What documents carry from pass to pass: hit words as pairs of numbers, and the items met.
@@ -278,6 +280,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return found.filter(~bad).select("_doc.*")
 
 
+def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, longest: int = LONGEST, **options) -> DataFrame:
+    """The rows of ``docs`` that ``decontaminate`` keeps, their texts without hit spans of more than ``longest`` words.
+
+    A span goes from the first byte of its first word to the last byte of its last; what stands around it stays, so no
+    two words grow together.  Spans are judged on the text as given.  Null and empty texts, shorter spans and all other
+    columns stay as they are.
+    """
+    packed = text.packed(docs, F.col("text"))
+    found = find_items(packed, benchmark, window, **options).filter(~_contaminated(share))
+    long = F.filter(_HITS, lambda s: s[1] - s[0] > longest)
+    found = found.select("_doc", "text", long.alias("_cut"))
+
+    def cut(batches):
+        for batch in text.slices(batches):
+            column = batch.column(batch.schema.get_field_index("text"))
+            data, offsets = text.flat(column)
+            starts, ends, first = text.spans(text.LOWER[data], offsets, text.LETTER_WORDS)
+            keep = np.ones(len(data), bool)
+            for doc, spans in enumerate(batch.column(batch.schema.get_field_index("_cut")).to_pylist()):
+                for low, high in spans:
+                    keep[starts[first[doc] + low] : ends[first[doc] + high - 1]] = False
+            at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+            body = pa.py_buffer(data[keep].tobytes())
+            left = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(at.astype(np.int64).tobytes()), body)
+            yield pa.RecordBatch.from_arrays([batch.column(0), left.cast(pa.string()), batch.column(2)], names=["_doc", "text", "_cut"])
+
+    done = found.mapInArrow(cut, found.schema)
+    whole = F.when(F.size("_cut") > 0, F.col("text")).otherwise(F.col("_doc.text"))
+    return done.select(F.col("_doc").withField("text", whole).alias("_doc")).select("_doc.*")
+
+
 def op6_decontamination(spark, sf_dir):
     found = contamination_report(text.table(spark, sf_dir, "documents"), text.table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -208,6 +208,33 @@ def test_contamination(spark, docs, rows, block):
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(i for (i, _, _, _, bad), n in want.items() for _ in range(n) if not bad)
 
 
+@pytest.mark.parametrize("longest", [13, 20, 10**6])
+def test_passages_are_cut_out(spark, longest):
+    rng = random.Random(3)
+    prose = [corpus.prose(rng, 700) + "." for _ in range(5)]
+    passage = [f"q{k} é{k}" for k in range(20)]  # 40 words
+    one, two = " -- ".join(passage), " ".join(passage[:7])
+    loud = two.replace("q", "Q")
+    texts = [
+        f"{prose[0]}\n({one})\n{prose[1]}", f"{loud}!{prose[2]}", f"{prose[3]} {two}", f"{one} {two}", prose[4], None, "", "... ",
+        f"{prose[0]} {one} {prose[1]} {two}? {prose[2]}",
+    ] * 2
+    docs = spark.createDataFrame([(i % 9, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, _cut string, _doc int")
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, None), (3, "")], "item_id long, text string")
+    got = contamination.remove_passages(docs, items, longest=longest)
+    assert got.columns == docs.columns
+    # in the words of the passage, runs of 14 and 40
+    def plain(t):
+        t = t.replace(one, "") if t and longest < 40 else t
+        return t.replace(two, "").replace(loud, "") if t and longest < 14 else t
+
+    want = Counter((i % 9, plain(t), "x", i) for i, t in enumerate(texts) if i % 9 != 3)
+    assert Counter(map(tuple, got.collect())) == want
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert Counter(map(tuple, contamination.remove_passages(docs, none).collect())) == Counter(map(tuple, docs.collect()))
+    assert contamination.remove_passages(docs.limit(0), items).count() == 0
+
+
 def test_contamination_without_items(spark, docs, rows, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination.decontaminate(docs, none).count() == len(rows)
