@@ -30,6 +30,9 @@ from boreline.llm import text
 DEPTH = 6
 #: Text of one block.  A longer document is a block of its own.
 BLOCK_BYTES = 1 << 25
+
+#: Bytes of text for each group of n-grams that one task holds.
+PART_BYTES = 1 << 26
 _SLICE = 1 << 20
 #: The end of a text, and what stands before its beginning: a byte that UTF-8 never has.
 END = 0xFF
@@ -139,6 +142,13 @@ def _blocked(docs: DataFrame, training: Column) -> DataFrame:
     return docs.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
+def _parts(blocked: DataFrame) -> int:
+    """How many groups the n-grams are dealt to: one for each ``PART_BYTES`` of text, the session's number at least, so a
+    group does not grow with the corpus."""
+    size = blocked.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return max(int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def _by_block(batches, limit: int = _SLICE):
     """Slices of one block each; True with the last slice of a run of the block."""
     held = None
@@ -451,8 +461,8 @@ def score_documents(docs: DataFrame, training: Column) -> DataFrame:
     repeated; without training rows each choice is even and each word unknown.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocked = _blocked(docs, training)
+    parts = _parts(blocked)
     entries = _entries(blocked, parts)
     trees = _trees(entries, parts)
     top = _top(trees)
