@@ -187,3 +187,17 @@ def test_densified_chords_stay_close(spark):
     chord = (dense[xyz].to_numpy()[1:] + dense[xyz].to_numpy()[:-1]) / 2
     assert np.linalg.norm(at[xyz].to_numpy() - chord, axis=1).max() <= 0.05 + 1e-6
     assert interp.densify_chord_arc(s, None).count() == 3
+
+
+@pytest.mark.parametrize("method", ["minimum_curvature", "build_and_turn"])
+def test_depths_are_halved_in_batches(spark, capsys, method):
+    """One pass over a batch per halving: no expression that is nested in itself for every row."""
+    method = {"minimum_curvature": survey.MINIMUM_CURVATURE, "build_and_turn": survey.BUILD_AND_TURN}[method]
+    s = make_stations(spark, [0.0, 100.0, 200.0], [0.0, 0.4, 0.4], [0.0, 0.5, 0.5])
+    deep = s.toPandas().sort_values("seq")["tvd"].tolist()
+    goal = spark.createDataFrame([(1, 0.5 * deep[1]), (1, deep[1] + 10.0), (1, 1e4)], "bore_id long, target_tvd double")
+    got = interp.md_at_tvd(goal, s, method=method)
+    rows = {round(r["target_tvd"], 6): r["md"] for r in got.collect()}
+    assert len(rows) == 2 and abs(rows[round(deep[1] + 10.0, 6)] - 100.0 - 10.0 / math.cos(0.4)) < 1e-6
+    got.explain()
+    assert "lambdafunction" not in capsys.readouterr().out
