@@ -17,6 +17,8 @@ _MARGIN = 1e-9
 #: The bound is used for arcs of less than half a turn only.
 _TURN = 3.0
 _MOST = 1 << 13
+#: Stations that paths look ahead in step; a longer run is followed alone.
+_IN_STEP = 48
 
 
 class Survey:
@@ -49,6 +51,19 @@ class ByDepth(Survey):
         s = self.md[inner] - self.md[start]
         return np.linalg.norm(self._place(start, bend, s) - self.p[inner], axis=1), s
 
+    def accept_many(self, start, end, own, inner):
+        """Which places ``inner`` are near the arcs from ``start[own]`` to ``end[own]``."""
+        t1, t2, length = self.t[start], self.t[end], self.md[end] - self.md[start]
+        dl = 2.0 * np.arcsin(np.minimum(1.0, 0.5 * np.linalg.norm(t2 - t1, axis=1)))
+        flat, whole = (dl < 1e-9)[own], np.where(dl < 1e-9, 1.0, np.sin(dl))[own]
+        dl, reach = dl[own], length[own]
+        u = (self.md[inner] - self.md[start][own]) / reach
+        w1, w2 = np.where(flat, 1.0 - u, np.sin((1.0 - u) * dl) / whole), np.where(flat, u, np.sin(u * dl) / whole)
+        t = w1[:, None] * t1[own] + w2[:, None] * t2[own]
+        t /= np.linalg.norm(t, axis=1, keepdims=True)
+        at = self.p[start][own] + 0.5 * (u * reach * arcs.half_angle_factor(u * dl))[:, None] * (t1[own] + t)
+        return (reach > 0) & (np.linalg.norm(at - self.p[inner], axis=1) <= self.tolerance[own])
+
     def accepts(self, start, end, inner):
         length = self.md[end] - self.md[start]
         if not length > 0:
@@ -81,6 +96,30 @@ class ByPlace(Survey):
         off = np.linalg.norm(self._place(start, bend, s) - self.p[inner], axis=1)
         return off, np.maximum(s, 0.0)
 
+    def accept_many(self, start, end, own, inner):
+        """Which places ``inner`` are near the arcs from ``start[own]`` to ``end[own]``."""
+        t, chord, length = self.t[start], self.p[end] - self.p[start], (self.md[end] - self.md[start])[own]
+        size = np.linalg.norm(chord, axis=1)
+        side = chord - np.einsum("ij,ij->i", chord, t)[:, None] * t
+        off = np.linalg.norm(side, axis=1)
+        bent = off > 1e-12
+        n = np.where(bent[:, None], side / np.where(bent, off, 1.0)[:, None], 0.0)[own]
+        k = np.where(bent & (size > 0), 2.0 * off / np.where(size > 0, size, 1.0) ** 2, 0.0)[own]
+        t, v = t[own], self.p[inner] - self.p[start][own]
+        x, y, flat = np.einsum("ij,ij->i", v, t), np.einsum("ij,ij->i", v, n), np.abs(k) < 1e-12
+        bend = np.where(flat, 1.0, k)
+
+        def off_at(s):
+            along = np.where(flat, s, np.sin(s * bend) / bend)
+            aside = np.where(flat, 0.0, (1.0 - np.cos(s * bend)) / bend)
+            return np.linalg.norm(along[:, None] * t + aside[:, None] * n - v, axis=1)
+
+        turned = np.arctan2(x * bend, 1.0 - y * bend) / bend
+        ends = np.where(off_at(length) < np.linalg.norm(v, axis=1), length, 0.0)
+        turned = np.where((turned >= 0.0) & (turned <= length), turned, ends)
+        s = np.where(flat, np.minimum(np.maximum(x, 0.0), length), turned)
+        return off_at(s) <= self.tolerance[own]
+
     def accepts(self, start, end, inner):
         arc = arcs.CircularArc.through(self.p[start], self.t[start], self.p[end])
         return bool((arc.distance(self.md[end] - self.md[start], self.p[inner]) <= self.tolerance).all())
@@ -129,3 +168,46 @@ def farthest(path: Survey, start: int, stop: int) -> tuple[int, bool]:
         if not moved:
             at, width = to, min(2 * width, _MOST)
     return stop - 1, False
+
+
+def kept_in_step(kind: type[Survey], fields, begins, tolerance) -> np.ndarray:
+    """Which stations the greedy walk along each of many paths keeps: all paths go on by one end at a time.
+
+    ``fields``: md, inc, az, north, east, tvd of all paths; path i has the rows from ``begins[i]`` up to
+    ``begins[i + 1]`` and ``tolerance[i]``; without a positive one it keeps all.  Stations ahead are looked at in step
+    while a run is short; a longer run goes to ``farthest``, which does not look at all of its stations again.
+    """
+    every = kind(*fields, tolerance)
+    kept = np.zeros(len(every.md), bool)
+    keep_all = ~(tolerance > 0)
+    kept[np.repeat(keep_all, np.diff(begins))] = True
+    path = np.flatnonzero(~keep_all & (np.diff(begins) > 0))
+    stop, start = begins[path + 1], begins[path].copy()
+    kept[start] = True
+    end = start + 2
+    while len(path):
+        over = end >= stop
+        kept[stop[over] - 1] = True
+        path, start, end, stop = (x[~over] for x in (path, start, end, stop))
+        for i in np.flatnonzero(end - start > _IN_STEP).tolist():
+            low = begins[path[i]]
+            alone = kind(*(f[low : stop[i]] for f in fields), tolerance[path[i]])
+            start[i] = low + farthest(alone, int(start[i] - low), int(stop[i] - low))[0]
+            kept[start[i]] = True
+            end[i] = start[i] + 2
+        go = end < stop
+        some = np.flatnonzero(go)
+        if not len(some):
+            continue
+        many = end[some] - start[some] - 1
+        own = np.repeat(np.arange(len(some)), many)
+        inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + start[some][own] + 1
+        every.tolerance = tolerance[path[some]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near = every.accept_many(start[some], end[some], own, inner)
+        failed = some[np.bincount(own[~near], minlength=len(some)) > 0]
+        end[some] += 1
+        start[failed] = end[failed] - 2
+        kept[start[failed]] = True
+        end[failed] = start[failed] + 2
+    return kept

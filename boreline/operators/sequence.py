@@ -1,6 +1,6 @@
 """Operators that walk each path in order: coarsening, section fitting, realizations.
 
-The walk of one path is sequential by definition, so a path is one group of a grouped Arrow function.  A group is
+The walk of one path is sequential by definition, but many paths walk in step in one call.  A path is
 bounded: a source with a path of more than ``blocks.ROWS_PER_BLOCK`` stations marks its rows with ``_block``, and
 ``walk`` then hands one block at a time, with the open end of the block before, to the same function.
 """
@@ -24,26 +24,33 @@ COARSENING = 0.1
 MAXIMUM_REALIZATIONS = 1000
 MAXIMUM_ATTEMPTS = 5
 REALIZATIONS_PER_TASK = 25
+#: Stations whose realizations are drawn at a time, 25 of each.
+PATHS_AT_ONCE = 1 << 11
 
 
-def walk(df: DataFrame, keys: list[str], step: Callable, columns: list[str]) -> DataFrame:
-    """Rows kept by a greedy walk along each path.
+def walk(df: DataFrame, keys: list[str], kind: str, columns: list[str]) -> DataFrame:
+    """Rows kept by a greedy walk along each path, by the arcs of ``kind`` and the path's own ``tolerance`` (a column).
 
-    ``step(pdf, at_end)`` gets rows in order, the first of them a kept one, and returns the positions it keeps and the
-    position from which the walk is still open.  Rows from there on come again in front of the next block.
+    Whole paths walk many at a time.  Of a split table ``step(pdf, at_end)`` gets rows in order, the first of them a kept
+    one, and returns the positions it keeps and the position from which the walk is still open.  Rows from there on come
+    again in front of the next block.
     """
+    columns = [*columns, "tolerance"]
     rows = df.select(*keys, "seq", *([B.BLOCK] if B.is_split(df) else []), *columns)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    plain = ", ".join(f"{c} {types[c]}" for c in [*keys, "seq", *columns])
 
-    def whole(pdf):
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        kept, _ = step(pdf, True)
-        return pdf.iloc[kept][[*keys, "seq", *columns]]
+    def whole(pdf, begins):
+        from boreline.functions import envelope
+
+        tolerance = pdf["tolerance"].to_numpy(dtype=float)[begins[:-1]]
+        kept = envelope.kept_in_step(getattr(envelope, kind), [pdf[c].to_numpy(dtype=float) for c in STATION], begins, tolerance)
+        return pdf[kept]
 
     if not B.is_split(df):
-        return B.spread(rows, keys).groupBy(*keys).applyInPandas(whole, plain)
+        plain = ", ".join(f"{c} {types[c]}" for c in ["seq", *columns])
+        return B.in_whole_groups(rows, keys, ["seq", *columns], whole, plain).drop("tolerance")
 
+    step = _greedy(kind)
     last = rows.groupBy(*keys).agg(F.max(B.BLOCK).alias("_end"))
     count = last.agg(F.max("_end")).first()[0]
     rows = B.durable(rows.join(last, keys))
@@ -75,15 +82,18 @@ def walk(df: DataFrame, keys: list[str], step: Callable, columns: list[str]) ->
         carry = out.filter("_open")
         kept = out.filter("NOT _open").select(*keys, "seq", *columns)
         done = kept if done is None else done.unionByName(kept)
-    return done
+    return done.drop("tolerance")
 
 
-def _greedy(kind: str, tolerance: float):
+def _greedy(kind: str):
     """Walk that keeps, from each kept row, the farthest end reached before the first end that fails."""
 
     def step(pdf, at_end):
         from boreline.functions import envelope
 
+        tolerance = float(pdf["tolerance"].iat[0])
+        if not tolerance > 0:
+            return list(range(len(pdf))), len(pdf) - 1
         path = getattr(envelope, kind)(*[pdf[c].to_numpy(dtype=float) for c in STATION], tolerance)
         n, start, kept = len(pdf), 0, [0]
         while start < n - 1:
@@ -104,14 +114,14 @@ def coarsen_minimum_curvature(stations: DataFrame, tolerance: float, key: str =
     """
     if not tolerance > 0:
         return stations.select(key, "seq", *STATION)
-    return walk(stations, [key], _greedy("ByDepth", tolerance), STATION)
+    return walk(stations.withColumn("tolerance", F.lit(float(tolerance))), [key], "ByDepth", STATION)
 
 
 def coarsen_circular(stations: DataFrame, tolerance: float, key: str = "bore_id") -> DataFrame:
     """The same with the circular arc that leaves the start along its direction and passes through the end point."""
     if not tolerance > 0:
         return stations.select(key, "seq", *STATION)
-    return walk(stations, [key], _greedy("ByPlace", tolerance), STATION)
+    return walk(stations.withColumn("tolerance", F.lit(float(tolerance))), [key], "ByPlace", STATION)
 
 
 # --- sections ----------------------------------------------------------------------------------------------------
@@ -373,14 +383,12 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
         "first", F.explode(F.sequence(F.lit(0), F.col("realizations") - 1, F.lit(REALIZATIONS_PER_TASK)))
     ).withColumn("path", F.struct("bore_id", "coarsening"))
     rows = jobs.select("case_id", "path", "first", "realizations", "seed").join(coarse, "path")
-    case_type = cases.schema["case_id"].dataType.simpleString()
     schema = (
-        f"case_id {case_type}, realization int, seq bigint, md double, inc double, az double, north double, east double, "
-        "tvd double, ok boolean"
+        "realization int, seq bigint, md double, inc double, az double, north double, east double, tvd double, ok boolean"
     )
-    rows = B.spread(rows.select("case_id", "first", "realizations", "seed", "seq", *columns), ["case_id", "first"])
-    drawn = rows.groupBy("case_id", "first").applyInPandas(_realize_batch, schema)
-    drawn = B.durable(drawn)
+    rows = rows.withColumnRenamed("first", "_first").withColumn("first", F.col("_first"))
+    drawn = B.in_whole_groups(rows, ["case_id", "_first"], ["seq", "first", "realizations", "seed", *columns], _realize_groups, schema, PATHS_AT_ONCE)
+    drawn = B.durable(drawn.drop("_first"))
     failed = drawn.filter("NOT ok").select("case_id").distinct()
     path = F.struct("case_id", "realization").alias("path")
     whole = drawn.join(failed, "case_id", "left_anti").select(path, "seq", "md", "inc", "az", "north", "east", "tvd")
@@ -397,43 +405,54 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
 
 def _coarsen_each(keyed: DataFrame, columns: list[str]) -> DataFrame:
     """Coarsen every (bore, tolerance) path; sequence numbers become dense."""
-    def step(pdf, at_end):
-        tolerance = pdf["tolerance"].iat[0]
-        if not tolerance > 0:
-            return list(range(len(pdf))), len(pdf) - 1
-        return _greedy("ByDepth", float(tolerance))(pdf, at_end)
+    kept = walk(keyed.withColumn("tolerance", F.col("path.coarsening")), ["path"], "ByDepth", columns)
+    return B.with_position(kept, ["path"], ["md"], "seq")
 
-    kept = walk(keyed.withColumn("tolerance", F.col("path.coarsening")), ["path"], step, [*columns, "tolerance"])
-    return B.with_position(kept.drop("tolerance"), ["path"], ["md"], "seq")
 
-
-def _realize_batch(pdf):
+def _realize_groups(rows, begins):
+    """Realizations of many groups (a case and its next realizations) at a time, ``ok`` where a path was found."""
     import numpy as np
     import pandas as pd
 
-    pdf = pdf.sort_values("seq")
-    first, total, seed = int(pdf["first"].iat[0]), int(pdf["realizations"].iat[0]), int(pdf["seed"].iat[0])
-    numbers = np.arange(first, min(total, first + REALIZATIONS_PER_TASK))
-    paths = {int(r): None for r in numbers}
+    lead, sizes = rows.iloc[begins[:-1]], np.diff(begins)
+    first, total = lead["first"].to_numpy(), lead["realizations"].to_numpy()
+    many = np.minimum(total - first, REALIZATIONS_PER_TASK)
+    group = np.repeat(np.arange(len(sizes)), many)
+    number = np.arange(len(group)) - np.repeat(np.cumsum(many) - many, many) + first[group]
+    seed = lead["seed"].to_numpy()[group]
+    stations = _Stations(rows)
+    found = np.full((len(group), int(sizes.max(initial=0)), 6), np.nan)
+    todo = np.arange(len(group))
     for attempt in range(MAXIMUM_ATTEMPTS):
-        todo = [r for r, p in paths.items() if p is None]
-        if not todo:
+        if not len(todo):
             break
         draws = np.stack([
-            np.random.Generator(np.random.Philox(key=[seed % 2**64, r * 8 + attempt])).standard_normal(3) for r in todo
+            np.random.Generator(np.random.Philox(key=[int(k) % 2**64, int(r) * 8 + attempt])).standard_normal(3)
+            for k, r in zip(seed[todo], number[todo], strict=True)
         ])
-        for r, path in zip(todo, _paths(pdf, draws)):
-            paths[r] = path
-    out = []
-    seq = pdf["seq"].to_numpy()
-    for r, path in paths.items():
-        frame = {"case_id": pdf["case_id"].iat[0], "realization": r}
-        if path is None:
-            row = {"seq": [0], **{c: [np.nan] for c in STATION}, "ok": [False]}
-        else:
-            row = {"seq": seq, **{c: path[:, i] for i, c in enumerate(STATION)}, "ok": True}
-        out.append(pd.DataFrame({**frame, **row}))
-    return pd.concat(out)[["case_id", "realization", "seq", *STATION, "ok"]]
+        found[todo], alive = _paths(stations, begins[group[todo]], sizes[group[todo]], draws, found.shape[1])
+        todo = todo[~alive]
+    ok = np.ones(len(group), bool)
+    ok[todo] = False
+    length = np.where(ok, sizes[group], 1)
+    path = np.repeat(np.arange(len(group)), length)
+    place = np.arange(len(path)) - np.repeat(np.cumsum(length) - length, length)
+    values = np.where(ok[path][:, None], found[path, place], np.nan)
+    seq = np.where(ok[path], rows["seq"].to_numpy()[begins[group[path]] + place], 0)
+    out = {"_group": group[path], "realization": number[path], "seq": seq, **{c: values[:, i] for i, c in enumerate(STATION)}, "ok": ok[path]}
+    return pd.DataFrame(out)
+
+
+class _Stations:
+    """Angles, middles and principal axes of stations, one after the other."""
+
+    def __init__(self, rows):
+        from boreline.functions import arcs
+
+        self.md, self.inc, self.az = (rows[c].to_numpy(dtype=float) for c in ("md", "inc", "az"))
+        self.centre = rows[["north", "east", "tvd"]].to_numpy(dtype=float) + rows[list(BIAS)].to_numpy(dtype=float)
+        self.values, self.vectors = principal_axes(rows)
+        self.reference = arcs.tangent(self.inc, self.az)
 
 
 def principal_axes(pdf):
@@ -448,32 +467,35 @@ def principal_axes(pdf):
     return np.maximum(values, 0.0), vectors * np.where(sign == 0, 1.0, sign)
 
 
-def _paths(pdf, draws):
-    """One path (md, inc, az, north, east, tvd per station) per draw, or None where no variant can be reached."""
+def _paths(stations, begin, size, draws, width: int):
+    """One path (md, inc, az, north, east, tvd per station) per draw, and whether its stations were all reached.
+
+    Path m runs over ``size[m]`` stations from ``begin[m]`` on; all of them go on by one station at a time.
+    """
     import numpy as np
 
     from boreline.functions import arcs
 
-    md, inc, az = (pdf[c].to_numpy(dtype=float) for c in ("md", "inc", "az"))
-    centre = pdf[["north", "east", "tvd"]].to_numpy(dtype=float) + pdf[list(BIAS)].to_numpy(dtype=float)
-    values, vectors = principal_axes(pdf)
-    n, m = len(pdf), len(draws)
+    order = np.argsort(-size, kind="stable")
+    begin, size, draws = begin[order], size[order], draws[order]
+    m = len(draws)
     signs = np.array(SIGNS, dtype=float)
-    out = np.full((m, n, 6), np.nan)
-    offset = np.sqrt(values[0]) * draws
-    p = centre[0] + offset @ vectors[0].T
-    t = np.tile(arcs.tangent(inc[0], az[0]), (m, 1))
-    depth = np.full(m, md[0])
-    out[:, 0] = np.column_stack([depth, np.full(m, inc[0]), np.full(m, az[0]), p])
+    out = np.full((m, width, 6), np.nan)
+    offset = np.sqrt(stations.values[begin]) * draws
+    p = stations.centre[begin] + np.einsum("mj,mij->mi", offset, stations.vectors[begin])
+    t = arcs.tangent(stations.inc[begin], stations.az[begin])
+    depth = stations.md[begin].copy()
+    out[:, 0] = np.column_stack([depth, stations.inc[begin], stations.az[begin], p])
     alive = np.ones(m, dtype=bool)
-    reference = arcs.tangent(inc, az)
-    for i in range(1, n):
-        local = np.sqrt(values[i]) * draws  # (m, 3)
-        targets = centre[i] + np.einsum("vj,mj,ij->mvi", signs, local, vectors[i])
+    for i in range(1, int(size.max(initial=0))):
+        m = int(np.searchsorted(-size, -i, side="left"))  # longer paths come first
+        at, p, t, depth = begin[:m] + i, p[:m], t[:m], depth[:m]
+        local = np.sqrt(stations.values[at]) * draws[:m]
+        targets = stations.centre[at][:, None, :] + np.einsum("vj,mj,mij->mvi", signs, local, stations.vectors[at])
         end, length = arcs.arc_to_point(p[:, None, :], t[:, None, :], targets)
         i2, a2 = arcs.angles(end)
         good = np.isfinite(length) & _round_trips(p[:, None, :], t[:, None, :], i2, a2, length, targets)
-        score = 1.0 - np.clip(end @ reference[i], -1.0, 1.0)
+        score = 1.0 - np.clip(np.einsum("mvk,mk->mv", end, stations.reference[at]), -1.0, 1.0)
         bend = 2.0 * np.arcsin(np.minimum(1.0, 0.5 * np.linalg.norm(end - t[:, None, :], axis=2)))
         i1, a1 = arcs.angles(t)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -484,12 +506,13 @@ def _paths(pdf, draws):
         # scores equal to a millionth are ties, decided by roughness
         tie = score <= score.min(axis=1, keepdims=True) + 1e-6
         pick = np.where(tie & good, rough, np.inf).argmin(axis=1)
-        alive &= good.any(axis=1)
+        alive[:m] &= good.any(axis=1)
         row = np.arange(m)
         p, t = targets[row, pick], end[row, pick]
         depth = depth + np.where(np.isfinite(length[row, pick]), length[row, pick], 0.0)
-        out[:, i] = np.column_stack([depth, i2[row, pick], a2[row, pick], p])
-    return [out[k] if alive[k] else None for k in range(m)]
+        out[:m, i] = np.column_stack([depth, i2[row, pick], a2[row, pick], p])
+    back = np.argsort(order)
+    return out[back], alive[back]
 
 
 def _round_trips(p, t, i2, a2, length, target):
