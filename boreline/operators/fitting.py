@@ -91,6 +91,34 @@ def _periods_of_values(values, spread: float):
     return walk_periods(ends.tolist(), means.tolist(), 0, n - 1)[0]
 
 
+def last_ends_of_many(values, begins, bound: np.ndarray):
+    """Per place the last end of a period, or -1, and its mean, for many paths one after the other.
+
+    ``values`` has a row for each series, ``bound`` the variance that its periods stay below.  Path i has the places
+    from ``begins[i]`` on; ends are counted from there.  Paths of about one length are searched in one index.
+    """
+    sizes = np.diff(begins)
+    ends, means = np.full(values.shape, -1, np.int64), np.full(values.shape, np.nan)
+    bits = np.frompyfunc(int.bit_length, 1, 1)(np.maximum(sizes - 1, 0)).astype(int)
+    for level in np.unique(bits[sizes > 1]):
+        paths = np.flatnonzero((bits == level) & (sizes > 1))
+        size, width = sizes[paths], int(sizes[paths].max())
+        path = np.repeat(np.arange(len(paths)), size)
+        place = np.arange(len(path)) - np.repeat(np.cumsum(size) - size, size)
+        at = begins[paths][path] + place
+        shape = (len(values) * len(paths), width)
+        count, x = np.zeros(shape), np.zeros(shape)
+        series = (np.arange(len(values))[:, None] * len(paths) + path).ravel()
+        start = np.tile(place, len(values))
+        count[series, start], x[series, start] = 1.0, values[:, at].ravel()
+        # what a path is filled up with counts nothing, so an end beyond the path's own is its last
+        end, mean, _ = Moments(count, x, np.zeros(shape)).last_ends(np.repeat(bound, len(paths)), series, start)
+        last = np.tile(size[path] - 1, len(values))
+        ends[:, at] = np.minimum(end, last).reshape(len(values), -1)
+        means[:, at] = mean.reshape(len(values), -1)
+    return ends, means
+
+
 def constant_periods(values, spread: float):
     """Periods (start, end, mean) of almost constant value: from each start the longest one with a variance below
     ``spread`` squared.  The next period starts at the last index of the one before."""
@@ -273,20 +301,23 @@ def constant_periods_of(rows: DataFrame, column: str, spread: float, key: str =
     place, or one place on where there is none.  A null counts as zero.  Blocks of a split table are worked on apart.
     """
     x = F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("x")
-    key_type = rows.schema[key].dataType.simpleString()
     columns = [key, "start", "end", "mean", "shared"]
     if B.is_split(rows):
         long = B.with_position(rows.select(key, "seq", B.BLOCK, x), [key], ["seq"], "i", "n")
         long = B.durable(long.select(key, F.lit(0).alias("series"), B.BLOCK, "i", "n", "x"))
         return _periods(long, np.array([max(spread, 0.0) ** 2]), key).select(*columns)
 
-    def find(pdf):
-        values = pdf.sort_values("seq")["x"].to_numpy()
-        made = _periods_of_values(values, spread)
-        return pd.DataFrame(made, columns=columns[1:]).assign(**{key: pdf[key].iat[0]})[columns]
-
-    layout = f"{key} {key_type}, start bigint, end bigint, mean double, shared boolean"
-    return B.spread(rows.select(key, "seq", x), [key]).groupBy(key).applyInPandas(find, layout)
+    def find(pdf, begins):
+        made = []
+        if spread >= 0:
+            ends, means = last_ends_of_many(pdf["x"].to_numpy(dtype=float)[None, :], begins, np.array([spread * spread]))
+            ends, means = ends[0].tolist(), means[0].tolist()
+            for i, (low, high) in enumerate(itertools.pairwise(begins.tolist())):
+                periods, _, _ = walk_periods(ends[low:high], means[low:high], 0, high - low - 1)
+                made += [(i, *p) for p in periods]
+        return pd.DataFrame(made, columns=["_group", *columns[1:]])
+
+    return B.in_whole_groups(rows.select(key, "seq", x), [key], ["seq", "x"], find, "start bigint, end bigint, mean double, shared boolean")
 
 
 def label_periods(rows: DataFrame, column: str, spread: float, key: str = "bore_id", repeat_shared: bool = False) -> DataFrame:

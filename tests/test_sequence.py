@@ -12,7 +12,7 @@ from boreline.functions import arcs
 from boreline.functions import blocks as B
 from boreline.functions import envelope
 from boreline.functions.moments import Moments
-from boreline.operators import fitting, sequence
+from boreline.operators import fitting, sequence, survey
 from boreline.plans import uncertainty as uncertainty_plans
 from boreline.sources import derived
 from tests.conftest import make_stations
@@ -380,3 +380,42 @@ def test_aggregation_case_isolates_failures(spark, sf):
     cases = spark.createDataFrame([(1, 1), (1, 777)], "case_id long, bore_id long")
     got = {r.bore_id: r for r in sequence.aggregation_case(cases, s).collect()}
     assert got[1].ok and got[1].n_sections >= 1 and not got[777].ok
+
+
+@pytest.mark.parametrize("kind", [envelope.ByDepth, envelope.ByPlace])
+def test_many_paths_walk_in_step(kind, monkeypatch):
+    """Paths of 1 to 130 stations in one call keep what each keeps alone, long runs too."""
+    monkeypatch.setattr(envelope, "_IN_STEP", 12)
+    rng, paths, want, begins = np.random.default_rng(5), [], [], [0]
+    for case in range(40):
+        n = int(rng.integers(1, 130))
+        md = np.cumsum(rng.choice([1.0, 10.0, 30.0]) * np.ones(n))
+        turn = np.repeat(rng.choice([0.0, 1e-3, 1e-4], n), 20)[:n]
+        inc, az = 0.8 + np.cumsum(turn) + rng.normal(0, rng.choice([0, 1e-6, 1e-2]), n), 1.0 + 0.5 * np.cumsum(turn)
+        t = arcs.tangent(inc, az)
+        p = np.cumsum(np.vstack([np.zeros(3), 0.5 * (t[1:] + t[:-1]) * np.diff(md)[:, None]]), axis=0) + rng.normal(0, rng.choice([0, 0.2]), (n, 3))
+        paths.append(np.vstack([md, inc, az, *p.T]))
+        tolerance = 0.0 if case % 9 == 4 else 0.1
+        want += [begins[-1] + k for k in (plain_walk(kind(md, inc, az, *p.T, 0.1), n) if tolerance else range(n))]
+        begins.append(begins[-1] + n)
+    tolerances = np.array([0.0 if case % 9 == 4 else 0.1 for case in range(40)])
+    got = envelope.kept_in_step(kind, list(np.hstack(paths)), np.array(begins), tolerances)
+    assert np.flatnonzero(got).tolist() == want
+
+
+def test_periods_of_many_paths_at_once():
+    rng, sizes = np.random.default_rng(3), [1, 2, 3, 9, 40, 64, 65, 100, 2]
+    values = [np.round(rng.normal(0, 1, n), 1) * (k % 3) for k, n in enumerate(sizes)]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    ends, means = fitting.last_ends_of_many(np.concatenate(values)[None, :], begins, np.array([0.25]))
+    for low, high, x in zip(begins[:-1], begins[1:], values):
+        got, _, _ = fitting.walk_periods(ends[0, low:high].tolist(), means[0, low:high].tolist(), 0, high - low - 1)
+        assert got == fitting._periods_of_values(x, 0.5)
+
+
+def test_paths_share_calls(spark, sf):
+    """No Python call for each path: the plans hold no function that is called group by group."""
+    s = derived.stations(spark, sf)
+    for made in (sequence.coarsen_circular(s, 0.1), fitting.constant_periods_of(s, "dls", 0.001), survey.ewma(s.select("bore_id", "seq", "dls"), ["dls"])):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
