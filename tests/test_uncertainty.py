@@ -325,3 +325,14 @@ def test_gyro_without_latitude_or_speed_is_no_covariance(spark):
     assert _gyro_case(spark, [0.1, 0.2], [rest, run]).c00.notna().all()
     # along its singular direction a weight stays finite
     assert np.isfinite(_gyro_case(spark, [np.pi / 2, 0.0, np.pi / 2], [rest, run, ("EXT_MIS", 1e-3, None, None)])[list(COV)]).all().all()
+
+
+def test_wells_share_calls_and_sources_come_to_wells(spark, sf):
+    """No Python call for each well's arcs; rows per error source are not shuffled by their code."""
+    s = derived.with_tools(derived.stations(spark, sf), spark, sf)
+    chained = uncertainty.chain_arcs(s.withColumn("side", F.lit(1)), ["bore_id", "side"])
+    assert "FlatMapGroups" not in chained._jdf.queryExecution().optimizedPlan().toString()
+    got = uncertainty.covariance_iscwsa(s, derived.gyro_instruments(spark, sf), derived.gyro_sources(spark, sf))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and not [line for line in dealt if "code" in line.split("hashpartitioning", 1)[1]]
