@@ -336,3 +336,12 @@ def test_wells_share_calls_and_sources_come_to_wells(spark, sf):
     plan = got._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
     assert dealt and not [line for line in dealt if "code" in line.split("hashpartitioning", 1)[1]]
+
+
+def test_sources_of_tools_are_not_broadcast(spark, sf):
+    """A list of sources is many times what the planner knows of it, so no join sends it to the driver."""
+    known = uncertainty._known_sources(derived.gyro_instruments(spark, sf), derived.gyro_sources(spark, sf))
+    stations = derived.with_tools(derived.stations(spark, sf), spark, sf).select("bore_id", "seq", "tool_id")
+    met = uncertainty._with_sources(stations, known, "bore_id")
+    for df in (known, met, uncertainty._with_sources(stations.withColumn(B.BLOCK, F.lit(0)), known, "bore_id")):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
