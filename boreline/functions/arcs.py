@@ -47,6 +47,28 @@ def half_angle_factor(dl):
     return np.where(small, 1.0 + dl * dl / 12.0, 2.0 / np.where(small, 1.0, dl) * np.tan(np.where(small, 0.0, dl) / 2.0))
 
 
+def completed(md, inc, az, starts, opening):
+    """Positions of stations by minimum curvature, in steps of whole micrometres as ``survey.complete_survey`` has them.
+
+    Paths follow one another; ``opening`` marks their first stations, whose positions are ``starts``.
+    """
+    first = np.flatnonzero(opening)
+    i1, a1, i2, a2 = inc[:-1], az[:-1], inc[1:], az[1:]
+    half_i, half_a = np.sin((i2 - i1) / 2.0), np.sin((a2 - a1) / 2.0)
+    dl = 2.0 * np.arcsin(np.minimum(1.0, np.sqrt(half_i * half_i + np.sin(i1) * np.sin(i2) * half_a * half_a)))
+    q = dl * dl
+    series = 1.0 + q / 12.0 * (1.0 + q / 10.0 * (1.0 + q / 168.0 * (1.0 + 31.0 * q / 18.0)))
+    factor = np.where(dl < 0.02, series, 2.0 / np.where(dl < 0.02, 1.0, dl) * np.tan(dl / 2.0))
+    t = tangent(inc, az)
+    step = np.empty((len(md), 3))
+    step[1:] = (0.5 * np.diff(md) * factor)[:, None] * (t[:-1] + t[1:])
+    step[first] = starts
+    step = np.copysign(np.floor(np.abs(step) * 1e6 + 0.5), step).astype(np.int64)
+    total = np.cumsum(step, axis=0)
+    before = (total - step)[first]
+    return (total - np.repeat(before, np.diff([*first, len(md)]), axis=0)) / 1e6
+
+
 def minimum_curvature_points(p, t1, t2, length, u):
     """Points at fractions ``u`` of the arc that starts at p along t1 and ends along t2."""
     dl = 2.0 * np.arcsin(min(1.0, 0.5 * np.linalg.norm(t2 - t1)))

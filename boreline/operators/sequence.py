@@ -24,8 +24,10 @@ COARSENING = 0.1
 MAXIMUM_REALIZATIONS = 1000
 MAXIMUM_ATTEMPTS = 5
 REALIZATIONS_PER_TASK = 25
-#: Stations whose realizations are drawn at a time, 25 of each.
-PATHS_AT_ONCE = 1 << 11
+#: Stations whose realizations are drawn at a time.
+PATHS_AT_ONCE = 1 << 9
+#: A case of up to so many points is drawn as a whole, a larger one in groups of REALIZATIONS_PER_TASK.
+POINTS_TOGETHER = 1 << 17
 
 
 def walk(df: DataFrame, keys: list[str], kind: str, columns: list[str]) -> DataFrame:
@@ -379,28 +381,38 @@ def realize(cases: DataFrame, stations: DataFrame) -> DataFrame:
         F.struct("bore_id", "coarsening").alias("path"), "seq", *([B.BLOCK] if B.is_split(stations) else []), *columns
     )
     coarse = _coarsen_each(keyed, columns)
-    jobs = good.withColumn(
-        "first", F.explode(F.sequence(F.lit(0), F.col("realizations") - 1, F.lit(REALIZATIONS_PER_TASK)))
-    ).withColumn("path", F.struct("bore_id", "coarsening"))
-    rows = jobs.select("case_id", "path", "first", "realizations", "seed").join(coarse, "path")
+    size = stations.groupBy("bore_id").agg(F.count(F.lit(1)).alias("_n"))
+    whole = F.col("realizations") * F.col("_n") <= POINTS_TOGETHER
+    good = good.join(size, "bore_id").withColumn("together", F.when(whole, F.col("realizations")).otherwise(F.lit(REALIZATIONS_PER_TASK)).cast("int"))
+    jobs = good.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("realizations") - 1, F.col("together")))).withColumn(
+        "path", F.struct("bore_id", "coarsening"))
+    large = jobs.filter("together < realizations")
+    failed = None
+    if not large.isEmpty():
+        # a case in several groups is known to fail before any of its points are made, so none of them has to be kept
+        failed = B.durable(_drawn(large, coarse, columns, _failing_groups).filter("NOT ok").select("case_id").distinct())
+        jobs = jobs.join(failed, "case_id", "left_anti")
+    drawn = _drawn(jobs, coarse, columns, _realize_groups)
+    fields = ["realization", "seq", "md", "inc", "az", "north", "east", "tvd"]
+    why = F.lit("no path in five attempts")
+    out = drawn.select(
+        "case_id", *[F.when(F.col("ok"), F.col(c)).alias(c) for c in fields], F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
+        F.when(~F.col("ok"), why).alias("reason"))
+    bad = checked.filter("reason IS NOT NULL").select("case_id", F.lit("refused").alias("status"), "reason")
+    if failed is not None:
+        bad = bad.unionByName(failed.select("case_id", F.lit("failed").alias("status"), why.alias("reason")))
+    bad = bad.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in fields})
+    return out.unionByName(bad.select(*out.columns))
+
+
+def _drawn(jobs: DataFrame, coarse: DataFrame, columns: list[str], work) -> DataFrame:
+    """What ``work`` makes of each job (a case and its realizations from ``first`` on) and the stations of its path."""
+    rows = jobs.select("case_id", F.col("first").alias("_first"), "path", "first", "realizations", "together", "seed").join(coarse, "path")
     schema = (
         "realization int, seq bigint, md double, inc double, az double, north double, east double, tvd double, ok boolean"
     )
-    rows = rows.withColumnRenamed("first", "_first").withColumn("first", F.col("_first"))
-    drawn = B.in_whole_groups(rows, ["case_id", "_first"], ["seq", "first", "realizations", "seed", *columns], _realize_groups, schema, PATHS_AT_ONCE)
-    drawn = B.durable(drawn.drop("_first"))
-    failed = drawn.filter("NOT ok").select("case_id").distinct()
-    path = F.struct("case_id", "realization").alias("path")
-    whole = drawn.join(failed, "case_id", "left_anti").select(path, "seq", "md", "inc", "az", "north", "east", "tvd")
-    first = F.col("seq") == 0
-    start = whole.withColumns({c: F.when(first, F.col(c)) for c in ("north", "east", "tvd")})
-    done = survey.complete_survey(start, key="path")
-    out = done.select("path.case_id", "path.realization", "seq", "md", "inc", "az", "north", "east", "tvd", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
-    none = F.lit(None).cast("double")
-    refused = checked.filter("reason IS NOT NULL").select("case_id", F.lit("refused").alias("status"), "reason")
-    bad = refused.unionByName(failed.select("case_id", F.lit("failed").alias("status"), F.lit("no path in five attempts").alias("reason")))
-    bad = bad.withColumns({"realization": F.lit(None).cast("int"), "seq": F.lit(None).cast("bigint"), **{c: none for c in STATION}})
-    return out.unionByName(bad.select(*out.columns))
+    asked = ["first", "realizations", "together", "seed"]
+    return B.in_whole_groups(rows, ["case_id", "_first"], ["seq", *asked, *columns], work, schema, PATHS_AT_ONCE).drop("_first")
 
 
 def _coarsen_each(keyed: DataFrame, columns: list[str]) -> DataFrame:
@@ -409,14 +421,13 @@ def _coarsen_each(keyed: DataFrame, columns: list[str]) -> DataFrame:
     return B.with_position(kept, ["path"], ["md"], "seq")
 
 
-def _realize_groups(rows, begins):
-    """Realizations of many groups (a case and its next realizations) at a time, ``ok`` where a path was found."""
+def _draw(rows, begins):
+    """Realizations of many groups (a case and its next realizations): each one's group and number, points, and success."""
     import numpy as np
-    import pandas as pd
 
     lead, sizes = rows.iloc[begins[:-1]], np.diff(begins)
-    first, total = lead["first"].to_numpy(), lead["realizations"].to_numpy()
-    many = np.minimum(total - first, REALIZATIONS_PER_TASK)
+    first, total, together = (lead[c].to_numpy() for c in ("first", "realizations", "together"))
+    many = np.minimum(total - first, together)
     group = np.repeat(np.arange(len(sizes)), many)
     number = np.arange(len(group)) - np.repeat(np.cumsum(many) - many, many) + first[group]
     seed = lead["seed"].to_numpy()[group]
@@ -434,13 +445,45 @@ def _realize_groups(rows, begins):
         todo = todo[~alive]
     ok = np.ones(len(group), bool)
     ok[todo] = False
-    length = np.where(ok, sizes[group], 1)
-    path = np.repeat(np.arange(len(group)), length)
-    place = np.arange(len(path)) - np.repeat(np.cumsum(length) - length, length)
-    values = np.where(ok[path][:, None], found[path, place], np.nan)
-    seq = np.where(ok[path], rows["seq"].to_numpy()[begins[group[path]] + place], 0)
-    out = {"_group": group[path], "realization": number[path], "seq": seq, **{c: values[:, i] for i, c in enumerate(STATION)}, "ok": ok[path]}
-    return pd.DataFrame(out)
+    return group, number, found, ok
+
+
+def _failures(group, ok, count: int):
+    """One row ``not ok`` for each of ``count`` groups with a path that was not found."""
+    import numpy as np
+    import pandas as pd
+
+    failed = np.flatnonzero(np.bincount(group[~ok], minlength=count))
+    blank = {c: np.full(len(failed), np.nan) for c in STATION}
+    return pd.DataFrame({"_group": failed, "realization": 0, "seq": 0, **blank, "ok": False})
+
+
+def _failing_groups(rows, begins):
+    """The groups that fail, without any points."""
+    group, _, _, ok = _draw(rows, begins)
+    return _failures(group, ok, len(begins) - 1)
+
+
+def _realize_groups(rows, begins):
+    """Realizations of many groups at a time; a group with a path that was not found is one row, not ``ok``."""
+    import numpy as np
+    import pandas as pd
+
+    from boreline.functions import arcs
+
+    group, number, found, ok = _draw(rows, begins)
+    bad = _failures(group, ok, len(begins) - 1)
+    kept = np.flatnonzero(~np.isin(group, bad["_group"].to_numpy()))
+    if not len(kept):
+        return bad
+    sizes = np.diff(begins)[group[kept]]
+    path = np.repeat(kept, sizes)
+    place = np.arange(len(path)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    values = found[path, place]
+    values[:, 3:] = arcs.completed(*values[:, :3].T, values[place == 0, 3:], place == 0)
+    seq = rows["seq"].to_numpy()[begins[group[path]] + place]
+    out = pd.DataFrame({"_group": group[path], "realization": number[path], "seq": seq, **{c: values[:, i] for i, c in enumerate(STATION)}, "ok": True})
+    return pd.concat([out, bad], ignore_index=True) if len(bad) else out
 
 
 class _Stations:

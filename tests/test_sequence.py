@@ -375,6 +375,38 @@ def test_bias_moves_what_is_drawn(spark, sf):
             assert np.abs(g[["north", "east", "tvd"]].to_numpy(dtype=float) - well - [bias, 0.0, -bias]).max() < 1e-3
 
 
+def test_points_of_realizations_are_not_kept(spark, sf, monkeypatch):
+    """Points go straight to the output, whole or in groups; a case fails as a whole, and positions are those of a survey."""
+    s = uncertainty_plans.covered_stations(spark, sf).filter("bore_id IN (1, 2)")
+    # the second station of well 9 lies straight behind the first, so no arc reaches it
+    back = [(9, k, 10.0 * k, 0.0, 0.0, 0.0, 0.0, -10.0 * k, *[0.0] * 6) for k in range(3)]
+    fields = ["bore_id", "seq", *sequence.STATION, *sequence.COVARIANCE]
+    s = s.select(*fields).unionByName(spark.createDataFrame(back, s.select(*fields).schema)).cache()
+    cases = spark.createDataFrame([(1, 1, 30, 0.1, 7), (2, 9, 30, 0.0, 7), (3, 2, 26, 0.0, 9)],
+                                  "case_id long, bore_id long, realizations int, coarsening double, seed long")
+    kept, durable = [], B.durable
+
+    def watched(df):
+        kept.append(set(df.columns))
+        return durable(df)
+
+    monkeypatch.setattr(B, "durable", watched)
+    order = ["case_id", "realization", "seq"]
+    whole = sequence.realize(cases, s).toPandas().sort_values(order).reset_index(drop=True)
+    assert not [c for c in kept if c & {"realization", "north"}]
+    assert whole[whole.case_id == 2].status.tolist() == ["failed"] and whole[whole.case_id == 2][fields[2:8]].isna().all().all()
+    assert whole[whole.case_id != 2].groupby("case_id").realization.nunique().to_dict() == {1: 30, 3: 26}
+    monkeypatch.setattr(sequence, "POINTS_TOGETHER", 100)
+    parts = sequence.realize(cases, s).toPandas().sort_values(order).reset_index(drop=True)
+    pd.testing.assert_frame_equal(whole, parts)
+    assert not [c for c in kept if c & {"realization", "north"}]
+    ok = spark.createDataFrame(whole[whole.status == "ok"].drop(columns=["status", "reason"])).withColumn("path", F.struct("case_id", "realization"))
+    again = survey.complete_survey(ok.withColumns({c: F.when(F.col("seq") == 0, F.col(c)) for c in ("north", "east", "tvd")}), key="path")
+    again = again.toPandas().sort_values(order).reset_index(drop=True)
+    for c in ("north", "east", "tvd"):
+        assert np.abs(again[c] - whole[whole.status == "ok"][c].to_numpy(dtype=float)).max() < 2e-6
+
+
 def test_aggregation_case_isolates_failures(spark, sf):
     s = derived.stations(spark, sf)
     cases = spark.createDataFrame([(1, 1), (1, 777)], "case_id long, bore_id long")
